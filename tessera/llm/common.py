@@ -28,9 +28,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """At most so many rows in an Arrow batch: long texts then take bounded memory in Python workers."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, packing, urls
+from tessera.llm import bpe, fingerprints, jaccard, packing, urls
 from tessera.llm.common import table
 
 RULES = [
@@ -20,6 +20,10 @@ RULES = [
 BYTE_BPE = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, similarity=(9, 10))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprints, op5_url_filter, op6_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_fingerprints, op5_url_filter, op6_best_fit_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
