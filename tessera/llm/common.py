@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -28,3 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def span_digests(found: DataFrame, counts: dict[str, str], *, key: str = "doc_id") -> DataFrame:
+    """Of (key, spans) rows: the number of base spans of each kind, the SHA-256 of the base spans as text, and all spans as text."""
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        key,
+        *(number(kind).alias(name) for name, kind in counts.items()),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, jaccard, packing, urls
+from tessera.llm import bpe, fingerprints, jaccard, neighbours, packing, pii, secrets, urls
 from tessera.llm.common import table
 
 RULES = [
@@ -40,8 +40,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), **BYTE_BPE)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op9_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, relax=2.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_fingerprints, op5_url_filter, op6_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (
+        op1_ngram_jaccard, op3_fingerprints, op5_url_filter, op6_best_fit_packing, op7_pii, op8_secrets, op9_vantage_point_search, op10_byte_bpe,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
