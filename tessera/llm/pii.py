@@ -60,7 +60,7 @@ def _iban_holds(span: str) -> bool:
 
 
 def _candidates(text: str) -> Iterator[tuple[str, int, int, bool, bool]]:
-    """(kind, start, end, base, passes its check) of all candidates."""
+    """(kind, start, end, base, passes its check) of all candidates; what fails a checksum or a range is none."""
     if "@" in text:
         for m in _EMAIL.finditer(text):
             yield "email", *m.span(), True, True
@@ -71,12 +71,13 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int, bool, bool]]:
         return
     for m in _IP.finditer(text):
         fine = all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))
-        yield "ip", *m.span(), fine, fine
+        if fine:
+            yield "ip", *m.span(), True, True
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0]) if len(m[0]) < 64 else ""
         if 13 <= len(digits) <= 19:
-            fine = luhn(digits)
-            yield "card", *m.span(), fine and len(digits) >= 16, fine
+            if luhn(digits):
+                yield "card", *m.span(), len(digits) >= 16, True
     if "+" in text:
         for m in _PHONE.finditer(text):
             fine = 8 <= sum(c.isdigit() for c in m[0]) <= 15
@@ -84,7 +85,8 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int, bool, bool]]:
     for m in _LOCAL_PHONE.finditer(text):
         yield "phone", *m.span(), False, 8 <= sum(c.isdigit() for c in m[0]) <= 15
     for m in _IBAN.finditer(text):
-        yield "iban", *m.span(), False, _iban_holds(m[0])
+        if _iban_holds(m[0]):
+            yield "iban", *m.span(), False, True
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         yield "ssn", *m.span(), False, area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
