@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, jaccard, neighbours, packing, pii, secrets, urls
+from tessera.llm import bpe, fingerprints, jaccard, neighbours, packing, pii, secrets, toxicity, urls
 from tessera.llm.common import table
 
 RULES = [
@@ -24,6 +24,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, similarity=(9, 10))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op9_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard, op3_fingerprints, op5_url_filter, op6_best_fit_packing, op7_pii, op8_secrets, op9_vantage_point_search, op10_byte_bpe,
+        op1_ngram_jaccard, op2_toxicity, op3_fingerprints, op5_url_filter, op6_best_fit_packing, op7_pii, op8_secrets, op9_vantage_point_search, op10_byte_bpe,
     )}
 
 
