@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, jaccard, neighbours, packing, pii, secrets, toxicity, urls
+from tessera.llm import bpe, fingerprints, jaccard, neighbours, packing, pii, quality, secrets, toxicity, urls
 from tessera.llm.common import table
 
 RULES = [
@@ -32,6 +32,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -59,7 +63,7 @@ def op9_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard, op2_toxicity, op3_fingerprints, op5_url_filter, op6_best_fit_packing, op7_pii, op8_secrets, op9_vantage_point_search, op10_byte_bpe,
+        op1_ngram_jaccard, op2_toxicity, op3_fingerprints, op4_quality, op5_url_filter, op6_best_fit_packing, op7_pii, op8_secrets, op9_vantage_point_search, op10_byte_bpe,
     )}
 
 
