@@ -1 +1,52 @@
-"""Queries."""
+"""Streaming queries, drained over the files there are; their SQL is the batch form."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import query
+from tessera.sources.tables import EDGES_SQL, edges, read
+from tessera.streaming import streams as T
+
+
+def _folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    return f"{root.rstrip('/')}/streams-{uuid.uuid4().hex}"
+
+
+def _source(spark, sf_dir):
+    """The edges as a stream: written to a folder first, since a file source reads folders."""
+    folder = _folder(spark)
+    own = edges(spark, sf_dir).withColumn("at", F.timestamp_millis("ts"))
+    own.write.parquet(f"{folder}/in")
+    return T.open_stream(spark, f"{folder}/in", own.schema), folder
+
+
+@query("SELECT epoch_ms(CAST(hour * 3600000 AS BIGINT)) AS start, kind, n FROM (SELECT ts // 3600000 AS hour, kind, count(*) AS n FROM edges GROUP BY ALL)", EDGES_SQL)
+def st_03_windowed_counts(spark, sf_dir):
+    stream, folder = _source(spark, sf_dir)
+    return T.collected(T.windowed_counts(stream), "complete", spark, folder).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT kind, file_path FROM edges", EDGES_SQL)
+def st_04_deduplicated(spark, sf_dir):
+    stream, folder = _source(spark, sf_dir)
+    return T.collected(T.deduplicated(stream, ["kind", "file_path"], ttl="3650 days").select("kind", "file_path"), "append", spark, folder)
+
+
+@query(
+    """SELECT identity_name, file_path, count(*) AS total, least(100, count(*) * 10) AS confidence, string_agg(CASE WHEN n <= 8 THEN kind END, ',' ORDER BY n) AS evidence
+    FROM (SELECT *, row_number() OVER (PARTITION BY identity_name, file_path ORDER BY ts DESC, id DESC) AS n FROM edges) GROUP BY 1, 2""",
+    EDGES_SQL,
+)
+def st_05_witness_state(spark, sf_dir):
+    stream, folder = _source(spark, sf_dir)
+    return T.collected(T.witnesses(stream), "update", spark, folder)
+
+
+@query("SELECT file_path, max_by(id, (ts, id)) AS id, max(ts) AS ts, max_by(kind, (ts, id)) AS kind FROM edges GROUP BY 1", EDGES_SQL)
+def st_01_last_change_per_path(spark, sf_dir):
+    return T.last_per_path(edges(spark, sf_dir))
