@@ -3,13 +3,18 @@
 A document's set is its distinct word shingles. XOR-hashing the set into a sketch of bits makes the
 Hamming distance of two sketches a lower bound of the sets' symmetric difference. Two sets of sizes a and
 b with Jaccard similarity of at least p/q differ in at most (a + b)(q - p)/(q + p) elements; so within a
-band of sizes, with that many segments plus one, similar sets agree in some whole segment of their sketch
-(pigeonhole). Sets are joined on (band, segment, its bits); what shares one is verified exactly.
+band of sizes, a sketch cut into more segments than that has whole segments in which similar sets agree
+(pigeonhole). Sets are joined on (band, segment, its bits), the Hamming distance of a short sketch excludes
+most of what shares a segment by chance or by a common passage, and the rest is verified exactly.
+
+The sketch that is cut has 2**64 bits a segment and is never written out: a segment is known by the XOR of
+its shingles' 64-bit hashes. Empty segments say nothing, so there are a few segments more than the
+pigeonhole needs; a set with no more empty ones than that leaves them out.
 
 Copies are reduced to one set first. In a segment shared by many sets, each is held against a few leaders,
 not against all others: sets found to be linked already need no pair of their own, and the rest meets more
 leaders in the next round, until each pair of unlinked sets in each segment has been verified or excluded by
-size. No group is ever paired in full, and no link between different sets is lost.
+size or sketch. No group is ever paired in full, and no link between different sets is lost.
 
 Defined results: null and empty texts, or texts without words, have the empty set and are linked with
 nothing, each other included; a key is expected to stand for one text, and rows that repeat it count as copies; an empty table gives an empty
@@ -27,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, release
 from tessera.llm.pretokens import Memo
 
-SEGMENT_BITS = 32
 #: Sizes of one band differ by less than this factor.
 BAND = 1.5
+#: The lowest bits of a segment's number are its band.
+BAND_BITS = 7
 MEMO = 500_000
 #: Sets that are verified against one leader in one task.
 GROUP = 256
@@ -82,56 +88,99 @@ class Bands:
             lo, hi = (mid, hi) if self.ends[mid] <= size else (lo, mid)
         return lo
 
-    def segments(self, size: int) -> list[tuple[int, int]]:
-        """(band, number of segments) of each band in which a set of this size can be the smaller or larger of a pair."""
+    def segments(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, number of segments, how many of them may be left out) for each band in which a set of this size can be of a pair."""
         out = []
         largest = size * self.whole // self.part
         for band in range(self.of(size), self.of(largest) + 1):
             self.of(self.ends[band])
-            top = self.ends[band + 1] - 1
-            differ = 2 * top * (self.whole - self.part) // (self.whole + self.part)
+            bottom, differ = self.ends[band] * self.part // self.whole, self.most_apart(band)
             if differ:  # else only equal sets are similar
-                out.append((band, differ + 1))
+                empty = np.exp(-bottom / (differ + 1))  # of sets of the least size
+                spare = 2 + int(1.5 * empty * (differ + 1))
+                out.append((band, differ + 1 + spare, spare))
         return out
 
+    def most_apart(self, band: int) -> int:
+        """The largest symmetric difference of similar sets of the band."""
+        self.of(self.ends[band])
+        return 2 * (self.ends[band + 1] - 1) * (self.whole - self.part) // (self.whole + self.part)
+
+    def sketch_words(self, band: int) -> int:
+        """64-bit words of the short sketch: four bits for each element that similar sets may differ in, so that strangers differ in more bits."""
+        return -(-4 * self.most_apart(band) // 64)
+
 
-def sketch(shingles: np.ndarray, band: int, segments: int) -> np.ndarray:
-    """The parity sketch: for each segment, the XOR of one bit for each shingle dealt to it."""
-    bit = _mixed(shingles + np.uint64(band + 1)) % np.uint64(segments * SEGMENT_BITS)
-    parity = (np.bincount(bit.astype(np.int64), minlength=segments * SEGMENT_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").view("<u4")
+def sketch(shingles: np.ndarray, band: int, words: int) -> np.ndarray:
+    """The short parity sketch: the XOR of one bit for each shingle."""
+    bit = _mixed(shingles + np.uint64(2 * band + 1)) % np.uint64(64 * words)
+    parity = (np.bincount(bit.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view("<i8")
 
 
-def _segment_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """(band, segment, bits) of each segment in one 64-bit number."""
-    parts = []
-    for band, segments in bands.segments(len(shingles)):
-        place = (np.uint64(band) << np.uint64(26)) + np.arange(segments, dtype=np.uint64)
-        parts.append(place << np.uint64(32) | sketch(shingles, band, segments).astype(np.uint64))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+def segment_keys(shingles: np.ndarray, band: int, segments: int, spare: int) -> np.ndarray:
+    """A number for each segment and what it holds; without empty segments if there are no more than ``spare``."""
+    mixed = _mixed(shingles + np.uint64(2 * band + 2))
+    place = ((mixed >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    order = np.argsort(place, kind="stable")
+    own, starts = np.unique(place[order], return_index=True)
+    held = np.bitwise_xor.reduceat(_mixed(mixed[order] ^ _MIX), starts)
+    content = np.zeros(segments, np.uint64)
+    content[own.astype(np.int64)] = held
+    key = _mixed(content + _mixed(np.arange(segments, dtype=np.uint64))) << np.uint64(BAND_BITS) | np.uint64(band)
+    return (key if segments - len(own) > spare else key[own.astype(np.int64)]).view(np.int64)
 
 
 def _sketched(docs: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
-    """(key, size, high, low, segments): the set's size, a 128-bit hash of it, and its segment keys."""
+    """Rows (key, first, size, high, low, band, sketch): for each document one for each of its bands, or one without a band.
+
+    high and low are a 128-bit hash of the set.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(part, whole)
         for batch in batches:
-            size, high, low, keys = [], [], [], []
-            for value in batch.column(1):
+            rows = []
+            for i, value in enumerate(batch.column(1)):
                 shingles = shingle_set(value.as_py() or "", words)
                 digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
-                size.append(len(shingles))
-                high.append((digest >> 64) - (1 << 63))
-                low.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                keys.append(_segment_keys(shingles, bands).view(np.int64))
+                same = (len(shingles), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63))
+                own = bands.segments(len(shingles)) if len(shingles) else []
+                if not own:
+                    rows.append((i, True, *same, None, None))
+                for k, (band, _, _) in enumerate(own):
+                    rows.append((i, k == 0, *same, band, sketch(shingles, band, bands.sketch_words(band))))
+            which, first, size, high, low, band, short = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=[key, "size", "high", "low", "segments"],
-            )
+                [
+                    batch.column(0).take(pa.array(which, pa.int64())), pa.array(first, pa.bool_()), pa.array(size, pa.int64()), pa.array(high, pa.int64()),
+                    pa.array(low, pa.int64()), pa.array(band, pa.int32()), pa.array(short, longs),
+                ],
+                names=[key, "first", "size", "high", "low", "band", "sketch"],
+            )
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, first boolean, size long, high long, low long, band int, sketch array<long>")
+
+
+def _segments(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
+    """(id, segment): the segment keys, in all their bands, of the documents whose key is an id."""
+    few = ids.count() <= BROADCAST_IDS
+    chosen = ids.select(F.col("id").alias(key))
+    rows = docs.select(key, text).join(F.broadcast(chosen) if few else chosen, key, "left_semi")
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, size long, high long, low long, segments array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(part, whole)
+        for batch in batches:
+            keys = []
+            for value in batch.column(1):
+                shingles = shingle_set(value.as_py() or "", words)
+                own = [segment_keys(shingles, *band) for band in (bands.segments(len(shingles)) if len(shingles) else [])]
+                keys.append(np.concatenate(own) if own else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "segments"])
+
+    return rows.mapInArrow(run, "id long, segments array<long>").select("id", F.explode("segments").alias("segment"))
 
 
 def _smallest_labels(edges: DataFrame) -> DataFrame:
@@ -148,9 +197,12 @@ def _smallest_labels(edges: DataFrame) -> DataFrame:
         jump = better.select(F.col("id").alias("new"), F.col("new").alias("jump"))
         after = better.join(jump, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("label"), F.col("old"))
         after = checkpointed(after)
-        if after.where("label <> old").isEmpty():
-            return after.select("id", "label")
+        done = after.where("label <> old").isEmpty()
         labels = after.select("id", "label")
+        if done:
+            return labels
+        del near, better, jump, after
+        release(edges.sparkSession)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
@@ -182,8 +234,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int
         data, ids = table.column("shingles"), table.column(key)
         first = leads.index(True)
         leader = np.frombuffer(data[first].as_py(), np.uint64)
-        bands = Bands(part, whole)
-        sketches: dict = {}
         b, shared = [], []
         for i, is_leader in enumerate(leads):
             if is_leader:
@@ -192,14 +242,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int
             small, large = sorted((len(leader), len(other)))
             if small * whole < large * part:
                 continue
-            band = bands.of(large)
-            segments = dict(bands.segments(large)).get(band)
-            if segments:
-                if band not in sketches:
-                    sketches[band] = sketch(leader, band, segments)
-                apart = int(np.bitwise_count(sketches[band] ^ sketch(other, band, segments)).sum())
-                if apart * (whole + part) > (small + large) * (whole - part):
-                    continue
             same = len(np.intersect1d(leader, other, assume_unique=True))
             if same * whole >= part * (small + large - same):
                 b.append(ids[i].as_py())
@@ -218,44 +260,53 @@ def jaccard_components(
     neither set is empty. Keys are numbers. ``class_id`` is the smallest key with the same set.
     """
     part, whole = similarity
-    base = checkpointed(_sketched(docs, key, text, words, part, whole))
-    classes = base.where("size > 0").groupBy("high", "low").agg(F.min(key).alias("class_id"), F.min("size").alias("size"))
-    segments = base.where("size > 0").select("high", "low", F.explode("segments").alias("segment"))
-    # a segment that different sets share; the first half of the hash tells them apart well enough here
-    shared = segments.groupBy("segment").agg(F.min("high").alias("least"), F.max("high").alias("most")).where("least <> most").select("segment")
-    inside = segments.join(shared, "segment", "left_semi").distinct()
-    members = checkpointed(inside.join(classes, ["high", "low"]).where(F.col("class_id").isNotNull()).select("segment", F.col("class_id").cast("long").alias("id"), "size"))
+    rows = checkpointed(_sketched(docs, key, text, words, part, whole))
+    base = rows.where("first").select(key, "size", "high", "low")
+    classes = base.where("size > 0").groupBy("high", "low").agg(F.min(key).alias("class_id"))
+    # one row for each set and band, whatever the number of its copies; only then are the segments dealt out
+    banded = rows.where("band is not null").groupBy("high", "low", "band")
+    id_ = F.min(key).cast("long").alias("id")
+    sets = checkpointed(banded.agg(id_, F.min("size").alias("size"), F.first("sketch").alias("sketch")).where("id is not null").select("id", "band", "size", "sketch"))
+    segments = _segments(docs, sets.select("id").distinct(), key, text, words, part, whole)
+    one = Window.partitionBy("segment")
+    shared = segments.withColumns({"least": F.min("id").over(one), "most": F.max("id").over(one)}).where("least <> most")
+    members = checkpointed(shared.select("segment", "id"))
 
     edges, tested, labels, leaders = None, None, None, 1
     while True:
-        pending = members.withColumn("label", F.col("id"))
+        open_ = members.withColumn("label", F.col("id"))
         if labels is not None:
-            pending = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = pending.groupBy("segment").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("segment")
-        open_ = checkpointed(pending.join(mixed, "segment", "left_semi"))
+            named = members.join(labels, "id", "left").select("segment", "id", F.coalesce("label", "id").alias("label"))
+            mixed = named.groupBy("segment").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("segment")
+            open_ = checkpointed(named.join(mixed, "segment", "left_semi"))
+        left = open_.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        open_ = open_.withColumn("band", F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int")).join(sets, ["id", "band"])
         place = F.row_number().over(Window.partitionBy("segment").orderBy("id"))
         lead = open_.withColumn("place", place).where(F.col("place") <= leaders)
-        lead = lead.select("segment", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+        lead = lead.select("segment", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
+        apart = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         pairs = open_.join(lead, "segment").where(
             (F.col("label") != F.col("label_a"))
             & (F.col("a") != F.col("id"))
             & (F.least("size", "size_a") * whole >= F.greatest("size", "size_a") * part)
+            & (apart * (whole + part) <= (F.col("size") + F.col("size_a")) * (whole - part))
         )
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        left = open_.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if not pairs.isEmpty():
             found = _verified(docs, pairs, key, text, words, part, whole)
             tested = pairs if tested is None else checkpointed(tested.union(pairs))
             if not found.isEmpty():
                 edges = found if edges is None else edges.union(found)
                 labels = _smallest_labels(edges)
+        del open_, lead, pairs
+        release(docs.sparkSession)
         if left <= leaders:  # every pair of unlinked sets in every segment has been looked at
             break
         leaders *= 4
-    out = base.join(classes.drop("size"), ["high", "low"], "left").select(F.col(key), F.col("size").alias("n_shingles"), "class_id")
+    out = base.join(classes, ["high", "low"], "left").select(F.col(key), F.col("size").alias("n_shingles"), "class_id")
     out = out.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", key)).otherwise(F.col(key)))
     if labels is None:
         return out.withColumn("component_id", F.col("class_id")).select(key, "n_shingles", "component_id", "class_id")
