@@ -94,7 +94,7 @@ def lexical(pages: DataFrame, url: str, host: str, path: str) -> DataFrame:
             "f_www": F.startswith(F.col(host), F.lit("www.")).cast("double"),
             "f_secure": F.startswith(text, F.lit("https:")).cast("double"),
             "suffix": _bucket(F.substring_index(host, ".", -2)),
-            "end": _bucket(F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.element_at(F.split(path, "/"), 2))),
+            "end": _bucket(F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.try_element_at(F.split(path, "/"), F.lit(2)))),
         }
     )
 
