@@ -197,7 +197,7 @@ def _sample(labels: DataFrame, key: str, label: str, bound: int) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    documents: int = 16_000, sentences: int = 24_000, landmarks: int = 256,
+    documents: int = 16_000, sentences: int = 12_000, landmarks: int = 256,
 ) -> Model:
     """Fits on at most ``documents`` labelled documents and ``sentences`` of their sentences.
 
