@@ -6,9 +6,8 @@ and encodes it once; and each document as the positions' word numbers. The words
 block, where the documents are put together by position. Decoding joins the ids with the token-byte table.
 
 Defined results: a null or empty text has no ids (an empty array) and decodes to no bytes; repeated
-rows keep a row each; an empty table gives an empty result; extra columns are not touched. ``docs`` is
-read twice and must give the same rows in the same order each time, as tables in files do; checkpoint
-anything else first. A block whose two readings differ raises an error.
+rows keep a row each; an empty table gives an empty result; extra columns are not touched. Should a task
+be run again over other rows than before, its block's words and documents differ, which raises an error.
 """
 
 from __future__ import annotations
@@ -18,20 +17,21 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import pretokens
 from tessera.llm.common import partitions
 
 #: Characters of text after which a block of documents is closed.
-BLOCK_CHARS = 32_000_000
-#: Spaced parts that a worker remembers with their word numbers, and words with their ids.
-MEMO = 500_000
+BLOCK_CHARS = 6_000_000
+#: Words that a worker remembers with their ids.
+MEMO = 200_000
 
 
 def _pack(data: np.ndarray) -> bytes:
@@ -41,51 +41,74 @@ def _pack(data: np.ndarray) -> bytes:
 
 def _unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 class Block:
-    """Documents whose words are numbered as they first occur."""
+    """Documents whose words are numbered as they first occur.
+
+    A text is cut at its spaces, and what stands between two is worked out once for each block; so a
+    document is first a list of numbers of such parts, then by numpy one of the words in the parts.
+    """
 
     def __init__(self, pattern: str):
         self.matches = pretokens.compiled(pattern).findall
         self.numbers: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.documents, self.chars, self.check = 0, 0, 0
+        self.words_in: list[list[int]] = []
+        self.after_space, self.at_start = pretokens.Memo(lambda part: self.part(" " + part), 1 << 62), pretokens.Memo(self.part, 1 << 62)
+        self.rows, self.chars = [], 0
 
-    def number(self, words: list[str]) -> list[int]:
+    def part(self, text: str) -> int:
         numbers = self.numbers
-        return [numbers.setdefault(w, len(numbers)) for w in words]
+        self.words_in.append([numbers.setdefault(w, len(numbers)) for w in self.matches(text)])
+        return len(self.words_in) - 1
 
-    def add(self, text: str) -> list[int]:
-        """The word numbers of the text's pre-tokens, in order."""
-        self.documents, self.chars = self.documents + 1, self.chars + len(text)
-        self.check = zlib.crc32(len(text).to_bytes(8, "little"), self.check)
+    def add(self, key: pa.Scalar, text: str) -> None:
+        self.chars += len(text)
         cut = pretokens.cut(text)
         if cut is None:
-            return self.number(self.matches(text))
-        out, parts = self.number(self.matches(cut[0])), self.parts
-        for part in cut[1]:
-            got = parts.get(part)
-            if got is None:
-                if len(parts) >= MEMO:
-                    parts.clear()
-                got = parts[part] = self.number(self.matches(" " + part))
-            out += got
-        return out
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block, list]]:
-    """(block number, block, [(key, word numbers)]) of one task."""
-    block, rows, base, count = Block(pattern), [], TaskContext.get().partitionId() << 24, 0
+            parts = np.array([self.at_start[text]])
+        else:
+            parts = np.fromiter((self.at_start[cut[0]], *map(self.after_space.__getitem__, cut[1])), np.int64, len(cut[1]) + 1)
+        self.rows.append((key, parts))
+
+    def documents(self, some: int = 500) -> Iterator[tuple[list[pa.Scalar], np.ndarray, np.ndarray]]:
+        """(keys, number of words of each, their word numbers in order), so many documents at a time."""
+        count = np.fromiter(map(len, self.words_in), np.int64, len(self.words_in))
+        flat = np.fromiter((n for own in self.words_in for n in own), np.int64, int(count.sum()))
+        start = np.cumsum(count) - count
+        for at in range(0, len(self.rows), some):
+            keys, parts = zip(*self.rows[at : at + some], strict=True)
+            joined = np.concatenate(parts)
+            words, n = _spread(start[joined], count[joined]), np.array([count[p].sum() for p in parts])
+            yield list(keys), n, flat[words]
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, run after run."""
+    end = np.cumsum(count)
+    return np.repeat(start - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block]]:
+    """(block number, block) of one task."""
+    block, at = Block(pattern), TaskContext.get().partitionId() << 24
     for batch in batches:
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            rows.append((key, np.array(block.add(text.as_py() or ""), np.uint32)))
+            block.add(key, text.as_py() or "")
             if block.chars >= BLOCK_CHARS:
-                yield base + count, block, rows
-                block, rows, count = Block(pattern), [], count + 1
-    if rows:
-        yield base + count, block, rows
+                yield at, block
+                block, at = Block(pattern), at + 1
+    if block.rows:
+        yield at, block
+
+
+def _row(at: int, block: int, keys: pa.Array, a: bytes, b: bytes, c: bytes | None, n_words: int) -> pa.RecordBatch:
+    """Of words (``at`` is negative): their numbers, lengths and bytes; of documents: their keys, numbers of words and word numbers."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([at], pa.int64()), pa.array([block], pa.int64()), keys, pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([c], pa.binary()), pa.array([n_words], pa.int64())],
+        names=["at", "block", "keys", "a", "b", "c", "n_words"],
+    )
 
 
 @cache
@@ -97,64 +120,58 @@ def _word_encoder(ranks_path: str, pattern: str) -> pretokens.Memo:
 def encode(docs: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", spread: int | None = None) -> DataFrame:
     """(key, ids array<int>): the ids of each match of ``pattern``, without special tokens."""
     spread = spread or partitions(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
 
-    def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, block, _ in _blocks(batches, pattern):
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, block in _blocks(batches, pattern):
             words = [w.encode() for w in block.numbers]
             shard = np.fromiter((zlib.crc32(w) % spread for w in words), np.int64, len(words))
             for one in np.unique(shard):
                 mine = np.flatnonzero(shard == one)
                 lengths = np.fromiter((len(words[i]) for i in mine), np.int64, len(mine))
                 steps, joined = np.diff(mine, prepend=0), zstandard.compress(b"".join(words[i] for i in mine), 3)
-                yield pa.RecordBatch.from_pydict({"shard": [int(one)], "block": [at], "numbers": [_pack(steps)], "lengths": [_pack(lengths)], "words": [joined]})
-
-    def documents_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, block, rows in _blocks(batches, pattern):
-            for some in range(0, len(rows), 500):
-                keys, numbers = zip(*rows[some : some + 500], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at] * len(keys), pa.int64()), pa.array([k.as_py() for k in keys], keys[0].type), pa.array([_pack(n) for n in numbers]), pa.array([len(block.numbers)] * len(keys), pa.int64())],
-                    names=["block", key, "numbers", "n_words"],
-                )
+                yield _row(-1 - int(one), at, pa.array([None], pa.list_(key_type)), _pack(steps), _pack(lengths), joined, 0)
+            for keys, n, numbers in block.documents():
+                named = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array([k.as_py() for k in keys], key_type))
+                yield _row(at, at, named, _pack(n), _pack(numbers), None, len(words))
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_encoder(ranks_path, pattern)
         for batch in batches:
-            for row in batch.to_pylist():
-                ends = np.cumsum(_unpack(row["lengths"]).astype(np.int64)).tolist()
-                joined = zstandard.decompress(row["words"])
+            words = batch.filter(pc.less(batch.column(0), 0)).select(["block", "a", "b", "c"])
+            for row in words.to_pylist():
+                ends = np.cumsum(_unpack(row["b"])).tolist()
+                joined = zstandard.decompress(row["c"])
                 ids = [known[joined[a:b]] for a, b in zip([0, *ends], ends, strict=False)]
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((i for word in ids for i in word), np.int64, int(counts.sum()))
-                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "numbers": [row["numbers"]], "counts": [_pack(counts)], "ids": [_pack(flat)]})
-
-    def together(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if documents.empty:
-            return pd.DataFrame({key: documents[key] if key in documents else [], "ids": []})
-        total = int(documents["n_words"].iloc[0])
-        count, start, pool, at = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0
-        for row in words.itertuples():
-            numbers, counts, ids = np.cumsum(_unpack(row.numbers).astype(np.int64)), _unpack(row.counts).astype(np.int64), _unpack(row.ids)
+                yield pa.RecordBatch.from_pydict({"at": [row["block"]], "numbers": [row["a"]], "counts": [_pack(counts)], "ids": [_pack(flat)]})
+
+    def together(documents: pa.Table, words: pa.Table) -> pa.Table:
+        if not documents.num_rows or documents.column("at")[0].as_py() < 0:
+            return pa.table({key: pa.array([], documents.schema.field("keys").type.value_type), "ids": pa.array([], pa.list_(pa.int32()))})
+        total = documents.column("n_words")[0].as_py()
+        count, start, pool, at = np.zeros(total, np.int64), np.zeros(total, np.int64), [np.zeros(0, np.int32)], 0
+        for row in words.to_pylist():
+            numbers, counts = np.cumsum(_unpack(row["numbers"])), _unpack(row["counts"])
             count[numbers], start[numbers] = counts, at + np.cumsum(counts) - counts
-            pool.append(ids)
-            at += len(ids)
-        flat = np.concatenate(pool).astype(np.int32) if pool else np.zeros(0, np.int32)
-        if (documents["n_words"] != total).any() or (count == 0).any():
+            pool.append(_unpack(row["ids"]).astype(np.int32))
+            at += len(pool[-1])
+        flat = np.concatenate(pool)
+        if any(n != total for n in documents.column("n_words").to_pylist()) or (count == 0).any():
             raise ValueError("a block of documents and its words differ: docs gave other rows when it was read again")
-        ids = []
-        for data in documents["numbers"]:
-            numbers = _unpack(data)
-            n = count[numbers]
-            end = np.cumsum(n)
-            ids.append(flat[np.repeat(start[numbers] - (end - n), n) + np.arange(end[-1] if len(end) else 0)])
-        return pd.DataFrame({key: documents[key], "ids": ids})
+        parts = []
+        for keys, n, numbers in zip(documents.column("keys"), documents.column("a"), documents.column("b"), strict=True):
+            words_of, numbers = np.cumsum(_unpack(n.as_py())), _unpack(numbers.as_py())
+            ids = pa.array(flat[_spread(start[numbers], count[numbers])])
+            ends = np.concatenate([[0], np.cumsum(count[numbers])])[np.concatenate([[0], words_of])]
+            parts.append(pa.table({key: keys.values, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)}))
+        return pa.concat_tables(parts)
 
-    source = docs.select(key, text)
-    documents = source.mapInArrow(documents_out, f"block long, `{key}` {kind}, numbers binary, n_words long")
-    words = source.mapInArrow(words_out, "shard long, block long, numbers binary, lengths binary, words binary")
-    encoded = words.repartition(spread, "shard").mapInArrow(encode_words, "block long, numbers binary, counts binary, ids binary")
-    return documents.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(together, f"`{key}` {kind}, ids array<int>")
+    # one shuffle deals out both, words by their shard and documents by their block; Spark runs it once for the two uses
+    both = docs.select(key, text).mapInArrow(cut_up, f"at long, block long, keys array<{kind}>, a binary, b binary, c binary, n_words long").repartition(spread, "at")
+    encoded = both.mapInArrow(encode_words, "at long, numbers binary, counts binary, ids binary")
+    return both.groupBy("at").cogroup(encoded.groupBy("at")).applyInArrow(together, f"`{key}` {kind}, ids array<int>")
 
 
 @cache
@@ -175,9 +192,18 @@ def decode(encoded: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(ranks_path, pattern)
+        length = np.fromiter(map(len, table), np.int64, len(table))
+        flat, start = np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length
         for batch in batches:
-            out = [b"".join(map(table.__getitem__, row.values.to_pylist())) if row.is_valid else b"" for row in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "decoded"])
+            for at in range(0, batch.num_rows, 100):
+                rows = batch.slice(at, 100)
+                column = rows.column(1)
+                own = column.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.asarray(column.value_lengths().fill_null(0))
+                after = np.concatenate([[0], np.cumsum(length[own])])[np.concatenate([[0], np.cumsum(sizes)])]
+                out = pa.py_buffer(flat[_spread(start[own], length[own])].tobytes())
+                text = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(after.astype(np.int32).tobytes()), out])
+                yield pa.RecordBatch.from_arrays([rows.column(0), text], names=[key, "decoded"])
 
     return encoded.select(key, ids).mapInArrow(join, f"`{key}` {kind}, decoded binary")
 
