@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, span_digests
+from tessera.llm.linear import fit_logistic
 
 # The base patterns of the contract.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -170,20 +171,6 @@ def _features(votes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.stack(ones, 1).astype(float)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; ``y`` may be soft."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + ridge * beta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(curve, slope)
-        beta -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(key, spans array<struct<kind, start, end, base>>) of each document, by kind as listed, then start.
 
