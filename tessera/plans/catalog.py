@@ -6,7 +6,7 @@ import importlib
 
 from tessera.plans.registry import CALLS, SQL, Query
 
-MODULES = ("events", "changelog", "search", "graphs", "files", "transcripts", "streams")
+MODULES = ("events", "changelog", "search", "graphs", "files", "transcripts", "code", "streams")
 
 
 def _load() -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import changelog as C
+from tessera.operators import code as K
 from tessera.operators import events as E
 from tessera.operators import files as P
 from tessera.operators import graph as G
@@ -177,3 +178,18 @@ def test_target_files(spark):
 def test_diff_counts(spark):
     got = P.unified_diffs(spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, "s", "s")], "id long, old string, new string")).orderBy("id").collect()
     assert [(r["insertions"], r["deletions"]) for r in got] == [(2, 1), (0, 0)]
+
+
+def test_import_clauses_and_gaps(spark):
+    text = "import a, { b, c as d } from 'pkg/deep';\nimport * as e from '@s/p/x';\nimport './side';\nb(); e.f();"
+    files = spark.createDataFrame([("m.ts", text)], "file_path string, content string")
+    got = {(r["module"], r["imported"], r["local"]) for r in K.import_clauses(files).collect()}
+    assert got == {("pkg/deep", "default", "a"), ("pkg/deep", "b", "b"), ("pkg/deep", "c", "d"), ("@s/p/x", "*", "e"), ("./side", None, None)}
+    assert values(K.unused_imports(files), "local") == [("a",), ("d",)]
+    declared = spark.createDataFrame([("pkg",), ("@s/p",), ("unused",)], "name string")
+    assert values(K.undeclared(declared, K.import_clauses(files)), "name") == [("unused",)]
+
+
+def test_python_symbols(spark):
+    files = spark.createDataFrame([("a.py", "class A:\n    def f(self):\n        return 1\n\ndef g():\n    pass\n"), ("bad.py", "def ("), ("b.ts", "class X {}")], "file_path string, content string")
+    assert values(K.python_symbols(files), "kind", "name", "line_start", "line_end") == [("class", "A", 1, 3), ("function", "g", 5, 6), ("method", "A.f", 2, 3)]
