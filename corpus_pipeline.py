@@ -16,19 +16,14 @@ QUALITY_THRESHOLD = 0.5
 TOXICITY_THRESHOLD = 0.3
 
 
-def _kept(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
-    """The documents whose decision is to keep them; documents without an id are not decided on and stay."""
-    return docs.join(scored.where(~keep).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = quality.quality(docs, table(spark, sf_dir, "labels"), threshold=QUALITY_THRESHOLD)
-    return _kept(docs, found, F.col("keep"))
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, model, threshold=QUALITY_THRESHOLD)
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, toxicity.score(docs, model), F.col("score") < TOXICITY_THRESHOLD)
+    return toxicity.keep_mild(docs, model, threshold=TOXICITY_THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

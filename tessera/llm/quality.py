@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import kept
 from tessera.llm.linear import fit_logistic, sigmoid
 
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
@@ -199,3 +201,16 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, key:
     """(key, score, keep): the chance of good quality, and whether it is at least ``threshold``."""
     scored = score(docs, train(docs, labels, key=key, text=text, label=label), key=key, text=text)
     return scored.select(key, "score", (F.col("score") >= threshold).alias("keep"))
+
+
+def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose chance of good quality is at least ``threshold``."""
+    if model.views is None:
+        return docs.where(F.lit(model.share >= threshold))
+
+    def good(batch: pa.RecordBatch) -> np.ndarray:
+        lang, source, n_chars, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars", text))
+        metadata = [metadata_features(*row) for row in zip(lang, source, n_chars, strict=True)]
+        return model.chance((np.array([text_features(t or "") for t in texts]), np.array(metadata))) >= threshold
+
+    return kept(docs, good)

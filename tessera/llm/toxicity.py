@@ -24,9 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import kept
 from tessera.llm.linear import fit_logistic, fit_svm, sigmoid
 
 SPAN, DECAY = 7, 0.7
@@ -300,6 +302,18 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, score double")
 
 
+def keep_mild(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``."""
+    if model.table is None:
+        return docs.where(F.lit(model.share < threshold))
+
+    def mild(batch: pa.RecordBatch) -> np.ndarray:
+        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        return sigmoid(document_features(texts, model) @ model.calibration) < threshold
+
+    return kept(docs, mild)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(key, held_out, score, predicted): labels of documents whose fold is 2 are not learnt from."""
     model = train(docs, labels.where(fold_of(F.col(key)) != 2), key=key, text=text, label=label)
