@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import pretokens
-from tessera.llm.common import partitions
+from tessera.llm.common import partitions, worker_cache
 
 #: Characters of text after which a block of documents is closed.
 BLOCK_CHARS = 6_000_000
@@ -92,6 +92,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block]]:
     """(block number, block) of one task."""
+    worker_cache("blocks", dict)  # what earlier tasks kept goes
     block, at = Block(pattern), TaskContext.get().partitionId() << 24
     for batch in batches:
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -111,10 +112,9 @@ def _row(at: int, block: int, keys: pa.Array, a: bytes, b: bytes, c: bytes | Non
     )
 
 
-@cache
 def _word_encoder(ranks_path: str, pattern: str) -> pretokens.Memo:
     encode = pretokens.encoding(ranks_path, pattern).encode_ordinary
-    return pretokens.Memo(lambda word: encode(word.decode()), MEMO)
+    return worker_cache(("words", ranks_path, pattern), lambda: pretokens.Memo(lambda word: encode(word.decode()), MEMO))
 
 
 def encode(docs: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", spread: int | None = None) -> DataFrame:

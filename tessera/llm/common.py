@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows of ids in a partition of a table that a loop goes over.
+ROWS_IN_PARTITION = 50_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation.
 
+    With ``rows``, a bound of its number of rows, into no more partitions than they need.
+
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) a temporary folder is made.
     """
@@ -24,6 +30,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_IN_PARTITION)
     return df.checkpoint(eager=True)
 
 
@@ -36,6 +44,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_KEPT: dict[object, object] = {}
+
+
+def worker_cache(name: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that operators don't add up in its memory."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def kept(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` that ``keep`` marks, decided where they stand: nothing is shuffled."""
 

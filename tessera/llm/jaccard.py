@@ -32,20 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import checkpointed, release
+from tessera.llm.common import checkpointed, release, worker_cache
 from tessera.llm.pretokens import Memo
 
 #: Sizes of one band differ by less than this factor.
 BAND = 1.5
 #: The lowest bits of a segment's number are its band.
 BAND_BITS = 7
-MEMO = 500_000
+#: Words that a worker remembers with their hash.
+MEMO = 300_000
 #: Sets that are verified against one leader in one task.
 GROUP = 256
 #: Up to so many rows of ids (32 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
-_WORDS = Memo(lambda word: xxhash.xxh3_64_intdigest(word), MEMO)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +64,8 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    known = worker_cache("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest, MEMO))
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     k = min(words, len(hashes))
     out = np.full(len(hashes) - k + 1, k, np.uint64)
     for i in range(k):
@@ -183,20 +184,20 @@ def _segments(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int,
     return rows.mapInArrow(run, "id long, segments array<long>").select("id", F.explode("segments").alias("segment"))
 
 
-def _smallest_labels(edges: DataFrame) -> DataFrame:
+def _smallest_labels(edges: DataFrame, rows: int) -> DataFrame:
     """(id, label): the smallest id that each id of the edges (a, b) reaches.
 
     Each id takes the smallest label around it and hands it to all around it; labels are then looked up
     in each other, which shortens long chains; it ends when no label changes.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")))
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct(), 2 * rows)
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")), 2 * rows)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         better = labels.join(near, "id").select("id", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         jump = better.select(F.col("id").alias("new"), F.col("new").alias("jump"))
         after = better.join(jump, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("label"), F.col("old"))
-        after = checkpointed(after)
+        after = checkpointed(after, 2 * rows)
         done = after.where("label <> old").isEmpty()
         labels = after.select("id", "label")
         if done:
@@ -205,18 +206,18 @@ def _smallest_labels(edges: DataFrame) -> DataFrame:
         release(edges.sparkSession)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets are similar enough, with the size of the intersection.
 
-    Only documents in a pair are read into sets. A leader's set is sent once to each group of at most about
+    ``count`` is the number of pairs. Only documents in a pair are read into sets. A leader's set is sent once to each group of at most about
     GROUP partners.
     """
     sizes = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP)).cast("int").alias("groups"))
-    pairs = checkpointed(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part")))
+    pairs = checkpointed(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part")), count)
     leaders = pairs.select(F.col("a").alias(key), "a", "part", F.lit(True).alias("leads")).distinct()
     wanted = leaders.unionByName(pairs.select(F.col("b").alias(key), "a", "part", F.lit(False).alias("leads")))
-    wanted = checkpointed(wanted)
-    few = wanted.count() <= BROADCAST_IDS
+    wanted = checkpointed(wanted, 3 * count)
+    few = 3 * count <= BROADCAST_IDS
     rows = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +272,7 @@ def jaccard_components(
     one = Window.partitionBy("segment")
     shared = segments.withColumns({"least": F.min("id").over(one), "most": F.max("id").over(one)}).where("least <> most")
     members = checkpointed(shared.select("segment", "id"))
+    rows_left, links = members.count(), 0
 
     edges, tested, labels, leaders = None, None, None, 1
     while True:
@@ -278,7 +280,8 @@ def jaccard_components(
         if labels is not None:
             named = members.join(labels, "id", "left").select("segment", "id", F.coalesce("label", "id").alias("label"))
             mixed = named.groupBy("segment").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("segment")
-            open_ = checkpointed(named.join(mixed, "segment", "left_semi"))
+            open_ = checkpointed(named.join(mixed, "segment", "left_semi"), rows_left)
+            rows_left = open_.count()
         left = open_.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         open_ = open_.withColumn("band", F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int")).join(sets, ["id", "band"])
         place = F.row_number().over(Window.partitionBy("segment").orderBy("id"))
@@ -294,18 +297,20 @@ def jaccard_components(
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if not pairs.isEmpty():
-            found = _verified(docs, pairs, key, text, words, part, whole)
-            tested = pairs if tested is None else checkpointed(tested.union(pairs))
-            if not found.isEmpty():
-                edges = found if edges is None else edges.union(found)
-                labels = _smallest_labels(edges)
+        pairs = checkpointed(pairs, rows_left * leaders)
+        count = pairs.count()
+        if count:
+            found = _verified(docs, pairs, count, key, text, words, part, whole)
+            tested = pairs if tested is None else tested.union(pairs)
+            more = found.count()
+            if more:
+                edges, links = found if edges is None else edges.union(found), links + more
+                labels = _smallest_labels(edges, links)
         del open_, lead, pairs
         release(docs.sparkSession)
         if left <= leaders:  # every pair of unlinked sets in every segment has been looked at
             break
-        leaders *= 4
+        leaders *= 8
     out = base.join(classes, ["high", "low"], "left").select(F.col(key), F.col("size").alias("n_shingles"), "class_id")
     out = out.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", key)).otherwise(F.col(key)))
     if labels is None:

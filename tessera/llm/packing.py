@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import pretokens
-from tessera.llm.common import checkpointed, partitions
+from tessera.llm.common import checkpointed, partitions, worker_cache
 
 #: Pieces of text that a worker remembers with their ids.
 MEMO = 600_000
@@ -45,9 +44,8 @@ class TextEncoder:
         return self.packed(parts[0]) + b"".join(map(self.after_space.__getitem__, parts[1]))
 
 
-@cache
 def _encoder(ranks_path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(ranks_path, pattern)
+    return worker_cache(("packing", ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern))
 
 
 def pieces(docs: DataFrame, *, ranks_path: str, pattern: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

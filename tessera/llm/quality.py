@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept
+from tessera.llm.common import kept, worker_cache
 from tessera.llm.linear import fit_logistic, sigmoid
 
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
@@ -209,8 +209,10 @@ def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.5, text: st
         return docs.where(F.lit(model.share >= threshold))
 
     def good(batch: pa.RecordBatch) -> np.ndarray:
-        lang, source, n_chars, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars", text))
+        worker_cache("quality", dict)  # what earlier tasks kept goes
+        lang, source, n_chars = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars"))
         metadata = [metadata_features(*row) for row in zip(lang, source, n_chars, strict=True)]
-        return model.chance((np.array([text_features(t or "") for t in texts]), np.array(metadata))) >= threshold
+        content = [text_features(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text))]
+        return model.chance((np.array(content), np.array(metadata))) >= threshold
 
     return kept(docs, good)

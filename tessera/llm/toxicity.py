@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept
+from tessera.llm.common import kept, worker_cache
 from tessera.llm.linear import fit_logistic, fit_svm, sigmoid
 
 SPAN, DECAY = 7, 0.7
@@ -36,7 +36,7 @@ BUCKETS = 1 << 20
 #: Longer words are scored as overlapping windows of WINDOW characters.
 LONGEST, WINDOW = 22, 16
 #: Words that a worker remembers with their score.
-MEMO = 800_000
+MEMO = 400_000
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -163,12 +163,9 @@ class Model:
         return out
 
 
-_KNOWN: dict[int, dict[str, float]] = {}
-
-
 def document_features(texts: list[str], model: Model) -> np.ndarray:
     """Per document: the greatest word score, the number of suspicious words, their sum for the length, the length, a constant."""
-    known = _KNOWN.setdefault(hash(model.table.tobytes()), {})
+    known = worker_cache(("toxicity", hash(model.table.tobytes())), dict)
     out = np.zeros((len(texts), 5))
     for at in range(0, len(texts), 500):
         tokens = [words_of(t) for t in texts[at : at + 500]]
