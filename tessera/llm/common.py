@@ -55,11 +55,18 @@ def worker_cache(name: object, make: Callable[[], object]) -> object:
     return _KEPT[name]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of one part is small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def kept(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` that ``keep`` marks, decided where they stand: nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(keep(batch), pa.bool_()))
 

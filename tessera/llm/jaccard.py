@@ -28,19 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import checkpointed, release, worker_cache
+from tessera.llm.common import checkpointed, release, slices, worker_cache
 from tessera.llm.pretokens import Memo
 
 #: Sizes of one band differ by less than this factor.
 BAND = 1.5
 #: The lowest bits of a segment's number are its band.
 BAND_BITS = 7
+#: 64-bit words of the folded sketch that goes with each segment; the whole one grows with the set and joins pairs only.
+FOLDED = 4
 #: Words that a worker remembers with their hash.
-MEMO = 300_000
+MEMO = 150_000
 #: Sets that are verified against one leader in one task.
 GROUP = 256
 #: Up to so many rows of ids (32 bytes each) are broadcast; more are joined by shuffle.
@@ -119,6 +121,15 @@ def sketch(shingles: np.ndarray, band: int, words: int) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view("<i8")
 
 
+def folded(whole: np.ndarray) -> np.ndarray:
+    """The parity sketch of FOLDED words that the XOR of a longer one's words gives."""
+    if len(whole) <= FOLDED:
+        return whole
+    padded = np.zeros(-(-len(whole) // FOLDED) * FOLDED, whole.dtype)
+    padded[: len(whole)] = whole
+    return np.bitwise_xor.reduce(padded.reshape(-1, FOLDED), axis=0)
+
+
 def segment_keys(shingles: np.ndarray, band: int, segments: int, spare: int) -> np.ndarray:
     """A number for each segment and what it holds; without empty segments if there are no more than ``spare``."""
     mixed = _mixed(shingles + np.uint64(2 * band + 2))
@@ -133,7 +144,7 @@ def segment_keys(shingles: np.ndarray, band: int, segments: int, spare: int) ->
 
 
 def _sketched(docs: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
-    """Rows (key, first, size, high, low, band, sketch): for each document one for each of its bands, or one without a band.
+    """Rows (key, first, size, high, low, band, sketch, folded): for each document one for each of its bands, or one without a band.
 
     high and low are a 128-bit hash of the set.
     """
@@ -142,7 +153,7 @@ def _sketched(docs: DataFrame, key: str, text: str, words: int, part: int, whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(part, whole)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, value in enumerate(batch.column(1)):
                 shingles = shingle_set(value.as_py() or "", words)
@@ -150,19 +161,20 @@ def _sketched(docs: DataFrame, key: str, text: str, words: int, part: int, whole
                 same = (len(shingles), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63))
                 own = bands.segments(len(shingles)) if len(shingles) else []
                 if not own:
-                    rows.append((i, True, *same, None, None))
+                    rows.append((i, True, *same, None, None, None))
                 for k, (band, _, _) in enumerate(own):
-                    rows.append((i, k == 0, *same, band, sketch(shingles, band, bands.sketch_words(band))))
-            which, first, size, high, low, band, short = zip(*rows, strict=True) if rows else [()] * 7
+                    long = sketch(shingles, band, bands.sketch_words(band))
+                    rows.append((i, k == 0, *same, band, long, folded(long)))
+            which, first, size, high, low, band, long, short = zip(*rows, strict=True) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(which, pa.int64())), pa.array(first, pa.bool_()), pa.array(size, pa.int64()), pa.array(high, pa.int64()),
-                    pa.array(low, pa.int64()), pa.array(band, pa.int32()), pa.array(short, longs),
+                    pa.array(low, pa.int64()), pa.array(band, pa.int32()), pa.array(long, longs), pa.array(short, longs),
                 ],
-                names=[key, "first", "size", "high", "low", "band", "sketch"],
+                names=[key, "first", "size", "high", "low", "band", "sketch", "folded"],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, first boolean, size long, high long, low long, band int, sketch array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, first boolean, size long, high long, low long, band int, sketch array<long>, folded array<long>")
 
 
 def _segments(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
@@ -173,7 +185,7 @@ def _segments(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(part, whole)
-        for batch in batches:
+        for batch in slices(batches):
             keys = []
             for value in batch.column(1):
                 shingles = shingle_set(value.as_py() or "", words)
@@ -221,7 +233,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str
     rows = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(value.as_py() or "", words).tobytes() for value in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=[key, "a", "part", "leads", "shingles"])
 
@@ -252,6 +264,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str
     return checkpointed(placed.groupBy("a", "part").applyInArrow(compare, "a long, b long, shared long"))
 
 
+def _apart(x: str, y: str) -> Column:
+    """The Hamming distance of two sketches."""
+    return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, v: n + v)
+
+
 def jaccard_components(
     docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -267,7 +284,8 @@ def jaccard_components(
     # one row for each set and band, whatever the number of its copies; only then are the segments dealt out
     banded = rows.where("band is not null").groupBy("high", "low", "band")
     id_ = F.min(key).cast("long").alias("id")
-    sets = checkpointed(banded.agg(id_, F.min("size").alias("size"), F.first("sketch").alias("sketch")).where("id is not null").select("id", "band", "size", "sketch"))
+    alike = [F.first(c).alias(c) for c in ("size", "sketch", "folded")]  # the same for all copies
+    sets = checkpointed(banded.agg(id_, *alike).where("id is not null").select("id", "band", "size", "sketch", "folded"))
     segments = _segments(docs, sets.select("id").distinct(), key, text, words, part, whole)
     one = Window.partitionBy("segment")
     shared = segments.withColumns({"least": F.min("id").over(one), "most": F.max("id").over(one)}).where("least <> most")
@@ -283,18 +301,21 @@ def jaccard_components(
             open_ = checkpointed(named.join(mixed, "segment", "left_semi"), rows_left)
             rows_left = open_.count()
         left = open_.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        open_ = open_.withColumn("band", F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int")).join(sets, ["id", "band"])
+        open_ = open_.withColumn("band", F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int")).join(sets.drop("sketch"), ["id", "band"])
         place = F.row_number().over(Window.partitionBy("segment").orderBy("id"))
         lead = open_.withColumn("place", place).where(F.col("place") <= leaders)
-        lead = lead.select("segment", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("sketch").alias("sketch_a"))
-        apart = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        lead = lead.select("segment", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("folded").alias("folded_a"))
+        near = lambda x, y, size_x, size_y: _apart(x, y) * (whole + part) <= (F.col(size_x) + F.col(size_y)) * (whole - part)
         pairs = open_.join(lead, "segment").where(
             (F.col("label") != F.col("label_a"))
             & (F.col("a") != F.col("id"))
             & (F.least("size", "size_a") * whole >= F.greatest("size", "size_a") * part)
-            & (apart * (whole + part) <= (F.col("size") + F.col("size_a")) * (whole - part))
+            & near("folded", "folded_a", "size", "size_a")
         )
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        pairs = pairs.select("band", F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        of_a, of_b = (sets.select("band", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        pairs = pairs.join(of_a, ["a", "band"]).join(of_b, ["b", "band"]).where(near("sketch_a", "sketch_b", "size_a", "size_b"))
+        pairs = pairs.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs, rows_left * leaders)
