@@ -5,6 +5,7 @@ Frontiers, labels and parents stay distributed; the driver sees only whether a r
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -64,11 +65,12 @@ def impact(edges: DataFrame, node, *, depth: int = 3, limit: int = 50) -> DataFr
     return out.orderBy(F.desc("score"), F.desc("usages"), "node").limit(limit)
 
 
-def shortest_path(edges: DataFrame, start, end, *, weight: str | None = None, back: float | None = None, max_hops: int = 20) -> DataFrame:
+def shortest_path(edges: DataFrame, start, end, *, weight: str | None = None, back: float | None = None, max_hops: int | None = 20) -> DataFrame:
     """(position, node) along the cheapest path: fewest hops, or least total weight; of equal ones the least by nodes.
 
     ``back`` makes every edge passable against its direction at that many times its weight. Each node keeps
-    its best (cost, path); a round relaxes all edges out of the nodes that got better.
+    its best (cost, path); a round relaxes all edges out of the nodes that got better. Without ``max_hops`` it
+    goes on until none does.
     """
     cost = F.col(weight).cast("double") if weight else F.lit(1.0)
     ways = edges.select("src", "dst", cost.alias("w"))
@@ -78,7 +80,7 @@ def shortest_path(edges: DataFrame, start, end, *, weight: str | None = None, ba
     kind = edges.schema["src"].dataType.simpleString()
     best = cut(edges.sparkSession.createDataFrame([(start, 0.0, [start])], f"node {kind}, cost double, path array<{kind}>"))
     frontier = best
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         step = ways.join(frontier.withColumnRenamed("node", "src"), "src").where(~F.array_contains("path", F.col("dst")))
         step = step.select(F.col("dst").alias("node"), F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
         both = step.withColumn("new", F.lit(1)).unionByName(best.withColumn("new", F.lit(0)))

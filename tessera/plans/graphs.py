@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.operators import views as V
 from tessera.plans.registry import query
-from tessera.sources.tables import IMPORTS_SQL, SMALL_GRAPH_SQL, imports, small_graph
+from tessera.sources.tables import FOLLOW_GRAPH_SQL, IMPORTS_SQL, SMALL_GRAPH_SQL, follow_graph, imports, small_graph
 
 _BOTH = "both_ways AS (SELECT src, dst FROM imports UNION SELECT dst, src FROM imports)"
 
@@ -128,7 +129,7 @@ def gr_14_modularity(spark, sf_dir):
 
 @query()
 def gr_13_communities(spark, sf_dir):
-    return G.communities(small_graph(spark, sf_dir))
+    return G.communities(follow_graph(spark, sf_dir))
 
 
 @query("SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i + o) AS BIGINT) AS coupling FROM (SELECT src AS node, 0 AS i, 1 AS o FROM imports UNION ALL SELECT dst, 1, 0 FROM imports) GROUP BY node", IMPORTS_SQL)
@@ -156,4 +157,93 @@ def gr_17_session_chain(spark, sf_dir):
 @query()
 def rf_10_plan_context(spark, sf_dir):
     seeds = spark.createDataFrame([(3, 1.0), (9, 0.8)], "node long, score double")
-    return G.plan_context(small_graph(spark, sf_dir), seeds, hops=1)
+    return G.plan_context(follow_graph(spark, sf_dir), seeds, hops=1)
+
+
+# The queries above that have SQL of the small graph, over all events. Those without SQL are too slow as recursion.
+
+
+def _nodes(g):
+    return g.select(F.col("src").alias("node")).union(g.select("dst"))
+
+
+@query(f"SELECT DISTINCT src, dst FROM graph WHERE src IN (SELECT node FROM {_reach('graph', 3, 2)}) AND dst IN (SELECT node FROM {_reach('graph', 3, 2)})", FOLLOW_GRAPH_SQL)
+def gr_02_subgraph_whole(spark, sf_dir):
+    return G.subgraph(follow_graph(spark, sf_dir), 3, depth=2)
+
+
+@query(
+    f"""SELECT src AS node, min(level) AS depth, CAST(sum(usage) AS BIGINT) AS usages, round(sum(usage / level), 6) AS score FROM (
+      SELECT e.src, e.usage, n.depth + 1 AS level FROM graph e JOIN {_reach("graph", 5, 3, False)} n ON e.dst = n.node WHERE n.depth < 3 AND e.src <> 5)
+    GROUP BY 1 ORDER BY score DESC, usages DESC, node LIMIT 50""",
+    FOLLOW_GRAPH_SQL,
+)
+def gr_04_impact_whole(spark, sf_dir):
+    return G.impact(follow_graph(spark, sf_dir), 5, depth=3)
+
+
+@query()
+def gr_05_weighted_trace_whole(spark, sf_dir):
+    return G.shortest_path(follow_graph(spark, sf_dir).withColumn("w", 1.0 / F.col("usage")), 3, 9, weight="w", back=1.5, max_hops=None)
+
+
+@query()
+def gr_06_shortest_path_whole(spark, sf_dir):
+    return G.shortest_path(follow_graph(spark, sf_dir), 3, 9, max_hops=None)
+
+
+@query(
+    """SELECT node, CASE WHEN regexp_matches(CAST(node AS VARCHAR), '7$') THEN 'seven' WHEN regexp_matches(CAST(node AS VARCHAR), '^1') THEN 'one' ELSE 'no_importers' END AS bucket
+    FROM (SELECT src AS node FROM graph UNION SELECT dst FROM graph) WHERE regexp_matches(CAST(node AS VARCHAR), '7$|^1') OR node NOT IN (SELECT dst FROM graph)""",
+    FOLLOW_GRAPH_SQL,
+)
+def gr_07_entrypoints_whole(spark, sf_dir):
+    g = follow_graph(spark, sf_dir)
+    return G.entrypoints(_nodes(g), g, {"seven": "7$", "one": "^1"})
+
+
+@query(
+    """SELECT node FROM (SELECT src AS node FROM graph UNION SELECT dst FROM graph) WHERE node NOT IN (
+      WITH RECURSIVE r(node) AS (SELECT DISTINCT src FROM graph WHERE src % 10 = 1 UNION SELECT e.dst FROM r JOIN graph e ON e.src = r.node) SELECT node FROM r)""",
+    FOLLOW_GRAPH_SQL,
+)
+def gr_08_dead_nodes_whole(spark, sf_dir):
+    g = follow_graph(spark, sf_dir)
+    return G.dead(_nodes(g), g, g.where("src % 10 = 1").select(F.col("src").alias("node")))
+
+
+@query()
+def gr_10_cycles_whole(spark, sf_dir):
+    return G.cycles(follow_graph(spark, sf_dir))
+
+
+@query()
+def gr_11_cycle_sizes_whole(spark, sf_dir):
+    parts = G.strong_components(follow_graph(spark, sf_dir))
+    return parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+
+
+@query(f"SELECT node, depth FROM {_reach('graph', 4, 30, False)}", FOLLOW_GRAPH_SQL)
+def gr_12_transitive_consumers_whole(spark, sf_dir):
+    g = follow_graph(spark, sf_dir)
+    return G.bfs(g.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(4,)], "node long"))
+
+
+@query(
+    """SELECT round(sum(coalesce(i.inside, 0) / m2 - (ends / m2) * (ends / m2)), 6) AS q FROM (SELECT c, sum(w) AS ends FROM (SELECT src % 5 AS c, CAST(usage AS DOUBLE) AS w FROM graph UNION ALL SELECT dst % 5, usage FROM graph) GROUP BY c) e
+    LEFT JOIN (SELECT src % 5 AS c, 2 * sum(CAST(usage AS DOUBLE)) AS inside FROM graph WHERE src % 5 = dst % 5 GROUP BY 1) i USING (c), (SELECT 2 * sum(CAST(usage AS DOUBLE)) AS m2 FROM graph)""",
+    FOLLOW_GRAPH_SQL,
+)
+def gr_14_modularity_whole(spark, sf_dir):
+    g = follow_graph(spark, sf_dir)
+    return G.modularity(g.withColumn("w", F.col("usage")), _nodes(g).distinct().withColumn("community", F.col("node") % 5))
+
+
+@query()
+def gr_15_components_whole(spark, sf_dir):
+    return G.components(follow_graph(spark, sf_dir))
+
+
+@query("SELECT node, usage, usage >= 0.75 * max(usage) OVER () AS heavy FROM (SELECT node, CAST(sum(usage) AS BIGINT) AS usage FROM (SELECT src AS node, usage FROM graph UNION ALL SELECT dst, usage FROM graph) GROUP BY 1)", FOLLOW_GRAPH_SQL)
+def ag_14_reference_usage_whole(spark, sf_dir):
+    return V.usage_marks(follow_graph(spark, sf_dir))

@@ -135,15 +135,42 @@ IMPORTS_SQL = """imports AS (
   ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 
 
-def small_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph (src, dst, usage) of users who follow each other in the event log."""
+def _followed(log: DataFrame) -> DataFrame:
+    """``log`` (user_id, ts, event_id) with ``dst``, the user of the next row by time.
+
+    Rows are dealt by ranges of time; the first user of each range, one row a range, is carried to the range before.
+    """
     from pyspark.sql.window import Window
 
-    # one window over a log this small; the graph operators themselves never sort globally
-    order = Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")
-    pairs = read(spark, sf_dir, "events").where("event_id % 8 = 0").select("user_id", "ts", "event_id").withColumn("dst", F.lead("user_id").over(order))
-    pairs = pairs.where("dst is not null and dst <> user_id and event_id % 24 <> 0")
-    return pairs.groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("usage"))
+    from tessera.operators.graph import cut
+
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(log.select("user_id", "ts", "event_id").repartitionByRange(n, "ts", "event_id", "user_id").withColumn("range", F.spark_partition_id()))
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("first"))
+    # one row for each range
+    carried = firsts.select("range", F.lead("first.user_id").over(Window.partitionBy(F.lit(0)).orderBy("range")).alias("carried"))
+    inside = F.lead(F.struct("user_id")).over(Window.partitionBy("range").orderBy("ts", "event_id", "user_id"))
+    ahead = ranged.withColumn("inside", inside).join(F.broadcast(carried), "range")
+    return ahead.select("user_id", "event_id", F.when(F.col("inside").isNull(), F.col("carried")).otherwise(F.col("inside.user_id")).alias("dst"))
+
+
+def _usage(pairs: DataFrame) -> DataFrame:
+    return pairs.where("dst is not null and dst <> user_id").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("usage"))
+
+
+def follow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cyclic graph (src, dst, usage) of users who follow each other in the event log, over all events."""
+    return _usage(_followed(read(spark, sf_dir, "events")))
+
+
+FOLLOW_GRAPH_SQL = """graph AS (
+  SELECT user_id AS src, dst, count(*) AS usage FROM (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events)
+  WHERE dst IS NOT NULL AND dst <> user_id GROUP BY ALL)"""
+
+
+def small_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a twelfth of the log, as SMALL_GRAPH_SQL has it: small enough for recursive SQL. ``follow_graph`` is the whole one."""
+    return _usage(_followed(read(spark, sf_dir, "events").where("event_id % 8 = 0")).where("event_id % 24 <> 0"))
 
 
 SMALL_GRAPH_SQL = """graph AS (
