@@ -44,7 +44,7 @@ def st_04_deduplicated(spark, sf_dir):
 )
 def st_05_witness_state(spark, sf_dir):
     stream, folder = _source(spark, sf_dir)
-    return T.collected(T.witnesses(stream), "update", spark, folder)
+    return T.collected(T.witnesses(stream), "update", spark, folder, keys=["identity_name", "file_path"])
 
 
 @query("SELECT file_path, max_by(id, (ts, id)) AS id, max(ts) AS ts, max_by(kind, (ts, id)) AS kind FROM edges GROUP BY 1", EDGES_SQL)

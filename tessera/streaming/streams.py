@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +34,22 @@ def sessions(stream: DataFrame, *, at: str = "at", by: str = "identity_name", ga
 
 
 def witnesses(stream: DataFrame, *, most: int = 8) -> DataFrame:
-    """Running state for each (identity_name, file_path): events so far, confidence up to 100, the newest kinds."""
+    """Running state for each (identity_name, file_path): events so far, confidence up to 100, the newest kinds.
+
+    The state keeps (ts, id, kind) of the newest, so that frames and batches may come in any order.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, recent = state.get if state.exists else (0, "")
-        kinds = [k for k in recent.split(",") if k]
+        total, recent = state.get if state.exists else (0, "[]")
+        newest = [tuple(r) for r in json.loads(recent)]
         for frame in frames:
             total += len(frame)
-            kinds = [*frame.sort_values(["ts", "id"], ascending=False)["kind"], *kinds][:most]
-        state.update((total, ",".join(kinds)))
-        yield pd.DataFrame({"identity_name": [key[0]], "file_path": [key[1]], "total": [total], "confidence": [min(100, total * 10)], "evidence": [",".join(kinds)]})
+            own = frame[["ts", "id", "kind"]].astype(object).where(frame[["ts", "id", "kind"]].notna(), None)
+            newest += [(None if t is None else int(t), None if i is None else int(i), k) for t, i, k in own.itertuples(index=False)]
+            newest = sorted(newest, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0), reverse=True)[:most]
+        state.update((total, json.dumps(newest)))
+        evidence = ",".join(k for _, _, k in newest if k is not None)
+        yield pd.DataFrame({"identity_name": [key[0]], "file_path": [key[1]], "total": [total], "confidence": [min(100, total * 10)], "evidence": [evidence]})
 
     return stream.groupBy("identity_name", "file_path").applyInPandasWithState(
         update, "identity_name string, file_path string, total long, confidence long, evidence string", "total long, recent string", "update", GroupStateTimeout.NoTimeout
@@ -60,11 +67,21 @@ def last_per_path(batch: DataFrame) -> DataFrame:
     return batch.groupBy("file_path").agg(F.max_by(F.struct("id", "ts", "kind"), F.struct("ts", "id")).alias("v")).select("file_path", "v.*")
 
 
-def collected(stream: DataFrame, mode: str, spark: SparkSession, folder: str) -> DataFrame:
-    """Drains a stream of what there is now into a table of files and reads it."""
+def collected(stream: DataFrame, mode: str, spark: SparkSession, folder: str, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Drains a stream of what there is now into a table of files and reads it.
+
+    In update mode a batch holds only the ``keys`` that it touched: each batch is kept, and the last row of each key is read.
+    """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     checkpoint, out = f"{folder}/checkpoint", f"{folder}/out"
     if mode == "append":
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
-    else:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.parquet(out)
+        return spark.read.parquet(out)
+    place = (lambda n: f"{out}/batch={n}") if mode == "update" else (lambda n: out)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(place(n))).start().awaitTermination()
+    found = spark.read.parquet(out)
+    if mode != "update":
+        return found
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
