@@ -1,7 +1,8 @@
 """Document quality by co-training: one classifier on what the text holds, one on the page's metadata.
 
 Both start from the labelled documents. In each round, either view labels the unlabelled documents that it
-is most sure of, and the other view learns from them. At the end each view is calibrated on labelled
+is most sure of, and the other view learns from them. All unlabelled documents take part: they are scored where
+they stand, the surest are those beyond a global quantile, and a fit gathers sums for its Newton steps only. At the end each view is calibrated on labelled
 documents that neither has learnt from, and the calibrated views together score every document.
 
 Defined results: null and empty texts count as texts without words; null languages and sources are values of
@@ -12,8 +13,9 @@ every score is the share of good ones (1 without any), so that nothing is reject
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, worker_cache
+from tessera.llm.common import checkpointed, kept, slices, worker_cache
 from tessera.llm.linear import fit_logistic, sigmoid
 
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
+#: Unlabelled rows in a partition of the table that the rounds go over.
+ROWS_IN_PARTITION = 20_000
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -91,12 +95,6 @@ class View:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.expand(x) @ self.beta
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, squares: int) -> View:
-        view = cls(x.mean(0), np.maximum(x.std(0), 1e-3), squares, np.zeros(0))
-        view.beta = fit_logistic(view.expand(x), y, np.ones(len(y)), ridge=0.5)
-        return view
-
 
 @dataclass
 class Model:
@@ -113,36 +111,144 @@ class Model:
         return np.stack([*np.clip(calibrated, -8, 8), np.ones(len(xs[0]))], 1)
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, unlabelled: tuple[np.ndarray, np.ndarray], *, rounds: int = 4, sure: float = 0.97, share: float = 0.05) -> Model:
+Views = tuple[np.ndarray, np.ndarray]
+#: The views of a round, and for each the margins up to and from which it gives labels.
+Round = tuple[tuple[View, View], tuple[tuple[float, float], tuple[float, float]]]
+
+
+def _given(history: list[Round], xs: Views, k: int) -> np.ndarray:
+    """What the other view has given view ``k``: 0, 1 or NaN for each row; the first round that gave one counts."""
+    out = np.full(len(xs[0]), np.nan)
+    for views, cuts in history:
+        margin = views[1 - k].margin(xs[1 - k])
+        out = np.where(~np.isnan(out), out, np.where(margin <= cuts[1 - k][0], 0.0, np.where(margin >= cuts[1 - k][1], 1.0, np.nan)))
+    return out
+
+
+def _chosen(history: list[Round], xs: Views) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each view the rows that it has been given, and their labels."""
+    for k in (0, 1):
+        y = _given(history, xs, k)
+        yield xs[k][~np.isnan(y)], y[~np.isnan(y)]
+
+
+def _moments(pairs) -> np.ndarray:
+    """Number, sums and sums of squares of the rows of both views, end to end."""
+    return np.concatenate([part for x, _ in pairs for part in ([len(x)], x.sum(0), (x**2).sum(0))])
+
+
+def _newton(views: tuple[View, View], pairs) -> np.ndarray:
+    """Slope and curvature of the logistic loss of both views, end to end."""
+    out = []
+    for view, (x, y) in zip(views, pairs, strict=True):
+        z = view.expand(x)
+        p = sigmoid(z @ view.beta)
+        out += [z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+    return np.concatenate(out)
+
+
+class Held:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, xs: Views):
+        self.xs = xs
+
+    def total(self, f: Callable[[Views], np.ndarray]) -> np.ndarray:
+        return f(self.xs)
+
+    def ends(self, views: tuple[View, View], share: float) -> list[tuple[float, float]] | None:
+        """For each view the margin up to which the lowest ``share`` of the rows lie, and that from which the highest do."""
+        most = max(1, int(share * len(self.xs[0])))
+        margins = [np.sort(v.margin(x)) for v, x in zip(views, self.xs, strict=True)]
+        return [(m[most - 1], m[-most]) for m in margins] if len(margins[0]) else None
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Views]:
+    for batch in slices(batches, 10_000):
+        if batch.num_rows:
+            yield tuple(batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (0, 1))
+
+
+class Spread:
+    """Unlabelled rows (content, metadata) in a table; of any number, only sums and quantiles reach the driver."""
+
+    #: Sums of more partitions than that are added up in ``MERGED`` tasks before they are sent.
+    PARTS, MERGED = 64, 16
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.parts = table.rdd.getNumPartitions()
+
+    def total(self, f: Callable[[Views], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [f(xs) for xs in _unpacked(batches)]
+            if found:
+                yield pa.record_batch([pa.array([sum(found).tobytes()], pa.binary())], ["sums"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [np.frombuffer(v.as_py()) for batch in batches for v in batch.column(0)]
+            if found:
+                yield pa.record_batch([pa.array([sum(found).tobytes()], pa.binary())], ["sums"])
+
+        sums = self.table.mapInArrow(run, "sums binary")
+        if self.parts > self.PARTS:
+            sums = sums.repartition(self.MERGED).mapInArrow(merge, "sums binary")
+        return sum(np.frombuffer(r["sums"]) for r in sums.collect())
+
+    def ends(self, views: tuple[View, View], share: float) -> list[tuple[float, float]] | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for xs in _unpacked(batches):
+                yield pa.record_batch([pa.array(v.margin(x)) for v, x in zip(views, xs, strict=True)], ["a", "b"])
+
+        margins = self.table.mapInArrow(run, "a double, b double")
+        got = margins.agg(*(F.percentile_approx(sign * F.col(c), share, 10_000) for c in "ab" for sign in (1, -1))).first()
+        return None if got[0] is None else [(got[0], -got[1]), (got[2], -got[3])]
+
+
+def _fitted(labelled: Views, y: np.ndarray, rows: Held | Spread, history: list[Round]) -> tuple[View, View]:
+    """Both views fitted on the labelled rows and on what each has been given, by Newton steps over sums."""
+    own = [(x, y) for x in labelled]
+    whole = lambda f: f(iter(own)) + (rows.total(lambda xs: f(_chosen(history, xs))) if history else 0)
+    sums, at, views = whole(_moments), 0, []
+    for k, squares in ((0, labelled[0].shape[1]), (1, 1)):
+        width = labelled[k].shape[1]
+        n, first, second = sums[at], sums[at + 1 : at + 1 + width], sums[at + 1 + width : at + 1 + 2 * width]
+        centre = first / n
+        views.append(View(centre, np.maximum(np.sqrt(np.maximum(second / n - centre**2, 0)), 1e-3), squares, np.zeros(width + squares + 1)))
+        at += 1 + 2 * width
+    both = (views[0], views[1])
+    for _ in range(25):
+        sums, at, largest = whole(partial(_newton, both)), 0, 0.0
+        for view in both:
+            n = len(view.beta)
+            slope, curve = sums[at : at + n] + 0.5 * view.beta, sums[at + n : at + n + n * n].reshape(n, n) + 0.5 * np.eye(n)
+            step = np.linalg.solve(curve, slope)
+            view.beta = view.beta - step
+            largest, at = max(largest, np.abs(step).max()), at + n + n * n
+        if largest < 1e-6:
+            break
+    return both
+
+
+def co_train(labelled: Views, y: np.ndarray, held: np.ndarray, unlabelled: Views | Spread, *, rounds: int = 4, sure: float = 0.97, share: float = 0.05) -> Model:
     """Both views after ``rounds`` of exchange; ``held`` marks the labelled rows that calibrate.
 
-    In a round, a view gives the other its surest ``share`` of the unlabelled rows of either class, as far
-    as its chance is at least ``sure``.
+    In a round, a view gives the other its surest ``share`` of all unlabelled rows of either class (rows
+    at the same margin together), as far as its chance is at least ``sure``.
     """
-    squares = (labelled[0].shape[1], 1)
-    own = [~held, ~held]
-    given: list[dict[int, float]] = [{}, {}]
-    views: list[View] = []
+    rows = unlabelled if isinstance(unlabelled, Spread) else Held(unlabelled)
+    edge = float(np.log(sure / (1 - sure)))
+    history: list[Round] = []
     for turn in range(rounds + 1):
-        views = []
-        for k in (0, 1):
-            extra = np.array(sorted(given[k]), int)
-            x = np.concatenate([labelled[k][own[k]], unlabelled[k][extra]])
-            views.append(View.fit(x, np.concatenate([y[own[k]], [given[k][i] for i in extra]]), squares[k]))
-        if turn == rounds or not len(unlabelled[0]):
+        views = _fitted((labelled[0][~held], labelled[1][~held]), y[~held], rows, history)
+        ends = rows.ends(views, share) if turn < rounds else None
+        if ends is None:
             break
-        for k in (0, 1):
-            chance = sigmoid(views[k].margin(unlabelled[k]))
-            order = np.argsort(chance, kind="stable")
-            most = max(1, int(share * len(order)))
-            for i in order[:most][chance[order[:most]] <= 1 - sure]:
-                given[1 - k].setdefault(int(i), 0.0)
-            for i in order[-most:][chance[order[-most:]] >= sure]:
-                given[1 - k].setdefault(int(i), 1.0)
+        history.append((views, tuple((min(low, -edge), max(high, edge)) for low, high in ends)))
     rest = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
     ones = np.ones(rest.sum())
     calibration = tuple(fit_logistic(np.stack([v.margin(x[rest]), ones], 1), y[rest], ones, ridge=0.01) for v, x in zip(views, labelled, strict=True))
-    model = Model((views[0], views[1]), calibration, None, float(y.mean()))
+    model = Model(views, calibration, None, float(y.mean()))
     model.combination = fit_logistic(model._joined((labelled[0][rest], labelled[1][rest])), y[rest], ones, ridge=0.1)
     return model
 
@@ -160,24 +266,36 @@ def _features(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return docs.select(*keep, *(c for c in (text, "lang", "source", "n_chars") if c not in keep)).mapInPandas(run, f"{fields}, content array<double>, metadata array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = 8000, unlabelled: int = 6000) -> Model:
-    """Fits on at most ``labelled`` labelled documents (those of least hash) and as many as ``unlabelled`` of the others."""
+def _unlabelled(docs: DataFrame, once: DataFrame, key: str, text: str) -> DataFrame:
+    """(content, metadata) of every document without a label, null keys included; only keys and features are shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, lang, source, n_chars = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
+            a = pa.array([text_features(t or "") for t in texts], pa.list_(pa.float64()))
+            b = pa.array([metadata_features(*row) for row in zip(lang, source, n_chars, strict=True)], pa.list_(pa.float64()))
+            yield pa.record_batch([batch.column(0), a, b], [key, "content", "metadata"])
+
+    found = docs.select(key, text, "lang", "source", "n_chars").mapInArrow(run, f"`{key}` {kind}, content array<double>, metadata array<double>")
+    rest = checkpointed(found.join(once.select(key), key, "left_anti").select("content", "metadata"))
+    return rest.coalesce(1 + rest.count() // ROWS_IN_PARTITION)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = 8000) -> Model:
+    """Fits on at most ``labelled`` labelled documents (those of least hash) and exchanges labels over all others."""
     once = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     some = once.orderBy(F.xxhash64(key, F.lit(9))).limit(labelled)
-    rest = docs.select(key).where(F.col(key).isNotNull()).join(once, key, "left_anti").orderBy(F.xxhash64(key, F.lit(9))).limit(unlabelled)
-    chosen = some.unionByName(rest.withColumn("y", F.lit(None).cast("double")))  # labelled + unlabelled rows at most
-    found = _features(docs.join(F.broadcast(chosen), key), ["y"], text).toPandas()
+    found = _features(docs.join(F.broadcast(some), key), ["y"], text).toPandas()
     if found.empty:
         return Model(None, None, None, 1.0)
     content, metadata = np.stack(found["content"].to_numpy()), np.stack(found["metadata"].to_numpy())
     y = found["y"].to_numpy(float)
-    known = ~np.isnan(y)
-    if len(set(y[known])) < 2:
-        return Model(None, None, None, float(y[known].mean()) if known.any() else 1.0)
+    if len(set(y)) < 2:
+        return Model(None, None, None, float(y.mean()))
     order = np.lexsort((*content.T[:6], y))  # the same order, whatever order the rows came in
-    content, metadata, y, known = content[order], metadata[order], y[order], known[order]
-    held = np.arange(known.sum()) % 4 == 3
-    return co_train((content[known], metadata[known]), y[known], held, (content[~known], metadata[~known]))
+    held = np.arange(len(y)) % 4 == 3
+    return co_train((content[order], metadata[order]), y[order], held, Spread(_unlabelled(docs, once, key, text)))
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
