@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,22 @@ from pyspark.sql import functions as F
 ROWS_IN_PARTITION = 50_000
 
 
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder, set where it was not."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder; it stays there until the folder is cleared."""
+    path = f"{_shared(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation.
 
@@ -25,11 +42,7 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) a temporary folder is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+    _shared(df.sparkSession)
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_IN_PARTITION)
     return df.checkpoint(eager=True)

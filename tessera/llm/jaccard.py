@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import checkpointed, release, slices, worker_cache
+from tessera.llm.common import checkpointed, release, slices, stored, worker_cache
 from tessera.llm.pretokens import Memo
 
 #: Sizes of one band differ by less than this factor.
@@ -341,11 +341,14 @@ def jaccard_components(
 
 
 def one_of_each(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of least key in their group; documents without words are all kept.
+    """One row of each group of ``docs``, of least key in it; documents without words are all kept.
 
-    Of repeated rows with the least key of a group, one is kept.
+    Rows are told apart by an id of their own, not by their key, so keys may repeat or be null; a null key
+    comes after all others. Of repeated rows one is kept.
     """
-    groups = jaccard_components(docs, words=words, similarity=similarity, key=key, text=text)
-    drop = groups.where(F.col(key) != F.col("component_id")).select(key)
-    kept = docs.join(drop, key, "left_anti")
-    return kept
+    rows = stored(docs.withColumn("_row_id", F.monotonically_increasing_id()))
+    groups = jaccard_components(rows, words=words, similarity=similarity, key="_row_id", text=text)
+    named = groups.where("n_shingles > 0").join(rows.select("_row_id", F.col(key).alias("key")), "_row_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "_row_id")).alias("first"))
+    keep = first.select("first._row_id").unionByName(groups.where("n_shingles = 0").select("_row_id"))
+    return rows.join(keep, "_row_id", "left_semi").select(*docs.columns)

@@ -171,12 +171,8 @@ def _features(votes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.stack(ones, 1).astype(float)
 
 
-def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, spans array<struct<kind, start, end, base>>) of each document, by kind as listed, then start.
-
-    An added span overlaps no base span and has a probability of at least ``threshold``.
-    """
-    found = checkpointed(candidates(docs, key=key, text=text))
+def _accepted(found: DataFrame, threshold: float) -> list[str]:
+    """The vote patterns, as ``kind:votes``, whose spans have a probability of at least ``threshold``."""
     patterns = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()  # 6 kinds x 3^4 patterns at most
     if patterns:
         votes, kinds = np.array([p["votes"] for p in patterns]), np.array([KINDS.index(p["kind"]) for p in patterns])
@@ -185,9 +181,17 @@ def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresh
         # the weight of a pattern is bounded, so that kinds with few candidates count in the classifier too
         beta = fit_logistic(_features(votes, kinds), truth, np.minimum(counts, 1000.0))
         chance = 1 / (1 + np.exp(-(_features(votes, kinds) @ beta)))
-        accepted = [f"{p['kind']}:{','.join(map(str, p['votes']))}" for p, c in zip(patterns, chance, strict=True) if c >= threshold]
-    else:
-        accepted = []
+        return [f"{p['kind']}:{','.join(map(str, p['votes']))}" for p, c in zip(patterns, chance, strict=True) if c >= threshold]
+    return []
+
+
+def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(key, spans array<struct<kind, start, end, base>>) of each document, by kind as listed, then start.
+
+    An added span overlaps no base span and has a probability of at least ``threshold``.
+    """
+    found = checkpointed(candidates(docs, key=key, text=text))
+    accepted = _accepted(found, threshold)
     base = F.filter("found", lambda c: c["base"])
     apart = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     likely = lambda c: F.array_contains(F.lit(accepted) if accepted else F.array().cast("array<string>"), F.concat_ws(":", c["kind"], F.array_join(c["votes"].cast("array<string>"), ",")))
@@ -196,30 +200,36 @@ def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresh
     return found.select(key, spans.alias("spans"))
 
 
-def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in angle brackets; of overlapping spans the earlier, then longer one.
 
-    Keys are expected to be unique. Texts without spans are untouched, nulls included.
+    The spans are those of ``find_pii``, worked out again where the text stands: no key is used, so keys may
+    repeat or be null. Texts without spans are untouched, nulls included.
     """
-    spans = find_pii(docs, key=key, text=text).where(F.size("spans") > 0).withColumnRenamed("spans", "_spans")
+    accepted = frozenset(_accepted(candidates(docs.select(F.lit(0).alias(key), text), key=key, text=text), threshold))
+
+    def spans(value: str) -> list[tuple[str, int, int]]:
+        found = sorted(_candidates(value), key=lambda c: (KINDS.index(c[0]), c[1]))
+        base = [(start, end) for _, start, end, own, _ in found if own]
+        likely = lambda kind, start, end, passes: f"{kind}:{','.join(map(str, _votes(value, kind, start, end, passes)))}" in accepted
+        apart = lambda start, end: not any(s < end and start < e for s, e in base)
+        return [(kind, start, end) for kind, start, end, own, passes in found if own or (apart(start, end) and likely(kind, start, end, passes))]
 
-    def replace(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def replace(texts: pd.Series) -> pd.Series:
         out = []
-        for value, own in zip(text, spans, strict=True):
-            if value is None or own is None:
+        for value in texts:
+            if value is None:
                 out.append(value)
                 continue
             parts, at = [], 0
-            for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    parts += [value[at : s["start"]], f"<{s['kind']}>"]
-                    at = s["end"]
+            for kind, start, end in sorted(spans(value), key=lambda s: (s[1], -s[2])):
+                if start >= at:
+                    parts += [value[at:start], f"<{kind}>"]
+                    at = end
             out.append("".join([*parts, value[at:]]))
         return pd.Series(out, dtype=object)
 
-    cleaned = F.pandas_udf(replace, "string")
-    joined = docs.join(spans, key, "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cleaned(text, "_spans"))).drop("_spans").select(*docs.columns)
+    return docs.withColumn(text, F.pandas_udf(replace, "string")(text))
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
