@@ -32,6 +32,11 @@ def ft_01_normalize(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.normalize(F.substring("text", 1, 300)).alias("plain"))
 
 
+@query(f"SELECT doc_id, {_NORM.format(t='text')} AS plain FROM documents")
+def ft_01_normalize_whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("plain"))
+
+
 @query(
     "SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split_regex(lower(regexp_replace("
     + _NORM.format(t="text")
