@@ -13,8 +13,8 @@ be run again over other rows than before, its block's words and documents differ
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import pretokens
-from tessera.llm.common import partitions, worker_cache
+from tessera.llm.common import parts, partitions, slices, worker_cache
 
 #: Characters of text after which a block of documents is closed.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 #: Words that a worker remembers with their ids.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _pack(data: np.ndarray) -> bytes:
@@ -54,28 +54,29 @@ class Block:
     def __init__(self, pattern: str):
         self.matches = pretokens.compiled(pattern).findall
         self.numbers: dict[str, int] = {}
-        self.words_in: list[list[int]] = []
+        self.flat, self.count = array("I"), array("I")
         self.after_space, self.at_start = pretokens.Memo(lambda part: self.part(" " + part), 1 << 62), pretokens.Memo(self.part, 1 << 62)
         self.rows, self.chars = [], 0
 
     def part(self, text: str) -> int:
         numbers = self.numbers
-        self.words_in.append([numbers.setdefault(w, len(numbers)) for w in self.matches(text)])
-        return len(self.words_in) - 1
+        own = [numbers.setdefault(w, len(numbers)) for w in self.matches(text)]
+        self.flat.extend(own)
+        self.count.append(len(own))
+        return len(self.count) - 1
 
     def add(self, key: pa.Scalar, text: str) -> None:
         self.chars += len(text)
         cut = pretokens.cut(text)
         if cut is None:
-            parts = np.array([self.at_start[text]])
+            parts = np.array([self.part(text)], np.int32)
         else:
-            parts = np.fromiter((self.at_start[cut[0]], *map(self.after_space.__getitem__, cut[1])), np.int64, len(cut[1]) + 1)
+            parts = np.fromiter((self.at_start[cut[0]], *map(self.after_space.__getitem__, cut[1])), np.int32, len(cut[1]) + 1)
         self.rows.append((key, parts))
 
     def documents(self, some: int = 500) -> Iterator[tuple[list[pa.Scalar], np.ndarray, np.ndarray]]:
         """(keys, number of words of each, their word numbers in order), so many documents at a time."""
-        count = np.fromiter(map(len, self.words_in), np.int64, len(self.words_in))
-        flat = np.fromiter((n for own in self.words_in for n in own), np.int64, int(count.sum()))
+        count, flat = (np.frombuffer(a, np.uint32).astype(np.int64) if a else np.zeros(0, np.int64) for a in (self.count, self.flat))
         start = np.cumsum(count) - count
         for at in range(0, len(self.rows), some):
             keys, parts = zip(*self.rows[at : at + some], strict=True)
@@ -94,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
     """(block number, block) of one task."""
     worker_cache("blocks", dict)  # what earlier tasks kept goes
     block, at = Block(pattern), TaskContext.get().partitionId() << 24
-    for batch in batches:
+    for batch in slices(batches):
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
             block.add(key, text.as_py() or "")
             if block.chars >= BLOCK_CHARS:
@@ -113,8 +114,12 @@ def _row(at: int, block: int, keys: pa.Array, a: bytes, b: bytes, c: bytes | Non
 
 
 def _word_encoder(ranks_path: str, pattern: str) -> pretokens.Memo:
-    encode = pretokens.encoding(ranks_path, pattern).encode_ordinary
-    return worker_cache(("words", ranks_path, pattern), lambda: pretokens.Memo(lambda word: encode(word.decode()), MEMO))
+
+    def make() -> pretokens.Memo:
+        encode = pretokens.encoding(ranks_path, pattern).encode_ordinary
+        return pretokens.Memo(lambda word: encode(word.decode()), MEMO)
+
+    return worker_cache(("words", ranks_path, pattern), make)
 
 
 def encode(docs: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", spread: int | None = None) -> DataFrame:
@@ -174,7 +179,6 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc_id
     return both.groupBy("at").cogroup(encoded.groupBy("at")).applyInArrow(together, f"`{key}` {kind}, ids array<int>")
 
 
-@cache
 def _token_bytes(ranks_path: str, pattern: str) -> list[bytes]:
     coder = pretokens.encoding(ranks_path, pattern)
     return [coder.decode_single_token_bytes(i) for i in range(coder.n_vocab)]
@@ -191,19 +195,17 @@ def decode(encoded: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc
     kind = encoded.schema[key].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(ranks_path, pattern)
+        table = worker_cache(("tokens", ranks_path, pattern), lambda: _token_bytes(ranks_path, pattern))
         length = np.fromiter(map(len, table), np.int64, len(table))
         flat, start = np.frombuffer(b"".join(table), np.uint8), np.cumsum(length) - length
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                rows = batch.slice(at, 100)
-                column = rows.column(1)
-                own = column.flatten().to_numpy(zero_copy_only=False)
-                sizes = np.asarray(column.value_lengths().fill_null(0))
-                after = np.concatenate([[0], np.cumsum(length[own])])[np.concatenate([[0], np.cumsum(sizes)])]
-                out = pa.py_buffer(flat[_spread(start[own], length[own])].tobytes())
-                text = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(after.astype(np.int32).tobytes()), out])
-                yield pa.RecordBatch.from_arrays([rows.column(0), text], names=[key, "decoded"])
+        for rows in parts(batches, 100):
+            column = rows.column(1)
+            own = column.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.asarray(column.value_lengths().fill_null(0))
+            after = np.concatenate([[0], np.cumsum(length[own])])[np.concatenate([[0], np.cumsum(sizes)])]
+            out = pa.py_buffer(flat[_spread(start[own], length[own])].tobytes())
+            text = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(after.astype(np.int32).tobytes()), out])
+            yield pa.RecordBatch.from_arrays([rows.column(0), text], names=[key, "decoded"])
 
     return encoded.select(key, ids).mapInArrow(join, f"`{key}` {kind}, decoded binary")
 

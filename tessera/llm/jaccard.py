@@ -42,9 +42,9 @@ BAND_BITS = 7
 #: 64-bit words of the folded sketch that goes with each segment; the whole one grows with the set and joins pairs only.
 FOLDED = 4
 #: Words that a worker remembers with their hash.
-MEMO = 150_000
-#: Sets that are verified against one leader in one task.
-GROUP = 256
+MEMO = 100_000
+#: Shingles of the sets that are verified against one leader in one task.
+GROUP_SHINGLES = 1_000_000
 #: Up to so many rows of ids (32 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -221,10 +221,10 @@ def _smallest_labels(edges: DataFrame, rows: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets are similar enough, with the size of the intersection.
 
-    ``count`` is the number of pairs. Only documents in a pair are read into sets. A leader's set is sent once to each group of at most about
-    GROUP partners.
+    ``count`` is the number of pairs, which carry the size of b. Only documents in a pair are read into sets. A
+    leader's set is sent once to each group of partners that have about GROUP_SHINGLES together.
     """
-    sizes = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP)).cast("int").alias("groups"))
+    sizes = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("size_b") / GROUP_SHINGLES)).cast("int").alias("groups"))
     pairs = checkpointed(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part")), count)
     leaders = pairs.select(F.col("a").alias(key), "a", "part", F.lit(True).alias("leads")).distinct()
     wanted = leaders.unionByName(pairs.select(F.col("b").alias(key), "a", "part", F.lit(False).alias("leads")))
@@ -233,7 +233,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str
     rows = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4):
             found = [shingle_set(value.as_py() or "", words).tobytes() for value in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=[key, "a", "part", "leads", "shingles"])
 
@@ -305,6 +305,8 @@ def jaccard_components(
         place = F.row_number().over(Window.partitionBy("segment").orderBy("id"))
         lead = open_.withColumn("place", place).where(F.col("place") <= leaders)
         lead = lead.select("segment", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("folded").alias("folded_a"))
+        # written, so that the join is a stage of its own and Spark may split a segment that very many sets share
+        lead = checkpointed(lead, rows_left)
         near = lambda x, y, size_x, size_y: _apart(x, y) * (whole + part) <= (F.col(size_x) + F.col(size_y)) * (whole - part)
         pairs = open_.join(lead, "segment").where(
             (F.col("label") != F.col("label_a"))
@@ -315,14 +317,14 @@ def jaccard_components(
         pairs = pairs.select("band", F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         of_a, of_b = (sets.select("band", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         pairs = pairs.join(of_a, ["a", "band"]).join(of_b, ["b", "band"]).where(near("sketch_a", "sketch_b", "size_a", "size_b"))
-        pairs = pairs.select("a", "b").distinct()
+        pairs = pairs.select("a", "b", "size_b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs, rows_left * leaders)
         count = pairs.count()
         if count:
             found = _verified(docs, pairs, count, key, text, words, part, whole)
-            tested = pairs if tested is None else tested.union(pairs)
+            tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
             more = found.count()
             if more:
                 edges, links = found if edges is None else edges.union(found), links + more

@@ -5,13 +5,11 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
-from functools import cache
 
 #: A space inside or at the end of a run of white space: there, cutting before spaces isn't the pattern's cut.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
 
-@cache
 def encoding(ranks_path: str, pattern: str):
     """The tiktoken encoding of a rank file, without special tokens."""
     import tiktoken
@@ -21,7 +19,6 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@cache
 def compiled(pattern: str):
     import regex
 
@@ -29,15 +26,19 @@ def compiled(pattern: str):
 
 
 class Memo(dict):
-    """``make`` of each key, kept for ``limit`` keys; then all are forgotten, which bounds the memory."""
+    """``make`` of each key, kept for ``limit`` keys of at most LONGEST characters; then all are forgotten, which bounds the memory."""
+
+    LONGEST = 40
 
     def __init__(self, make: Callable, limit: int):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, kept, slices, worker_cache
-from tessera.llm.linear import fit_logistic, sigmoid
+from tessera.llm.common import checkpointed, kept, parts, slices, worker_cache
+from tessera.llm.linear import fit_logistic, sigmoid, summed
 
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
 #: Unlabelled rows in a partition of the table that the rounds go over.
@@ -164,7 +164,7 @@ class Held:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Views]:
-    for batch in slices(batches, 10_000):
+    for batch in parts(batches, 10_000):
         if batch.num_rows:
             yield tuple(batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (0, 1))
 
@@ -172,28 +172,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Views]:
 class Spread:
     """Unlabelled rows (content, metadata) in a table; of any number, only sums and quantiles reach the driver."""
 
-    #: Sums of more partitions than that are added up in ``MERGED`` tasks before they are sent.
-    PARTS, MERGED = 64, 16
-
     def __init__(self, table: DataFrame):
         self.table = table
-        self.parts = table.rdd.getNumPartitions()
-
-    def total(self, f: Callable[[Views], np.ndarray]) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [f(xs) for xs in _unpacked(batches)]
-            if found:
-                yield pa.record_batch([pa.array([sum(found).tobytes()], pa.binary())], ["sums"])
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [np.frombuffer(v.as_py()) for batch in batches for v in batch.column(0)]
-            if found:
-                yield pa.record_batch([pa.array([sum(found).tobytes()], pa.binary())], ["sums"])
 
-        sums = self.table.mapInArrow(run, "sums binary")
-        if self.parts > self.PARTS:
-            sums = sums.repartition(self.MERGED).mapInArrow(merge, "sums binary")
-        return sum(np.frombuffer(r["sums"]) for r in sums.collect())
+    def total(self, f: Callable[[Views], np.ndarray]) -> np.ndarray | int:
+        found = summed(self.table, lambda batch: sum(f(xs) for xs in _unpacked(iter([batch]))))
+        return 0 if found is None else found
 
     def ends(self, views: tuple[View, View], share: float) -> list[tuple[float, float]] | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +256,8 @@ def _unlabelled(docs: DataFrame, once: DataFrame, key: str, text: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, lang, source, n_chars = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-            a = pa.array([text_features(t or "") for t in texts], pa.list_(pa.float64()))
+            lang, source, n_chars = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            a = pa.array([text_features(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.float64()))
             b = pa.array([metadata_features(*row) for row in zip(lang, source, n_chars, strict=True)], pa.list_(pa.float64()))
             yield pa.record_batch([batch.column(0), a, b], [key, "content", "metadata"])
 
@@ -304,15 +288,13 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
         return docs.select(key, F.lit(model.share).alias("score"))
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            a = np.array([text_features(t or "") for t in frame[text]])
-            b = np.array([metadata_features(*row) for row in zip(frame["lang"], frame["source"], frame["n_chars"], strict=True)])
-            yield pd.DataFrame({key: frame[key], "score": model.chance((a, b))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            a = np.array([text_features(t.as_py() or "") for t in batch.column(1)])
+            b = np.array([metadata_features(*row) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)])
+            yield pa.record_batch([batch.column(0), pa.array(model.chance((a, b)))], [key, "score"])
 
-    return docs.select(key, text, "lang", "source", "n_chars").mapInPandas(run, f"`{key}` {kind}, score double")
+    return docs.select(key, text, "lang", "source", "n_chars").mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -333,4 +315,4 @@ def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.5, text: st
         content = [text_features(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text))]
         return model.chance((np.array(content), np.array(metadata))) >= threshold
 
-    return kept(docs, good)
+    return kept(docs, good, text)

@@ -8,6 +8,8 @@ the words most bound to toxic documents, of others a sample. As the machine is l
 weights fold into one table over subsequences, with which every word of every text is scored; documents are
 calibrated on labelled documents that took no part in this.
 
+The fitting sample is chosen by hashes of keys and sentences, so it does not depend on how rows are dealt.
+
 Defined results: null and empty texts, or texts without letters or digits, get the score of a document
 without a suspicious word; repeated rows keep a row each; an empty table gives an empty result; without
 labels of both kinds every score is the share of toxic ones (0 without any). Extra columns are not touched.
@@ -23,22 +25,23 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, worker_cache
+from tessera.llm.common import kept, slices, worker_cache
 from tessera.llm.linear import fit_logistic, fit_svm, sigmoid
 
 SPAN, DECAY = 7, 0.7
 BUCKETS = 1 << 20
 #: Longer words are scored as overlapping windows of WINDOW characters.
 LONGEST, WINDOW = 22, 16
-#: Words that a worker remembers with their score.
-MEMO = 400_000
+#: Words of at most MEMO_LETTERS that a worker remembers with their score.
+MEMO, MEMO_LETTERS = 100_000, 40
+#: Subsequences that are worked on at a time.
+AT_ONCE = 300_000
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _LETTERS = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){3,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -52,7 +55,7 @@ def fold(token: str) -> str:
         return token
     if any(c.isalpha() for c in token):
         token = token.rstrip(".,;:!?\"')]}#%&*$").translate(_STANDS_FOR)
-    return _INNER.sub("", _EDGES.sub("", token))
+    return _INNER.sub("", token)
 
 
 def words_of(text: str) -> list[str]:
@@ -88,7 +91,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         places, weight, norm = _shapes(int(length) + 2)
         if not len(places):
             continue
-        own, step = np.flatnonzero(lengths == length), max(1, 2_000_000 // len(places))
+        own, step = np.flatnonzero(lengths == length), max(1, AT_ONCE // len(places))
         for at in range(0, len(own), step):
             some = own[at : at + step]
             codes = _codes([words[i] for i in some], int(length))
@@ -148,6 +151,7 @@ class Model:
     table: np.ndarray | None
     calibration: np.ndarray
     share: float
+    name: str = ""
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -1.0, np.float32)
@@ -165,22 +169,25 @@ class Model:
 
 def document_features(texts: list[str], model: Model) -> np.ndarray:
     """Per document: the greatest word score, the number of suspicious words, their sum for the length, the length, a constant."""
-    known = worker_cache(("toxicity", hash(model.table.tobytes())), dict)
-    out = np.zeros((len(texts), 5))
-    for at in range(0, len(texts), 500):
-        tokens = [words_of(t) for t in texts[at : at + 500]]
-        if len(known) > MEMO:
-            known.clear()
-        new = list({w for own in tokens for w in own if w not in known})
-        known.update(zip(new, model.word_scores(new).tolist(), strict=True))
-        for i, own in enumerate(tokens, at):
-            g = np.fromiter(map(known.__getitem__, own), float, len(own)) if own else np.array([-1.0])
-            hits = g[g > 0.25]
-            top = np.sort(g)[-3:]
-            out[i] = top[-1], np.log1p(len(hits)), hits.sum() / np.sqrt(len(g)), top.mean(), 1.0
+    known = worker_cache(("toxicity", model.name), dict)
+    out, tokens = np.zeros((len(texts), 5)), [words_of(t) for t in texts]
+    if len(known) > MEMO:
+        known.clear()
+    new = list({w for own in tokens for w in own if w not in known})
+    scores = dict(zip(new, model.word_scores(new).tolist(), strict=True))
+    known.update((w, g) for w, g in scores.items() if len(w) <= MEMO_LETTERS)
+    for i, own in enumerate(tokens):
+        g = np.fromiter((scores[w] if w in scores else known[w] for w in own), float, len(own)) if own else np.array([-1.0])
+        hits = g[g > 0.25]
+        top = np.sort(g)[-3:]
+        out[i] = top[-1], np.log1p(len(hits)), hits.sum() / np.sqrt(len(g)), top.mean(), 1.0
     return out
 
 
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
+
 def fold_of(key: Column) -> Column:
     """crc32 of the key as text, modulo 4."""
     return F.crc32(key.cast("string").cast("binary")) % 4
@@ -213,13 +220,13 @@ def train(
         fitted = rows.where(~F.col("calibrates")) if rows.where("calibrates").select("label").distinct().count() == 2 else rows
         toxic, benign = (max(1, r) for r in (fitted.where("label = 1").count(), fitted.where("label = 0").count()))
 
-        def distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for value, one in zip(frame[text], frame["label"], strict=True):
-                    own = list({f for w in words_of(value or "") if 3 <= len(f := fold(w)) <= LONGEST})
-                    yield pd.DataFrame({"word": pd.Series(own, dtype=object), "label": one})
+        def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                of = [({f for w in words_of(t) if 3 <= len(f := fold(w)) <= LONGEST}, one) for t, one in zip(_texts(batch.column("text")), batch.column("label").to_pylist(), strict=True)]
+                yield pa.record_batch([pa.array([w for own, _ in of for w in own], pa.string()), pa.array([one for own, one in of for _ in own], pa.int32())], ["word", "label"])
 
-        words = fitted.mapInPandas(distinct_words, "word string, label int").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+        train_on = fitted.select(F.col(text).alias("text"), F.col(key).cast("string").alias("name"), "label")
+        words = train_on.mapInArrow(distinct_words, "word string, label int").groupBy("word").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
         words = words.withColumn("neg", F.col("n") - F.col("pos")).persist()
         bound = F.col("pos") / toxic - F.col("neg") / benign
         surprise = bound / F.sqrt((F.col("pos") + F.col("neg") + 1) / (toxic + benign)) * F.least(F.lit(1.0), F.col("pos") / 2)
@@ -233,11 +240,11 @@ def train(
         marks = Landmarks(chosen_words)
         per_toxic, per_benign = max(1, min(4, sentences // (2 * toxic))), max(1, min(8, sentences // (2 * benign)))
 
-        def sentence_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                kept, label_of, alone = [], [], []
-                for value, one in zip(frame[text], frame["label"], strict=True):
-                    own = [[p for w in words_of(s) for p in _windows(fold(w)) if p] for s in _SENTENCE.split(value or "")]
+        def sentence_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                kept, label_of, order = [], [], []
+                for value, name, one in zip(_texts(batch.column("text")), batch.column("name").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                    own = [[p for w in words_of(s) for p in _windows(fold(w)) if p] for s in _SENTENCE.split(value)]
                     own = [s for s in own if s]
                     if one:
                         own = sorted(own, key=lambda s: -max(weight.get(w, 0.0) for w in s))[:per_toxic]
@@ -246,30 +253,34 @@ def train(
                         own = [own[i] for i in np.random.default_rng(len(own)).permutation(len(own))[:per_benign]]
                     kept += own
                     label_of += [one] * len(own)
-                for s in range(0, len(kept), 2000):
-                    some = kept[s : s + 2000]
+                    order += [xxhash.xxh3_64_intdigest(" ".join([name, *s])) >> 1 for s in own]
+                for s in range(0, len(kept), 1000):
+                    some = kept[s : s + 1000]
                     alone = list({w for own in some for w in own})
                     at = {w: i for i, w in enumerate(alone)}
                     z = marks.similarities(alone) @ marks.root
-                    x = np.stack([z[[at[w] for w in own]].sum(0) for own in some])
-                    yield pd.DataFrame({"label": label_of[s : s + 2000], "x": list(x.astype(np.float32))})
+                    x = [z[[at[w] for w in own]].sum(0).astype(np.float32) for own in some]
+                    yield pa.record_batch([pa.array(label_of[s : s + 1000], pa.int32()), pa.array(order[s : s + 1000], pa.int64()), pa.array(x, pa.list_(pa.float32()))], ["label", "place", "x"])
 
-        found = fitted.mapInPandas(sentence_features, "label int, x array<float>").orderBy(F.rand(3)).limit(sentences).toPandas()
+        found = train_on.mapInArrow(sentence_features, "label int, place long, x array<float>").orderBy("place", "label").limit(sentences).select("label", "x").toPandas()
         x = np.stack(found["x"].to_numpy()).astype(float)
         y = np.where(found["label"] == 1, 1.0, -1.0)
         x = np.concatenate([x, np.ones((len(x), 1))], 1)
         even = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
         beta = fit_svm(x, y, even, ridge=2.0)
-        model = Model(marks.folded(beta[:-1]), np.zeros(5), share)
+        folded = marks.folded(beta[:-1])
+        model = Model(folded, np.zeros(5), share, xxhash.xxh3_64_hexdigest(folded.tobytes()))
 
         held = rows.where("calibrates") if fitted is not rows else rows
 
-        def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield pd.DataFrame({"label": frame["label"], "x": list(document_features([t or "" for t in frame[text]], model))})
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                yield pa.record_batch([batch.column("label"), pa.array(list(document_features(_texts(batch.column("text")), model)), pa.list_(pa.float64()))], ["label", "x"])
 
-        seen = held.mapInPandas(features, "label int, x array<double>").toPandas()
+        seen = held.select(F.col(text).alias("text"), "label").mapInArrow(features, "label int, x array<double>").toPandas()
         x, y = np.stack(seen["x"].to_numpy()), seen["label"].to_numpy().astype(float)
+        same = np.lexsort((y, *x.T))  # whatever order the rows came in
+        x, y = x[same], y[same]
         model.calibration = fit_logistic(x, y, _natural_weights(y, labels, label), ridge=0.05)
         return model
     finally:
@@ -291,12 +302,12 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     if model.table is None:
         return docs.select(key, F.lit(float(model.share)).alias("score"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = document_features([t or "" for t in frame[text]], model)
-            yield pd.DataFrame({key: frame[key], "score": sigmoid(x @ model.calibration)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = document_features(_texts(batch.column(1)), model)
+            yield pa.record_batch([batch.column(0), pa.array(sigmoid(x @ model.calibration))], [key, "score"])
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, score double")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def keep_mild(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -305,10 +316,9 @@ def keep_mild(docs: DataFrame, model: Model, *, threshold: float = 0.3, text: st
         return docs.where(F.lit(model.share < threshold))
 
     def mild(batch: pa.RecordBatch) -> np.ndarray:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        return sigmoid(document_features(texts, model) @ model.calibration) < threshold
+        return sigmoid(document_features(_texts(batch.column(text)), model) @ model.calibration) < threshold
 
-    return kept(docs, mild)
+    return kept(docs, mild, text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
