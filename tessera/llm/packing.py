@@ -23,39 +23,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import pretokens
-from tessera.llm.common import checkpointed, partitions, worker_cache
+from tessera.llm.common import checkpointed, partitions, slices, worker_cache
 
 #: Pieces of text that a worker remembers with their ids.
-MEMO = 600_000
+MEMO = 150_000
+
+
+def added_tokens(tokenizer_path: str | None) -> list[str]:
+    """The strings that the tokenizer file's own tokens, which its ranks don't hold, have in a text."""
+    if tokenizer_path is None:
+        return []
+    from tokenizers import Tokenizer
+
+    return sorted(token.content for token in Tokenizer.from_file(tokenizer_path).get_added_tokens_decoder().values())
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizer file gives them.
+
+    Texts that hold one of ``added`` are encoded by the tokenizer itself. In all others the ids are those of
+    the same vocabulary's ranks, which are worked out once for each piece between spaces.
+    """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, tokenizer_path: str | None = None, added: list[str] | None = None):
         encode = pretokens.encoding(ranks_path, pattern).encode_ordinary
         packed = lambda text: np.array(encode(text), "<u4").tobytes()
         self.packed, self.after_space = packed, pretokens.Memo(lambda part: packed(" " + part), MEMO)
+        self.path, self.added, self.tokenizer = tokenizer_path, added or [], None
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self.by_tokenizer(text)
         parts = pretokens.cut(text)
         if parts is None:
             return self.packed(text)
         return self.packed(parts[0]) + b"".join(map(self.after_space.__getitem__, parts[1]))
 
+    def by_tokenizer(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-def _encoder(ranks_path: str, pattern: str) -> TextEncoder:
-    return worker_cache(("packing", ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern))
 
+def pieces(
+    docs: DataFrame, *, ranks_path: str, pattern: str, capacity: int, end_id: int, tokenizer_path: str | None = None, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, piece, start, length, ids_crc32) for each piece of each document.
 
-def pieces(docs: DataFrame, *, ranks_path: str, pattern: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece, start, length, ids_crc32) for each piece of each document."""
-    kind = docs.schema[key].dataType.simpleString()
+    With ``tokenizer_path``, the file of the same vocabulary whose added tokens count as such in a text.
+    """
+    kind, added = docs.schema[key].dataType.simpleString(), added_tokens(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _encoder(ranks_path, pattern)
+        known = worker_cache(("packing", tokenizer_path, ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern, tokenizer_path, added))
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             which, piece, start, length, crc = [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
                 ids = known(value.as_py() or "") + end
@@ -150,7 +174,7 @@ def pack(rows: DataFrame, *, capacity: int, key: str = "doc_id", salts: int | No
     """
     rows = checkpointed(rows)
     salts = salts or max(16, partitions(rows.sparkSession))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
@@ -177,6 +201,9 @@ def pack(rows: DataFrame, *, capacity: int, key: str = "doc_id", salts: int | No
     return ranked.select(*columns, "_rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, *, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, *, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Tokenises ``docs``, cuts what is longer than ``capacity`` and packs all pieces by best fit."""
-    return pack(pieces(docs, ranks_path=ranks_path, pattern=pattern, capacity=capacity, end_id=end_id, key=key, text=text), capacity=capacity, key=key)
+    cut = pieces(docs, ranks_path=ranks_path, pattern=pattern, capacity=capacity, end_id=end_id, tokenizer_path=tokenizer_path, key=key, text=text)
+    return pack(cut, capacity=capacity, key=key)

@@ -17,6 +17,7 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
@@ -41,7 +42,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), **BYTE_BPE, capacity=1024, end_id=2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **BYTE_BPE, tokenizer_path=TOKENIZER, capacity=1024, end_id=2)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

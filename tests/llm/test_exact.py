@@ -123,8 +123,8 @@ def test_plan_is_best_fit_decreasing(lengths):
 
 def test_packing(spark, sf_dir, make_docs):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    for docs in (table(spark, sf_dir, "documents"), make_docs(ODD)):
+    special = [(11, "a <|endoftext|> b<|endoftext|>"), (12, "<|endoftext|>"), (13, "x\n <|endoftext|>  y"), (14, "<|endoftext|"), (15, "<|endoftext|>" * 3000)]
+    for docs in (table(spark, sf_dir, "documents"), make_docs([*ODD, *special])):
         want = Counter()
         for key, text in texts_of(docs):
             ids = [*reference.encode(text or "", add_special_tokens=False).ids, 2]
@@ -132,7 +132,7 @@ def test_packing(spark, sf_dir, make_docs):
             for k, at in enumerate([0, *range(first, len(ids), 1024)]):
                 piece = ids[at : first if k == 0 else at + 1024]
                 want[key, k, at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes())] += 1
-        rows = packing.pack_documents(docs, **queries.BYTE_BPE).collect()
+        rows = packing.pack_documents(docs, **queries.BYTE_BPE, tokenizer_path=queries.TOKENIZER).collect()
         assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
         used = defaultdict(list)
         for r in rows:
