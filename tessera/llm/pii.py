@@ -4,8 +4,9 @@ Candidates are the base patterns and looser ones around them. Four labelers vote
 all: the strict pattern with its check (regex), lists of domains, issuers and dialling codes (gazetteer),
 words shortly before the span (context), and the form of the span (shape). Expectation-maximisation over
 the counts of vote patterns, of which there is a fixed number, estimates each labeler's reliability and
-the share of true spans of each kind; its posteriors train a logistic span classifier on votes and shape,
-which decides on the looser candidates. Base spans always stay.
+the share of true spans of each kind. Its posteriors are the soft labels of a logistic span classifier, which
+sees the span and what stands around it (kinds of characters, lengths, groups of digits, words before), not the
+votes; it is fitted by sums over all candidates, and decides on the looser ones. Base spans always stay.
 
 Defined results: a null or empty text has no spans and the digest of no spans; repeated rows keep a row
 each; an empty table, or one without candidates, adds nothing; extra columns are not touched. Positions
@@ -15,18 +16,23 @@ are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, span_digests
-from tessera.llm.linear import fit_logistic
+from tessera.llm.common import checkpointed, slices, span_digests
+from tessera.llm.linear import fit_logistic_over, sigmoid
 
-# The base patterns of the contract.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# The base patterns of the contract; of an e-mail address, the part after the @ and the characters before it.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -60,11 +66,24 @@ def _iban_holds(span: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost addresses that don't overlap, found outward from each @, so that each character is looked at a few times only."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            start = free + len(text[free:at].rstrip(_LOCAL))
+            if start < at:
+                yield start, domain.end()
+                free = domain.end()
+        free = max(free, at + 1)
+        at = text.find("@", free)
+
+
 def _candidates(text: str) -> Iterator[tuple[str, int, int, bool, bool]]:
     """(kind, start, end, base, passes its check) of all candidates; what fails a checksum or a range is none."""
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            yield "email", *m.span(), True, True
+    for start, end in _emails(text):
+        yield "email", start, end, True, True
     if "at" in text or "AT" in text:
         for m in _SPOKEN_EMAIL.finditer(text) if re.search(r"[\[({<]\s?(?:at|AT)\s?[\])}>]", text) else ():
             yield "email", *m.span(), False, True
@@ -126,21 +145,62 @@ def _votes(text: str, kind: str, start: int, end: int, passes: bool) -> list[int
     return [int(passes), _gazetteer(kind, span), context, _shape(kind, span)]
 
 
+#: Slots for the words before a span, by hash.
+WORD_SLOTS = 24
+_WORDS = re.compile(r"[^\W\d_]{2,20}")
+WIDTH = 1 + len(KINDS) + 16 + WORD_SLOTS
+
+
+def _features(text: str, kind: str, start: int, end: int, passes: bool) -> np.ndarray:
+    """What the span classifier sees: the kind, the span's characters and groups, its neighbours, the words before it."""
+    span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 1]
+    n, digits = len(span), [c for c in span if c.isdigit()]
+    groups = [len(g) for g in re.findall("[0-9]+", span[:200])] or [0]
+    out = np.zeros(WIDTH, np.float32)
+    out[0] = out[1 + KINDS.index(kind)] = 1
+    out[1 + len(KINDS) : 17 + len(KINDS)] = [
+        min(n, 64) / 32, len(digits) / n, len(set(digits)) / 10, min(len(groups), 8) / 8, min(max(groups), 16) / 16, min(groups[-1], 16) / 16,
+        sum(c.isupper() for c in span) / n, sum(c.isspace() for c in span) / n, span.count(".") / n, span.count("-") / n,
+        span[0] in "+(", passes, before[-1:].isalnum(), before[-1:] in (":", "=") or before[-2:] in (": ", "= "), after.isalnum(), not before,
+    ]
+    for word in _WORDS.findall(before.lower())[-3:]:
+        out[17 + len(KINDS) + xxhash.xxh3_64_intdigest(word) % WORD_SLOTS] = 1
+    return out
+
+
+def _apart(found: list[tuple[str, int, int, bool, bool]]) -> list[tuple[str, int, int, bool, bool]]:
+    """The base candidates, and those that overlap none of them, by kind as listed, then start."""
+    merged: list[list[int]] = []
+    for start, end in sorted((c[1], c[2]) for c in found if c[3]):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([start, end])
+    starts = [m[0] for m in merged]
+    clear = lambda a, b: (i := bisect_left(starts, b)) == 0 or merged[i - 1][1] <= a
+    return sorted((c for c in found if c[3] or clear(c[1], c[2])), key=lambda c: (KINDS.index(c[0]), c[1]))
+
+
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.float32()))]))
+_FOUND_SQL = "array<struct<kind:string,start:long,end:long,base:boolean,votes:string,features:array<float>>>"
+
+
 def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, found array<struct<kind, start, end, base, votes>>) for each document; the base spans are among them."""
+    """(key, found array<struct<kind, start, end, base, votes, features>>) for each document: base spans, and candidates that overlap none."""
     key_kind = docs.schema[key].dataType.simpleString()
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             out = []
-            for value in frame[text]:
-                value, own = value or "", []
-                for kind, start, end, base, passes in _candidates(value):
-                    own.append({"kind": kind, "start": start, "end": end, "base": base, "votes": _votes(value, kind, start, end, passes)})
-                out.append(sorted(own, key=lambda s: (KINDS.index(s["kind"]), s["start"])))
-            yield pd.DataFrame({key: frame[key], "found": out})
+            for value in batch.column(1):
+                value, own = value.as_py() or "", []
+                for kind, start, end, base, passes in _apart(list(_candidates(value))):
+                    votes = ",".join(map(str, _votes(value, kind, start, end, passes)))
+                    own.append({"kind": kind, "start": start, "end": end, "base": base, "votes": votes, "features": _features(value, kind, start, end, passes)})
+                out.append(own)
+            yield pa.record_batch([batch.column(0), pa.array(out, _FOUND)], [key, "found"])
 
-    return docs.select(key, text).mapInPandas(scan, f"`{key}` {key_kind}, found array<struct<kind:string,start:long,end:long,base:boolean,votes:array<int>>>")
+    return docs.select(key, text).mapInArrow(scan, f"`{key}` {key_kind}, found {_FOUND_SQL}")
 
 
 def reliabilities(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -165,24 +225,40 @@ def reliabilities(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, roun
     return truth, chance
 
 
-def _features(votes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    ones = [np.ones(len(votes)), *(kinds == k for k in range(len(KINDS)))]
-    ones += [votes[:, labeler] == vote for labeler in range(votes.shape[1]) for vote in (0, 1)]
-    return np.stack(ones, 1).astype(float)
+@dataclass
+class Classifier:
+    """The span classifier's weights; None where there was nothing to learn from, so that it accepts nothing."""
 
+    beta: np.ndarray | None
+    threshold: float
 
-def _accepted(found: DataFrame, threshold: float) -> list[str]:
-    """The vote patterns, as ``kind:votes``, whose spans have a probability of at least ``threshold``."""
-    patterns = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()  # 6 kinds x 3^4 patterns at most
-    if patterns:
-        votes, kinds = np.array([p["votes"] for p in patterns]), np.array([KINDS.index(p["kind"]) for p in patterns])
-        counts = np.array([p["count"] for p in patterns], float)
-        truth, _ = reliabilities(votes, kinds, counts)
-        # the weight of a pattern is bounded, so that kinds with few candidates count in the classifier too
-        beta = fit_logistic(_features(votes, kinds), truth, np.minimum(counts, 1000.0))
-        chance = 1 / (1 + np.exp(-(_features(votes, kinds) @ beta)))
-        return [f"{p['kind']}:{','.join(map(str, p['votes']))}" for p, c in zip(patterns, chance, strict=True) if c >= threshold]
-    return []
+    def accepts(self, features: np.ndarray) -> np.ndarray:
+        """Which rows of features have at least the threshold's chance."""
+        if self.beta is None or not len(features):
+            return np.zeros(len(features), bool)
+        return sigmoid((features.astype(float) * self.beta).sum(1)) >= self.threshold
+
+
+#: The candidates of one vote pattern weigh as much as so many in the classifier, at most, so that kinds with few of them count too.
+MOST_OF_ONE = 1000.0
+
+
+def train(found: DataFrame, *, threshold: float = 0.5) -> Classifier:
+    """EM over the vote patterns of ``found`` (see ``candidates``), then the span classifier on its posteriors, over all candidates."""
+    spans = checkpointed(found.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.features"))
+    patterns = spans.groupBy("kind", "votes").count().orderBy("kind", "votes").collect()  # 6 kinds x 3^4 patterns at most
+    if not patterns:
+        return Classifier(None, threshold)
+    counts = np.array([p["count"] for p in patterns], float)
+    truth, _ = reliabilities(np.array([[int(v) for v in p["votes"].split(",")] for p in patterns]), np.array([KINDS.index(p["kind"]) for p in patterns]), counts)
+    of = {(p["kind"], p["votes"]): (t, min(n, MOST_OF_ONE) / n) for p, t, n in zip(patterns, truth, counts, strict=True)}
+
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, WIDTH).astype(float)
+        y, weight = np.array([of[p] for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]).T
+        return x, y, weight
+
+    return Classifier(fit_logistic_over(spans, rows_of, WIDTH), threshold)
 
 
 def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -191,13 +267,19 @@ def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresh
     An added span overlaps no base span and has a probability of at least ``threshold``.
     """
     found = checkpointed(candidates(docs, key=key, text=text))
-    accepted = _accepted(found, threshold)
-    base = F.filter("found", lambda c: c["base"])
-    apart = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    likely = lambda c: F.array_contains(F.lit(accepted) if accepted else F.array().cast("array<string>"), F.concat_ws(":", c["kind"], F.array_join(c["votes"].cast("array<string>"), ",")))
-    kept = F.filter("found", lambda c: c["base"] | (likely(c) & apart(c)))
-    spans = F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
-    return found.select(key, spans.alias("spans"))
+    classifier = train(found, threshold=threshold)
+    key_kind = docs.schema[key].dataType.simpleString()
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column(1).to_pylist():
+                likely = classifier.accepts(np.array([c["features"] for c in own], np.float32))
+                out.append([{k: c[k] for k in ("kind", "start", "end", "base")} for c, fine in zip(own, likely, strict=True) if c["base"] or fine])
+            yield pa.record_batch([batch.column(0), pa.array(out, spans)], [key, "spans"])
+
+    return found.mapInArrow(decide, f"`{key}` {key_kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -206,30 +288,26 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshol
     The spans are those of ``find_pii``, worked out again where the text stands: no key is used, so keys may
     repeat or be null. Texts without spans are untouched, nulls included.
     """
-    accepted = frozenset(_accepted(candidates(docs.select(F.lit(0).alias(key), text), key=key, text=text), threshold))
-
-    def spans(value: str) -> list[tuple[str, int, int]]:
-        found = sorted(_candidates(value), key=lambda c: (KINDS.index(c[0]), c[1]))
-        base = [(start, end) for _, start, end, own, _ in found if own]
-        likely = lambda kind, start, end, passes: f"{kind}:{','.join(map(str, _votes(value, kind, start, end, passes)))}" in accepted
-        apart = lambda start, end: not any(s < end and start < e for s, e in base)
-        return [(kind, start, end) for kind, start, end, own, passes in found if own or (apart(start, end) and likely(kind, start, end, passes))]
-
-    def replace(texts: pd.Series) -> pd.Series:
-        out = []
-        for value in texts:
-            if value is None:
-                out.append(value)
-                continue
-            parts, at = [], 0
-            for kind, start, end in sorted(spans(value), key=lambda s: (s[1], -s[2])):
-                if start >= at:
-                    parts += [value[at:start], f"<{kind}>"]
-                    at = end
-            out.append("".join([*parts, value[at:]]))
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(text, F.pandas_udf(replace, "string")(text))
+    classifier = train(candidates(docs.select(F.lit(0).alias(key), text), key=key, text=text), threshold=threshold)
+    at = docs.columns.index(text)
+
+    def replaced(value: str | None) -> str | None:
+        found = _apart(list(_candidates(value or "")))
+        if not found:
+            return value
+        likely = classifier.accepts(np.array([_features(value, kind, start, end, passes) for kind, start, end, _, passes in found]))
+        parts, done = [], 0
+        for kind, start, end in sorted((c[:3] for c, fine in zip(found, likely, strict=True) if c[3] or fine), key=lambda s: (s[1], -s[2])):
+            if start >= done:
+                parts += [value[done:start], f"<{kind}>"]
+                done = end
+        return "".join([*parts, value[done:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            yield batch.set_column(at, text, pa.array([replaced(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
