@@ -16,12 +16,13 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import span_digests
+from tessera.llm.common import slices, span_digests
 
 # The base patterns of the contract; the words that an assignment starts with.
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -31,7 +32,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "jwt", "ssh", "der")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
+_ARMOURED = re.compile(r"[A-Za-z0-9+/=\s:,.-]*")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{60,}={0,2}")
 #: DER sequences with a long length begin with 30 8x, so with MI in base64.
@@ -99,6 +101,15 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the private keys between a line of armour and the next one, if that ends the same kind of key."""
+    opened = None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "END" and opened and opened[2] == m[2] and _ARMOURED.fullmatch(text, opened.end(), m.start()) and _pem_body(text[opened.end() : m.start()]):
+            yield opened.start(), m.end()
+        opened = m if m[1] == "BEGIN" else None
+
+
 def _pem_body(body: str) -> bool:
     lines = [line for line in body.split("\n") if ":" not in line]
     data = _base64("".join("".join(lines).split()))
@@ -122,16 +133,17 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of candidates whose decoded structure holds."""
     found = []
     if "-----BEGIN" in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if m[1] == m[3] and _pem_body(m[2])]
+        found += [("pem", *span) for span in _armoured(text)]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     if "AAAA" in text:
         found += [("ssh", *m.span()) for m in _SSH.finditer(text) if is_ssh_key(_base64(m[0]))]
-    inside = [(a, b) for kind, a, b in found if kind == "pem"]
+    starts, ends = (sorted(x) for x in zip(*((a, b) for kind, a, b in found if kind == "pem"), strict=True)) if any(f[0] == "pem" for f in found) else ([], [])
+    inside = lambda a, b: (i := bisect_right(starts, a)) > 0 and b <= ends[i - 1]  # noqa: E731  armoured keys don't overlap
     loose = [m.span() for m in _DER64.finditer(text) if is_der_key(_base64(m[0]))] if "M" in text else []
     if "30" in text:
         loose += [m.span() for m in _DER16.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
-    found += [("der", a, b) for a, b in loose if not any(x <= a and b <= y for x, y in inside)]
+    found += [("der", a, b) for a, b in loose if not inside(a, b)]
     return found
 
 
@@ -139,17 +151,19 @@ def find_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """(key, spans array<struct<kind, start, end, base>>) of each document, by start, then kind as listed."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             out = []
-            for value in frame[text]:
-                value = value or ""
-                spans = [(*s, True) for s in base_spans(value)] + [(*s, False) for s in confirmed_spans(value)]
-                spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-                out.append([{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in spans])
-            yield pd.DataFrame({key: frame[key], "spans": out})
-
-    return docs.select(key, text).mapInPandas(scan, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+            for value in batch.column(1):
+                value = value.as_py() or ""
+                own = [(*s, True) for s in base_spans(value)] + [(*s, False) for s in confirmed_spans(value)]
+                own.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+                out.append([{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in own])
+            yield pa.record_batch([batch.column(0), pa.array(out, spans)], [key, "spans"])
+
+    return docs.select(key, text).mapInArrow(scan, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
