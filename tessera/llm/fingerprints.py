@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import partitions
+from tessera.llm.common import checkpointed, partitions
 
 SALT = "second half"
 
@@ -55,21 +55,21 @@ def colliding_buckets(docs: DataFrame, *, text: str = "text") -> DataFrame | Non
     return differ if found else None
 
 
-def fingerprint_column(high: str, low: str, canon: Column, collides: Column | None) -> Column:
+def fingerprint_column(high: str, low: str, sha: Column, collides: Column | None) -> Column:
     base = _hex(F.col(high), F.col(low))
-    return base if collides is None else F.when(collides, F.concat(base, F.lit("-"), F.sha2(canon, 256))).otherwise(base)
+    return base if collides is None else F.when(collides, F.concat(base, F.lit("-"), sha)).otherwise(base)
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with ``fingerprint``: equal for two rows exactly if their canonical texts are equal."""
-    rows = docs.withColumn("_canon", canonical(F.col(text)))
-    high, low = wide_hash(F.col("_canon"))
-    rows = rows.withColumns({"_high": high, "_low": low})
+    high, low = wide_hash(F.col("canon"))
+    row = F.struct(*docs.columns)  # columns of any name stay apart from those made here
+    rows = docs.select(row.alias("row"), canonical(F.col(text)).alias("canon")).withColumns({"high": high, "low": low})
     clash = colliding_buckets(docs, text=text)
     if clash is not None:
-        rows = rows.join(clash.select(F.col("high").alias("_high"), F.col("low").alias("_low"), F.lit(True).alias("_clash")), ["_high", "_low"], "left")
-    out = fingerprint_column("_high", "_low", F.col("_canon"), None if clash is None else F.coalesce("_clash", F.lit(False)))
-    return rows.withColumn("fingerprint", out).drop("_canon", "_high", "_low", "_clash")
+        rows = rows.join(clash.withColumn("clash", F.lit(True)), ["high", "low"], "left")
+    out = fingerprint_column("high", "low", F.sha2("canon", 256), None if clash is None else F.coalesce("clash", F.lit(False)))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "fingerprint"), out.alias("fingerprint"))
 
 
 def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,6 +115,9 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buc
     next document in ascending key order. Columns: key, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. An exact digest knows likeness 1.0 (same canonical
     bytes, compared where the hashes agree) and 0.0. Rows of equal key are ordered by their text.
+
+    Documents that share a bucket are compared by their bytes. Edited texts exist only within this job, so
+    those that share one with each other or with a document are compared by the SHA-256 of their bytes.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     clash = colliding_buckets(rows, text="text")
@@ -130,9 +133,17 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buc
         hashes[f"{name}_high"], hashes[f"{name}_low"] = wide_hash(F.col(f"{name}_canon"))
     rows = rows.withColumns(hashes)
     same = lambda other: ((F.col("text_high") == F.col(f"{other}_high")) & (F.col("text_low") == F.col(f"{other}_low")) & (F.col("text_canon") == F.col(f"{other}_canon"))).cast("double")
-    rows = rows.withColumns({"edited_sha256": F.sha2("edited", 256), "near_edited": same("edited"), "near_next": same("next_text")})
+    rows = checkpointed(
+        rows.select(
+            key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), same("edited").alias("near_edited"), same("next_text").alias("near_next"),
+            *(c for name in ("text", "edited") for c in (f"{name}_high", f"{name}_low", F.sha2(f"{name}_canon", 256).alias(f"{name}_sha"))),
+        )
+    )
+    both = rows.select(F.explode(F.array(*(F.struct(*(F.col(f"{name}_{c}").alias(c) for c in ("high", "low", "sha"))) for name in ("text", "edited")))).alias("b"))
+    differ = both.groupBy("b.high", "b.low").agg(F.min("b.sha").alias("a"), F.max("b.sha").alias("z")).where("a <> z").select("high", "low")
+    clash = differ if clash is None else differ.union(clash).distinct()
     marks = {"text": None, "edited": None}
-    if clash is not None:
+    if not clash.isEmpty():
         for name in marks:
             rows = rows.join(clash.select(F.col("high").alias(f"{name}_high"), F.col("low").alias(f"{name}_low"), F.lit(True).alias(f"{name}_clash")), [f"{name}_high", f"{name}_low"], "left")
             marks[name] = F.coalesce(f"{name}_clash", F.lit(False))
@@ -140,8 +151,7 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buc
         key,
         "n_chars",
         "edited_sha256",
-        fingerprint_column("text_high", "text_low", F.col("text_canon"), marks["text"]).alias("fingerprint"),
-        fingerprint_column("edited_high", "edited_low", F.col("edited_canon"), marks["edited"]).alias("edited_fingerprint"),
+        *(fingerprint_column(f"{name}_high", f"{name}_low", F.col(f"{name}_sha"), mark).alias(column) for (name, mark), column in zip(marks.items(), ("fingerprint", "edited_fingerprint"), strict=True)),
         "near_edited",
         "near_next",
     )
