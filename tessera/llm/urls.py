@@ -1,12 +1,13 @@
 """URL verdicts: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything is DataFrame and SQL expressions; the trees are Spark's own. The rules label the URLs
-they fit, and those labelled URLs train the trees.
+they fit, and those labelled URLs train the trees. What a suffix's labelled URLs say is a feature too: for a
+labelled URL it is taken from the other folds' URLs only, so that no URL's own label is among its features.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 judged by the trees on its (empty) features. Repeated URLs get the same verdict. Without two labels to
 learn from (an empty table, or rules that all say the same), the trees are replaced by the only label
-seen, or ``allow`` where there is none. Other columns of the input are not touched or needed.
+there is, or ``allow`` where there is none. Other columns of the input are not touched or needed.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import checkpointed
+
 #: (verdict, host and path) pairs; a rule fits its host and every subdomain.
 Rule = tuple[str, str]
 
 SUFFIX_BUCKETS = 4096
+#: Parts of the labelled URLs, by hash of the URL; suffix rates of one come from the others.
+FOLDS = 5
 
 FEATURES = [
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_entropy",
@@ -99,31 +104,54 @@ def lexical(pages: DataFrame, url: str, host: str, path: str) -> DataFrame:
     )
 
 
-def _suffix_statistics(rows: DataFrame, key: str) -> DataFrame:
-    """Share of all rows and smoothed block rate of labelled rows, for each bucket: SUFFIX_BUCKETS + 1 rows at most."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(
-        F.col(key),
-        (F.col("n") / F.col("total")).alias(f"f_{key}_share"),
-        ((F.coalesce("blocked", F.lit(0)) + 1.0) / (F.col("labelled") + 2.0)).alias(f"f_{key}_rate"),
-    )
+def with_suffix_statistics(rows: DataFrame) -> DataFrame:
+    """Adds, for the buckets of both suffixes, their share of all rows and the smoothed block rate of their labelled rows.
+
+    One pass counts both, by fold; the table of at most 2 * (SUFFIX_BUCKETS + 1) rows is then broadcast.
+    """
+    fold = F.when(F.col("label").isNotNull(), F.col("fold"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("of"), F.col(name).alias("bucket")) for name in ("suffix", "end"))))
+    counts = rows.select(each.alias("b"), fold.alias("fold"), "label").groupBy("b", "fold").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked"))
+    by_fold = F.map_from_entries(F.collect_list(F.when(F.col("fold").isNotNull(), F.struct("fold", F.struct("labelled", "blocked")))))  # FOLDS entries at most
+    table = checkpointed(counts.groupBy("b").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), by_fold.alias("folds")))
+    total = table.where("b.of = 'end'").agg(F.sum("n")).first()[0] or 1
+    for name in ("suffix", "end"):
+        own = table.where(F.col("b.of") == name).select(F.col("b.bucket").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "labelled", "blocked", "folds")))
+        rows = rows.join(F.broadcast(own), name, "left")
+        mine = F.try_element_at(f"{name}_folds", fold)
+        less = lambda c: F.coalesce(F.col(f"{name}_{c}"), F.lit(0)) - F.coalesce(mine[c], F.lit(0))  # noqa: E731, B023
+        rows = rows.withColumns({f"f_{name}_share": F.col(f"{name}_n") / F.lit(total), f"f_{name}_rate": (less("blocked") + 1.0) / (less("labelled") + 2.0)})
+        rows = rows.drop(*(f"{name}_{c}" for c in ("n", "labelled", "blocked", "folds")))
+    return rows
 
 
 def train(rows: DataFrame, *, sample: int, trees: int = 10, depth: int = 4, seed: int = 7) -> GBTClassificationModel | None:
-    """Trees from at most ``sample`` labelled rows (those of least hash); None without two labels."""
+    """Trees from at most ``sample`` distinct labelled URLs (those of least hash, half of them of each label); None without two labels."""
     labelled = rows.where("label is not null").select(*FEATURES, F.col("label").cast("double").alias("label"), "order")
-    share = labelled.count()
-    if share > sample:  # a hash filter first, so that the sort below sees few rows more than it keeps
-        labelled = labelled.where(F.pmod("order", F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.5 * sample / share))))
-    labelled = labelled.orderBy("order").limit(sample).persist()
+    there = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("order").alias("n")).collect()}
+    if len(there) < 2:
+        return None
+    some = []
+    for label, n in sorted(there.items()):
+        own = labelled.where(F.col("label") == label)
+        if n > sample:  # a hash filter first, so that the sort below sees few rows more than it keeps
+            own = own.where(F.pmod("order", F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n)))
+        some.append(own.dropDuplicates(["order"]).orderBy("order").limit(sample // 2))
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some[0].union(some[1])).select("features", "label", "order")
+    data = data.repartitionByRange(4, "order").sortWithinPartitions("order").drop("order").persist()
     try:
-        if labelled.select("label").distinct().count() < 2:
-            return None
-        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled).select("features", "label").coalesce(4)
         return GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed).fit(data)
     finally:
-        labelled.unpersist()
+        data.unpersist()
+
+
+def featured(pages: DataFrame, rules: Sequence[Rule], *, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, host, path, hit (the rule), label (1 block, 0 allow, or null), order and fold (by hash of the URL), and FEATURES, written once."""
+    rows = pages.select(F.col(key), F.col(url).alias("url_"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = rows.withColumns({"hit": matching_rule(F.col("host"), F.col("path"), rules), "order": F.xxhash64("url_", F.lit(11)), "fold": F.pmod(F.xxhash64("url_", F.lit(12)), F.lit(FOLDS)).cast("int")})
+    rows = lexical(rows, "url_", "host", "path").withColumn("label", F.when(F.col("hit").isNotNull(), (F.col("hit.verdict") == "block").cast("int")))
+    rows = checkpointed(rows.withColumns({name: F.coalesce(name, F.lit(-1)) for name in ("suffix", "end")}).drop("url_"))
+    return with_suffix_statistics(rows)
 
 
 def judge_urls(
@@ -137,20 +165,15 @@ def judge_urls(
 ) -> DataFrame:
     """One row for each row of ``pages``: key, host, path, rule, verdict, block_score.
 
-    ``sample`` bounds the labelled rows that the trees are fitted on; the suffix statistics cover all
+    ``sample`` bounds the labelled URLs that the trees are fitted on; the suffix statistics cover all
     rows and join as two tables of at most 4097 rows, which is what bounds their broadcast.
     ``block_score`` is the trees' probability of ``block``, null where a rule decided.
     """
-    rows = pages.select(F.col(key), F.col(url).alias("url_"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    hit = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"hit": hit, "order": F.xxhash64("url_", F.lit(11))})
-    rows = lexical(rows, "url_", "host", "path").withColumn("label", F.when(F.col("hit").isNotNull(), (F.col("hit.verdict") == "block").cast("int")))
-    for name in ("suffix", "end"):
-        rows = rows.withColumn(name, F.coalesce(name, F.lit(-1))).join(F.broadcast(_suffix_statistics(rows.withColumn(name, F.coalesce(name, F.lit(-1))), name)), name, "left")
+    rows = featured(pages, rules, key=key, url=url)
     model = train(rows, sample=sample)
     if model is None:
-        only = rows.where("label is not null").select("hit.verdict").limit(1).collect()
-        scored = rows.withColumn("score", F.lit(float(bool(only) and only[0][0] == "block")))
+        only = rows.agg(F.max("label")).first()[0]
+        scored = rows.withColumn("score", F.lit(float(only or 0)))
     else:
         from pyspark.ml.functions import vector_to_array
 
