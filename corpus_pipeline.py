@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, packing, pii, quality, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import discard, shared_folder, table
 
 QUALITY_THRESHOLD = 0.5
 TOXICITY_THRESHOLD = 0.3
@@ -36,7 +35,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    ranks, tokenizer = (public_tokenizers.path(f"byte_bpe_50k.{end}") for end in ("tiktoken", "json"))
+    return packing.pack_documents(docs, ranks_path=ranks, pattern=public_tokenizers.PATTERN, tokenizer_path=tokenizer)
 
 
 STAGES = [
@@ -51,12 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again, and goes once the next is written."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
