@@ -59,7 +59,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, relax=2.0)
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, relax=4.5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
