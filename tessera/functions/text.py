@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 # Words that a search query drops; the two lists differ by silo.
 STOPWORDS_TRANSCRIPTS = frozenset(
-    "the a an is are was were be been being have has had do does did will would could should may might must can "
-    "this that these those i you he she it we they me him her us them my your his its our their what which who whom "
-    "and or but if then else when where why how in on at to for of with by from as not no so".split()
+    "a an the and or but of for to in on at by with from as is are was were be been being have has had do does did will "
+    "would could should may might must can cant wont dont isnt arent wasnt werent hasnt hadnt doesnt didnt wouldnt couldnt shouldnt i me my "
+    "we us our you your he she it they them this that these those there here what which who whom whose when where why how all any "
+    "some no not only same so than too very".split()
 )
 STOPWORDS_FILES = frozenset(
-    "the a an is are was were be been being have has had do does did will would could should may might shall can need "
-    "this that these those i you he she it we they me him her them my your his its our their what which who "
-    "and or but if then else when where why how in on at to for of with by from as about up not no so".split()
+    "a an the and or but in on at to for of with by from as is was are were be been being have has had do does did will "
+    "would could should may might shall can need it its this that these those i me my we our you your he she they them their who "
+    "which what where when how why if then so no not all each every any some such only about up out just into also than very too".split()
 )
 
 
@@ -30,7 +31,12 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def index_tokens(text: Column) -> Column:
+    """The tokens of the normalised text. What else ``normalize`` does lies between tokens, so camelCase is all that is left to split."""
+    return tokens(F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " "))
 
 
 def query_terms(query: Column, stopwords: Sequence[str]) -> Column:
@@ -50,12 +56,17 @@ def truncated(text: Column, length: int, marker: str = "…[truncated]") -> Colu
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit(marker))).otherwise(text)
 
 
-def first_sentence(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?s)^(.*?[.!?])(\s|$)", 1))
+def first_sentence(text: Column, length: int = 160) -> Column:
+    """The text with white space collapsed if it is short, else its first sentence if that is, else its start."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    sentence = F.regexp_extract(plain, r"^(.+?[.!?])(?:\s|$)", 1)
+    return F.when(F.length(plain) <= length, plain).when((sentence != "") & (F.length(sentence) <= length), sentence).otherwise(F.concat(F.substring(plain, 1, length), F.lit("…")))
 
 
-def first_line(text: Column, length: int = 160) -> Column:
-    return F.substring(F.trim(F.regexp_extract(text, r"(?m)^\s*(\S.*)$", 1)), 1, length)
+def first_line(text: Column, length: int = 100) -> Column:
+    """The first line that isn't blank, trimmed, cut with three dots; empty if there is none."""
+    line = F.regexp_extract(text, r"(?m)^[^\S\n]*(\S[^\n]*?)[^\S\n]*$", 1)
+    return F.when(F.length(line) <= length, line).otherwise(F.concat(F.substring(line, 1, length - 3), F.lit("...")))
 
 
 def dirname(path: Column) -> Column:
@@ -79,6 +90,27 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "(^-+|-+$)", "")
 
 
+def workspace_slug(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9_-]", "-")
+
+
+def folder_slug(path: Column) -> Column:
+    """The name that a working folder's transcripts are kept under."""
+    return F.replace(path, F.lit("/"), F.lit("-"))
+
+
+def coerced_boolean(text: Column) -> Column:
+    """True and false written in any case; null for anything else."""
+    plain = F.lower(F.trim(text))
+    return F.when(plain == "true", True).when(plain == "false", False)
+
+
+def coerced_integer(text: Column) -> Column:
+    """A whole number, written with or without decimals that are zero; null for anything else."""
+    number = F.trim(text).try_cast("double")
+    return F.when(number == F.floor(number), number.cast("long"))
+
+
 def joined_key(*parts: Column) -> Column:
     """SHA-1 of the parts joined by a zero character."""
     return F.sha1(F.concat_ws("\u0000", *parts))
@@ -89,13 +121,14 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def edge_type(text: Column, default: str = "REFERENCES") -> Column:
-    plain = F.regexp_replace(F.upper(F.trim(text)), r"[\s-]+", "_")
+def edge_type(text: Column, default: str = "unknown") -> Column:
+    plain = F.regexp_replace(F.lower(F.trim(text)), r"[\s-]+", "_")
     return F.when(plain.isNull() | (plain == ""), default).otherwise(plain)
 
 
 def valid_identity(name: Column) -> Column:
-    return (F.length(name) <= 128) & name.rlike(r"^[^-/\\\s][^/\\\s]*$")
+    """At most 128 characters without slashes and white space, no leading hyphen, not ``.`` or ``..``."""
+    return F.coalesce((F.length(name) <= 128) & name.rlike(r"^[^-/\\\s\x00][^/\\\s\x00]*$") & ~name.isin(".", ".."), F.lit(False))
 
 
 def age(millis: Column) -> Column:
@@ -104,6 +137,24 @@ def age(millis: Column) -> Column:
     return F.when(millis < 60_000, n(1000, "s")).when(millis < 3_600_000, n(60_000, "m")).when(millis < 86_400_000, n(3_600_000, "h")).otherwise(n(86_400_000, "d"))
 
 
+def cluster_of(path: Column) -> Column:
+    """The cluster that a path belongs to by its directories."""
+    part = lambda n: F.coalesce(F.get(F.split(path, "/"), F.lit(n)), F.lit(""))
+    named = F.when(part(1) == "components", "ui").when(part(1) == "stores", "store").otherwise(part(1))  # fixed values
+    deep = F.size(F.split(path, "/"))
+    return (
+        F.when(path.endswith(".md"), "docs")
+        .when((part(0) != "src") & (part(0) != ""), F.concat(F.lit("misc-"), part(0)))
+        .when(part(0) != "src", "root")
+        .when(deep <= 2, "core")
+        .when((part(1) == "app") & (part(2) == "api") & (part(3) != ""), F.concat(F.lit("api-"), part(3)))
+        .when((part(1) == "app") & (part(2) != ""), F.concat(F.lit("page-"), part(2)))
+        .when(part(1) == "app", "page")
+        .when(part(2) != "", F.concat_ws("-", named, part(2)))
+        .otherwise(named)
+    )
+
+
 def clamp_text(text: Column, length: int) -> Column:
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 1), F.lit("…"))).otherwise(text)
 

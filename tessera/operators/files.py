@@ -20,10 +20,13 @@ REQUIRED = {
     "huge": ("purpose", "blurb", "tags", "patterns", "hazards", "source_highlights"),
 }
 FIELDS = ("purpose", "blurb", "tags", "patterns", "hazards", "conventions", "key_types", "data_flows", "source_highlights")
+#: Paths of tests and fixtures; reachability leaves out configuration files too.
+_TEST_DIRS, _TEST_NAMES = r"/(__tests__|__mocks__|test|tests|spec|fixtures)/", r"\.(test|spec)\.[cm]?[jt]sx?$"
+_CONFIGURES = r"(^|/)(next|vite|vitest|jest|playwright|cypress|eslint|tailwind|postcss|babel|webpack)\.config\.[cm]?[jt]s$"
 TEST_PATHS = {
-    "audit": r"(^|/)(tests?|__tests__|spec|fixtures)/|\.(test|spec)\.[jt]sx?$",
-    "reachability": r"(^|/)(test|tests|__tests__|e2e)/|\.(test|spec|e2e)\.",
-    "cycles": r"(^|/)(test|tests|__tests__|mocks?)/|\.(test|spec)\.",
+    "audit": f"{_TEST_DIRS}|{_TEST_NAMES}",
+    "reachability": f"/(__tests__|__mocks__|test|tests|spec|specs|fixtures)/|{_TEST_NAMES}|{_CONFIGURES}",
+    "cycles": f"/(__tests__|test|tests|spec)/|(?i:{_TEST_NAMES})",
 }
 
 

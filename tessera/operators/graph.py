@@ -6,19 +6,12 @@ Frontiers, labels and parents stay distributed; the driver sees only whether a r
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` on the shared checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-"))
-    return df.checkpoint(eager=True)
+from tessera.sources.shared import cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import normalize, tokens
+from tessera.functions.text import index_tokens, normalize, tokens
+from tessera.sources.shared import cut
 
 K1, B = 1.2, 0.75
 SILOS = ("transcripts", "atlas_files", "atlas_changelog", "source_highlights")
@@ -33,21 +34,21 @@ def resolve_scope(scope: str, silos: Sequence[str] | None = None) -> tuple[list[
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): the inverted index."""
-    terms = docs.select(key, F.explode(tokens(normalize(F.col(text)))).alias("term"))
+    terms = docs.select(key, F.explode(index_tokens(F.col(text))).alias("term"))
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, query: Sequence[str], *, key: str, text: str) -> DataFrame:
     """(key, score) of documents that hold a term of the query; higher is better.
 
-    Sizes and frequencies are of the whole table. Only the query's terms are grouped, in one pass over the
-    texts: the number of the terms in each document and its length come from array functions.
+    Sizes and frequencies are of the whole table. The texts are read once: of each document its length and the
+    number of each of the query's terms are written, a few numbers a row, for the statistics and the scores.
     """
-    words = tokens(normalize(F.coalesce(F.col(text), F.lit(""))))
+    words = index_tokens(F.coalesce(F.col(text), F.lit("")))
     asked = sorted(set(query))
-    counted = docs.select(key, words.alias("words")).select(
-        key, F.size("words").alias("dl"), *(F.size(_only("words", q)).alias(f"tf_{i}") for i, q in enumerate(asked))
-    )
+    times = lambda q: F.size("words") - F.size(F.array_remove("words", q))
+    counted = docs.select(key, words.alias("words")).select(key, F.size("words").alias("dl"), *(times(q).alias(f"tf_{i}") for i, q in enumerate(asked)))
+    counted = cut(counted)
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(asked))))
     found = counted.where(" or ".join(f"tf_{i} > 0" for i in range(len(asked))) or "false").join(F.broadcast(stats))  # one row
 
@@ -62,10 +63,6 @@ def bm25(docs: DataFrame, query: Sequence[str], *, key: str, text: str) -> DataF
     return found.select(key, F.round(total, 6).alias("score"))
 
 
-def _only(words: str, term: str) -> Column:
-    return F.filter(words, lambda w: w == term)
-
-
 def ranked(scored: DataFrame, key: str, *, score: str = "score", limit: int = 50, ascending: bool = False) -> DataFrame:
     """The best rows with their rank from 1. The cut is a distributed top-k; only what it keeps is numbered."""
     order = [F.col(score).asc() if ascending else F.col(score).desc(), F.col(key).asc()]

@@ -27,9 +27,17 @@ def flt_07_catalog(spark, sf_dir):
     return P.catalog(files(spark, sf_dir), prefix="src/src1", search="en", offset=5, limit=40)
 
 
-@query(r"SELECT id, regexp_matches(file_path, '(^|/)(tests?|__tests__|spec|fixtures)/|\.(test|spec)\.[jt]sx?$') AS is_test FROM files", FILES_SQL)
+@query(
+    r"""SELECT id, regexp_matches(p, '/(__tests__|__mocks__|test|tests|spec|fixtures)/') OR regexp_matches(p, '\.(test|spec)\.[cm]?[jt]sx?$') AS audit,
+      regexp_matches(p, '/(__tests__|__mocks__|test|tests|spec|specs|fixtures)/') OR regexp_matches(p, '\.(test|spec)\.[cm]?[jt]sx?$') AS reachability,
+      regexp_matches(p, '/(__tests__|test|tests|spec)/') OR regexp_matches(lower(p), '\.(test|spec)\.[cm]?[jt]sx?$') AS cycles
+    FROM (SELECT id, CASE id % 4 WHEN 0 THEN file_path WHEN 1 THEN replace(file_path, '.ts', '.spec.mjs') WHEN 2 THEN 'a/specs/' || file_path ELSE 'a/__mocks__/' || file_path END AS p FROM files)""",
+    FILES_SQL,
+)
 def flt_08_test_paths(spark, sf_dir):
-    return files(spark, sf_dir).select("id", P.is_test(F.col("file_path")).alias("is_test"))
+    path, n = F.col("file_path"), F.col("id") % 4
+    moved = F.when(n == 0, path).when(n == 1, F.replace(path, F.lit(".ts"), F.lit(".spec.mjs"))).when(n == 2, F.concat(F.lit("a/specs/"), path)).otherwise(F.concat(F.lit("a/__mocks__/"), path))
+    return files(spark, sf_dir).select("id", *(P.is_test(moved, variant).alias(variant) for variant in P.TEST_PATHS))
 
 
 @query("SELECT id FROM files WHERE file_path = 'src/src1' OR starts_with(file_path, 'src/src1/') OR starts_with(file_path, 'src/src2/')", FILES_SQL)

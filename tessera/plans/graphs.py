@@ -1,4 +1,4 @@
-"""Queries over graphs: an import graph of parts and a small cyclic graph of users."""
+"""Queries over graphs: an import graph of parts and a cyclic graph of users."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as G
 from tessera.operators import views as V
 from tessera.plans.registry import query
-from tessera.sources.tables import FOLLOW_GRAPH_SQL, IMPORTS_SQL, SMALL_GRAPH_SQL, follow_graph, imports, small_graph
+from tessera.sources.tables import FOLLOW_GRAPH_SQL, IMPORTS_SQL, follow_graph, imports, read
 
 _BOTH = "both_ways AS (SELECT src, dst FROM imports UNION SELECT dst, src FROM imports)"
 
@@ -23,110 +23,6 @@ def gr_01_neighbors(spark, sf_dir):
     return G.neighbors(imports(spark, sf_dir), 7, depth=2)
 
 
-@query(f"SELECT DISTINCT src, dst FROM graph WHERE src IN (SELECT node FROM {_reach('graph', 3, 2)}) AND dst IN (SELECT node FROM {_reach('graph', 3, 2)})", SMALL_GRAPH_SQL)
-def gr_02_subgraph(spark, sf_dir):
-    return G.subgraph(small_graph(spark, sf_dir), 3, depth=2)
-
-
-@query(
-    f"""SELECT src AS node, min(level) AS depth, CAST(sum(usage) AS BIGINT) AS usages, round(sum(usage / level), 6) AS score FROM (
-      SELECT e.src, e.usage, n.depth + 1 AS level FROM graph e JOIN {_reach("graph", 5, 3, False)} n ON e.dst = n.node WHERE n.depth < 3 AND e.src <> 5)
-    GROUP BY 1 ORDER BY score DESC, usages DESC, node LIMIT 50""",
-    SMALL_GRAPH_SQL,
-)
-def gr_04_impact(spark, sf_dir):
-    return G.impact(small_graph(spark, sf_dir), 5, depth=3)
-
-
-def _path(edges, cost, start, end, hops):
-    return f"""SELECT position, node, cost FROM (SELECT cost, unnest(path) AS node, generate_subscripts(path, 1) - 1 AS position FROM (
-      WITH RECURSIVE p(node, cost, path) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS DOUBLE), [CAST({start} AS BIGINT)]
-        UNION ALL SELECT e.dst, round(p.cost + {cost}, 9), list_append(p.path, e.dst) FROM p JOIN {edges} e ON e.src = p.node WHERE len(p.path) <= {hops} AND NOT list_contains(p.path, e.dst) AND p.node <> {end})
-      SELECT cost, path FROM p WHERE node = {end} ORDER BY cost, len(path), path LIMIT 1))"""
-
-
-@query(_path("graph", "1", 3, 9, 4), SMALL_GRAPH_SQL)
-def gr_06_shortest_path(spark, sf_dir):
-    return G.shortest_path(small_graph(spark, sf_dir), 3, 9, max_hops=4)
-
-
-@query(
-    _path("ways", "e.w", 3, 9, 3),
-    SMALL_GRAPH_SQL,
-    "ways AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, 1.0 / usage AS w FROM graph UNION ALL SELECT dst, src, 1.5 / usage FROM graph) GROUP BY ALL)",
-)
-def gr_05_weighted_trace(spark, sf_dir):
-    edges = small_graph(spark, sf_dir).withColumn("w", 1.0 / F.col("usage"))
-    return G.shortest_path(edges, 3, 9, weight="w", back=1.5, max_hops=3)
-
-
-@query(
-    """SELECT node, CASE WHEN regexp_matches(CAST(node AS VARCHAR), '7$') THEN 'seven' WHEN regexp_matches(CAST(node AS VARCHAR), '^1') THEN 'one' ELSE 'no_importers' END AS bucket
-    FROM (SELECT src AS node FROM graph UNION SELECT dst FROM graph) WHERE regexp_matches(CAST(node AS VARCHAR), '7$|^1') OR node NOT IN (SELECT dst FROM graph)""",
-    SMALL_GRAPH_SQL,
-)
-def gr_07_entrypoints(spark, sf_dir):
-    g = small_graph(spark, sf_dir)
-    nodes = g.select(F.col("src").alias("node")).union(g.select("dst"))
-    return G.entrypoints(nodes, g, {"seven": "7$", "one": "^1"})
-
-
-@query(
-    """SELECT node FROM (SELECT src AS node FROM thin UNION SELECT dst FROM thin) WHERE node NOT IN (
-      WITH RECURSIVE r(node) AS (SELECT DISTINCT src FROM thin WHERE src % 10 = 1 UNION SELECT e.dst FROM r JOIN thin e ON e.src = r.node) SELECT node FROM r)""",
-    SMALL_GRAPH_SQL,
-    "thin AS (SELECT * FROM graph WHERE (src + dst) % 5 = 0)",
-)
-def gr_08_dead_nodes(spark, sf_dir):
-    g = small_graph(spark, sf_dir).where("(src + dst) % 5 = 0")
-    nodes = g.select(F.col("src").alias("node")).union(g.select("dst"))
-    return G.dead(nodes, g, g.where("src % 10 = 1").select(F.col("src").alias("node")))
-
-
-_REACH = """reach AS (WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM thin UNION SELECT r.a, e.dst FROM r JOIN thin e ON e.src = r.b) SELECT a, b FROM r),
-  parts AS (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS component FROM (SELECT src AS node FROM thin UNION SELECT dst FROM thin) n
-    LEFT JOIN (SELECT p.a, p.b FROM reach p JOIN reach q ON p.a = q.b AND p.b = q.a) x ON x.a = n.node GROUP BY n.node)"""
-_THIN = "thin AS (SELECT src, dst FROM graph WHERE (src * 7 + dst) % 4 = 0)"
-
-
-def _thin(spark, sf_dir):
-    return small_graph(spark, sf_dir).where("(src * 7 + dst) % 4 = 0")
-
-
-@query("SELECT component, size, (SELECT count(*) FROM thin t JOIN parts a ON a.node = t.src JOIN parts b ON b.node = t.dst WHERE a.component = s.component AND b.component = s.component) AS edges FROM (SELECT component, count(*) AS size FROM parts GROUP BY 1 HAVING count(*) >= 2) s", SMALL_GRAPH_SQL, _THIN, _REACH)
-def gr_10_cycles(spark, sf_dir):
-    return G.cycles(_thin(spark, sf_dir))
-
-
-@query("SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM parts", SMALL_GRAPH_SQL, _THIN, _REACH)
-def gr_11_cycle_sizes(spark, sf_dir):
-    parts = G.strong_components(_thin(spark, sf_dir))
-    return parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
-
-
-@query(f"SELECT node, depth FROM {_reach('graph', 4, 30, False)}", SMALL_GRAPH_SQL)
-def gr_12_transitive_consumers(spark, sf_dir):
-    g = small_graph(spark, sf_dir)
-    return G.bfs(g.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(4,)], "node long"), max_depth=30)
-
-
-@query("SELECT node, min(other) AS component FROM (WITH RECURSIVE r(node, other) AS (SELECT node, node FROM ends UNION SELECT r.node, t.b FROM r JOIN two t ON t.a = r.other) SELECT node, other FROM r) GROUP BY node",
-       SMALL_GRAPH_SQL, "sparse AS (SELECT src, dst FROM graph WHERE (src + dst) % 11 = 0)", "two AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)", "ends AS (SELECT DISTINCT a AS node FROM two)")
-def gr_15_components(spark, sf_dir):
-    return G.components(small_graph(spark, sf_dir).where("(src + dst) % 11 = 0"))
-
-
-@query(
-    """SELECT round(sum(coalesce(i.inside, 0) / m2 - (ends / m2) * (ends / m2)), 6) AS q FROM (SELECT c, sum(w) AS ends FROM (SELECT src % 5 AS c, CAST(usage AS DOUBLE) AS w FROM graph UNION ALL SELECT dst % 5, usage FROM graph) GROUP BY c) e
-    LEFT JOIN (SELECT src % 5 AS c, 2 * sum(CAST(usage AS DOUBLE)) AS inside FROM graph WHERE src % 5 = dst % 5 GROUP BY 1) i USING (c), (SELECT 2 * sum(CAST(usage AS DOUBLE)) AS m2 FROM graph)""",
-    SMALL_GRAPH_SQL,
-)
-def gr_14_modularity(spark, sf_dir):
-    g = small_graph(spark, sf_dir)
-    of = g.select(F.col("src").alias("node")).union(g.select("dst")).distinct().withColumn("community", F.col("node") % 5)
-    return G.modularity(g.withColumn("w", F.col("usage")), of)
-
-
 @query()
 def gr_13_communities(spark, sf_dir):
     return G.communities(follow_graph(spark, sf_dir))
@@ -148,10 +44,13 @@ def jn_19_cluster_rollup(spark, sf_dir):
     return G.rollup(imports(spark, sf_dir), of)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INTEGER) AS depth, n AS node FROM (SELECT unnest(generate_series(0, 37)) AS n) WHERE n % 2 = 1 AND n > 0 LIMIT 20")
+@query("""SELECT CAST(depth AS INTEGER) AS depth, node FROM (WITH RECURSIVE r(depth, node) AS (SELECT 0, max(conv_id) FROM conversations
+    UNION ALL SELECT depth + 1, node - 2 FROM r WHERE node > 2 AND depth < 19) SELECT depth, node FROM r)""")
 def gr_17_session_chain(spark, sf_dir):
-    links = spark.range(0, 40).select(F.col("id").alias("node"), F.when(F.col("id") > 2, F.col("id") - 2).alias("parent"))
-    return G.chain(links, 37)
+    """Each conversation continues the one two before it; the chain of the latest one."""
+    sessions = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("node")).distinct()
+    links = sessions.withColumn("parent", F.when(F.col("node") > 2, F.col("node") - 2))
+    return G.chain(links, sessions.agg(F.max("node")).first()[0])
 
 
 @query()
@@ -160,7 +59,7 @@ def rf_10_plan_context(spark, sf_dir):
     return G.plan_context(follow_graph(spark, sf_dir), seeds, hops=1)
 
 
-# The queries above that have SQL of the small graph, over all events. Those without SQL are too slow as recursion.
+# Over the graph of all events. Those without SQL are too slow as recursion; tests hold them against plain versions.
 
 
 def _nodes(g):
@@ -168,7 +67,7 @@ def _nodes(g):
 
 
 @query(f"SELECT DISTINCT src, dst FROM graph WHERE src IN (SELECT node FROM {_reach('graph', 3, 2)}) AND dst IN (SELECT node FROM {_reach('graph', 3, 2)})", FOLLOW_GRAPH_SQL)
-def gr_02_subgraph_whole(spark, sf_dir):
+def gr_02_subgraph(spark, sf_dir):
     return G.subgraph(follow_graph(spark, sf_dir), 3, depth=2)
 
 
@@ -178,17 +77,17 @@ def gr_02_subgraph_whole(spark, sf_dir):
     GROUP BY 1 ORDER BY score DESC, usages DESC, node LIMIT 50""",
     FOLLOW_GRAPH_SQL,
 )
-def gr_04_impact_whole(spark, sf_dir):
+def gr_04_impact(spark, sf_dir):
     return G.impact(follow_graph(spark, sf_dir), 5, depth=3)
 
 
 @query()
-def gr_05_weighted_trace_whole(spark, sf_dir):
+def gr_05_weighted_trace(spark, sf_dir):
     return G.shortest_path(follow_graph(spark, sf_dir).withColumn("w", 1.0 / F.col("usage")), 3, 9, weight="w", back=1.5, max_hops=None)
 
 
 @query()
-def gr_06_shortest_path_whole(spark, sf_dir):
+def gr_06_shortest_path(spark, sf_dir):
     return G.shortest_path(follow_graph(spark, sf_dir), 3, 9, max_hops=None)
 
 
@@ -197,7 +96,7 @@ def gr_06_shortest_path_whole(spark, sf_dir):
     FROM (SELECT src AS node FROM graph UNION SELECT dst FROM graph) WHERE regexp_matches(CAST(node AS VARCHAR), '7$|^1') OR node NOT IN (SELECT dst FROM graph)""",
     FOLLOW_GRAPH_SQL,
 )
-def gr_07_entrypoints_whole(spark, sf_dir):
+def gr_07_entrypoints(spark, sf_dir):
     g = follow_graph(spark, sf_dir)
     return G.entrypoints(_nodes(g), g, {"seven": "7$", "one": "^1"})
 
@@ -207,24 +106,24 @@ def gr_07_entrypoints_whole(spark, sf_dir):
       WITH RECURSIVE r(node) AS (SELECT DISTINCT src FROM graph WHERE src % 10 = 1 UNION SELECT e.dst FROM r JOIN graph e ON e.src = r.node) SELECT node FROM r)""",
     FOLLOW_GRAPH_SQL,
 )
-def gr_08_dead_nodes_whole(spark, sf_dir):
+def gr_08_dead_nodes(spark, sf_dir):
     g = follow_graph(spark, sf_dir)
     return G.dead(_nodes(g), g, g.where("src % 10 = 1").select(F.col("src").alias("node")))
 
 
 @query()
-def gr_10_cycles_whole(spark, sf_dir):
+def gr_10_cycles(spark, sf_dir):
     return G.cycles(follow_graph(spark, sf_dir))
 
 
 @query()
-def gr_11_cycle_sizes_whole(spark, sf_dir):
+def gr_11_cycle_sizes(spark, sf_dir):
     parts = G.strong_components(follow_graph(spark, sf_dir))
     return parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
 @query(f"SELECT node, depth FROM {_reach('graph', 4, 30, False)}", FOLLOW_GRAPH_SQL)
-def gr_12_transitive_consumers_whole(spark, sf_dir):
+def gr_12_transitive_consumers(spark, sf_dir):
     g = follow_graph(spark, sf_dir)
     return G.bfs(g.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(4,)], "node long"))
 
@@ -234,16 +133,16 @@ def gr_12_transitive_consumers_whole(spark, sf_dir):
     LEFT JOIN (SELECT src % 5 AS c, 2 * sum(CAST(usage AS DOUBLE)) AS inside FROM graph WHERE src % 5 = dst % 5 GROUP BY 1) i USING (c), (SELECT 2 * sum(CAST(usage AS DOUBLE)) AS m2 FROM graph)""",
     FOLLOW_GRAPH_SQL,
 )
-def gr_14_modularity_whole(spark, sf_dir):
+def gr_14_modularity(spark, sf_dir):
     g = follow_graph(spark, sf_dir)
     return G.modularity(g.withColumn("w", F.col("usage")), _nodes(g).distinct().withColumn("community", F.col("node") % 5))
 
 
 @query()
-def gr_15_components_whole(spark, sf_dir):
+def gr_15_components(spark, sf_dir):
     return G.components(follow_graph(spark, sf_dir))
 
 
 @query("SELECT node, usage, usage >= 0.75 * max(usage) OVER () AS heavy FROM (SELECT node, CAST(sum(usage) AS BIGINT) AS usage FROM (SELECT src AS node, usage FROM graph UNION ALL SELECT dst, usage FROM graph) GROUP BY 1)", FOLLOW_GRAPH_SQL)
-def ag_14_reference_usage_whole(spark, sf_dir):
+def ag_14_reference_usage(spark, sf_dir):
     return V.usage_marks(follow_graph(spark, sf_dir))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
+from tessera.sources.shared import shared_folder
 from tessera.sources.tables import EDGES_SQL, edges, read
 from tessera.streaming import streams as T
 
 
 def _folder(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
 def _source(spark, sf_dir):
@@ -49,4 +48,5 @@ def st_05_witness_state(spark, sf_dir):
 
 @query("SELECT file_path, max_by(id, (ts, id)) AS id, max(ts) AS ts, max_by(kind, (ts, id)) AS kind FROM edges GROUP BY 1", EDGES_SQL)
 def st_01_last_change_per_path(spark, sf_dir):
-    return T.last_per_path(edges(spark, sf_dir))
+    stream, folder = _source(spark, sf_dir)
+    return T.collected(T.last_per_path(stream), "complete", spark, folder)

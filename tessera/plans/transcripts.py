@@ -94,26 +94,17 @@ def snk_17_chunk_upsert(spark, sf_dir):
     return R.upsert_chunks(stored, new)
 
 
-_SEQ = """steps AS (SELECT identity_name, id, ts, kind AS tool, file_path AS arg, kind || '::' || file_path AS step FROM edges WHERE identity_name IN ('u1', 'u2', 'u3')),
+_SEQ = """steps AS (SELECT identity_name, id, ts, kind AS tool, file_path AS arg, kind || '::' || file_path AS step FROM edges),
   ahead AS (SELECT identity_name, array_agg(step) OVER w AS s, array_agg(tool) OVER w AS t, array_agg(arg) OVER w AS a FROM steps WINDOW w AS (PARTITION BY identity_name ORDER BY ts, id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
   runs AS (SELECT identity_name, n AS length, s[1:n] AS s, t[1:n] AS t, a[1:n] AS a FROM ahead, (SELECT unnest([3, 4, 5, 6, 7, 8]) AS n) WHERE len(s) >= n),
   found AS (SELECT identity_name, length, array_to_string(s, '|') AS signature FROM runs WHERE len(list_distinct(t)) >= 2 AND list_max(list_transform(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)))) <= 0.8 * length)"""
 
 
 def _found(spark, sf_dir):
-    steps = edges(spark, sf_dir).where("identity_name in ('u1', 'u2', 'u3')").select("identity_name", "id", "ts", F.col("kind").alias("tool"), F.col("file_path").alias("arg"))
-    return R.sequences(steps, "identity_name", ["ts", "id"])
-
-
-def _found_whole(spark, sf_dir):
     steps = edges(spark, sf_dir).select("identity_name", "id", "ts", F.col("kind").alias("tool"), F.col("file_path").alias("arg"))
     return R.sequences(steps, "identity_name", ["ts", "id"])
 
 
-#: The same over all users.
-_SEQ_WHOLE = _SEQ.replace(" WHERE identity_name IN ('u1', 'u2', 'u3')", "")
-
-
 @query("SELECT identity_name, CAST(length AS INTEGER) AS length, signature, sha256(signature) AS hash FROM found", EDGES_SQL, _SEQ)
 def sq_02_tool_sequences(spark, sf_dir):
     return _found(spark, sf_dir)
@@ -130,22 +121,6 @@ def sq_03_skip_hashes(spark, sf_dir):
     return R.skip_hashes(_found(spark, sf_dir).select("hash", "signature").distinct()).distinct()
 
 
-@query("SELECT identity_name, CAST(length AS INTEGER) AS length, signature, sha256(signature) AS hash FROM found", EDGES_SQL, _SEQ_WHOLE)
-def sq_02_tool_sequences_whole(spark, sf_dir):
-    return _found_whole(spark, sf_dir)
-
-
-@query("SELECT sha256(signature) AS hash, signature, CAST(length AS INTEGER) AS length, count(DISTINCT identity_name) AS occurrences FROM found GROUP BY ALL", EDGES_SQL, _SEQ_WHOLE)
-def sq_04_candidates_whole(spark, sf_dir):
-    return R.candidates(_found_whole(spark, sf_dir), "identity_name", least=1)
-
-
-@query("""SELECT DISTINCT hash, sha256(s) AS skip FROM (SELECT sha256(signature) AS hash, unnest(list_concat([signature], list_transform(generate_series(1, length), lambda i: array_to_string(list_concat(p[1:i - 1], p[i + 1:length]), '|')))) AS s
-    FROM (SELECT signature, length, string_split(signature, '|') AS p FROM (SELECT DISTINCT signature, length FROM found)))""", EDGES_SQL, _SEQ_WHOLE)
-def sq_03_skip_hashes_whole(spark, sf_dir):
-    return R.skip_hashes(_found_whole(spark, sf_dir).select("hash", "signature").distinct()).distinct()
-
-
 @query(r"SELECT session_id, path, CAST(n AS INTEGER) AS n FROM (SELECT page_id AS session_id, path, row_number() OVER (PARTITION BY page_id ORDER BY path) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '(/[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)', 1)) AS path FROM pages)) WHERE n <= 30")
 def tr_05_path_mentions(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("session_id"), F.lit(1).alias("ts"), F.col("url").alias("text"))

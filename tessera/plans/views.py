@@ -8,7 +8,7 @@ from tessera.operators import search as S
 from tessera.operators import views as V
 from tessera.plans.registry import query
 from tessera.plans.search import TERMS, _bm25
-from tessera.sources.tables import CHANGELOG_SQL, CHUNKS_SQL, EDGES_SQL, FILES_SQL, SMALL_GRAPH_SQL, changelog, chunks, edges, files, read, small_graph
+from tessera.sources.tables import CHANGELOG_SQL, CHUNKS_SQL, EDGES_SQL, FILES_SQL, changelog, chunks, edges, files, read
 
 LINKS = "links AS (SELECT DISTINCT id AS src, (id * 7 + 3) % 50 AS dst FROM files UNION SELECT DISTINCT id % 20, id FROM files)"
 
@@ -53,11 +53,6 @@ def wn_13_match_context(spark, sf_dir):
     return V.matches_with_context(files(spark, sf_dir), "erthan")
 
 
-@query("SELECT node, usage, usage >= 0.75 * max(usage) OVER () AS heavy FROM (SELECT node, CAST(sum(usage) AS BIGINT) AS usage FROM (SELECT src AS node, usage FROM graph UNION ALL SELECT dst, usage FROM graph) GROUP BY 1)", SMALL_GRAPH_SQL)
-def ag_14_reference_usage(spark, sf_dir):
-    return V.usage_marks(small_graph(spark, sf_dir))
-
-
 @query("SELECT cluster, count(*) AS files, CAST(sum(n) AS BIGINT) AS edges FROM (SELECT coalesce(cluster, 'uncategorized') AS cluster, (SELECT count(*) FROM links WHERE src = f.id) + (SELECT count(*) FROM links WHERE dst = f.id) AS n FROM files f) GROUP BY 1", FILES_SQL, LINKS)
 def ag_19_cluster_summary(spark, sf_dir):
     own = files(spark, sf_dir)

@@ -12,10 +12,10 @@ KINDS = ("commit", "surfaced", "resolved", "pattern_added", "pattern_removed", "
 
 #: Directories that are never scanned and extensions that are. Fixed values.
 SKIPPED_DIRS = (
-    "node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "vendor",
-    "target", "__pycache__", ".venv", "venv", ".idea", ".vscode", "tmp", ".brain",
+    "node_modules", "dist", ".git", ".next", "__tests__", "tests", "test", ".brain", ".atlas", ".turbo", ".cache",
+    "coverage", "build", "out", ".vercel", ".svelte-kit", ".nuxt", ".output",
 )
-SOURCE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "json", "md", "sql", "sh", "yml", "yaml")
+SOURCE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "sql", "py", "go", "rs", "java", "kt", "swift", "vue", "svelte", "md")
 
 TRANSCRIPT_LINE = T.StructType(
     [
@@ -142,7 +142,7 @@ def _followed(log: DataFrame) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
-    from tessera.operators.graph import cut
+    from tessera.sources.shared import cut
 
     n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(log.select("user_id", "ts", "event_id").repartitionByRange(n, "ts", "event_id", "user_id").withColumn("range", F.spark_partition_id()))
@@ -168,17 +168,6 @@ FOLLOW_GRAPH_SQL = """graph AS (
   WHERE dst IS NOT NULL AND dst <> user_id GROUP BY ALL)"""
 
 
-def small_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over a twelfth of the log, as SMALL_GRAPH_SQL has it: small enough for recursive SQL. ``follow_graph`` is the whole one."""
-    return _usage(_followed(read(spark, sf_dir, "events").where("event_id % 8 = 0")).where("event_id % 24 <> 0"))
-
-
-SMALL_GRAPH_SQL = """graph AS (
-  SELECT user_id AS src, dst, count(*) AS usage FROM (
-    SELECT user_id, event_id, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_id % 8 = 0)
-  WHERE dst IS NOT NULL AND dst <> user_id AND event_id % 24 <> 0 GROUP BY ALL)"""
-
-
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript chunks from ``conversations``."""
     return read(spark, sf_dir, "conversations").select(

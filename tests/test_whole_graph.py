@@ -39,11 +39,11 @@ def test_every_event_is_in_the_graph(spark, tmp_path):
     reach = {n: _reached(want, n) for n in nodes}
     parts = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
     calls = catalog.queries()
-    assert {r.node: r.component for r in calls["gr_11_cycle_sizes_whole"](spark, str(tmp_path)).collect()} == parts
+    assert {r.node: r.component for r in calls["gr_11_cycle_sizes"](spark, str(tmp_path)).collect()} == parts
     sizes = {c: n for c, n in Counter(parts.values()).items() if n > 1}
     inside = Counter(parts[a] for a, b in want if parts[a] == parts[b])
-    assert {r.component: (r.size, r.edges) for r in calls["gr_10_cycles_whole"](spark, str(tmp_path)).collect()} == {c: (n, inside[c]) for c, n in sizes.items()}
-    assert {r.component for r in calls["gr_15_components_whole"](spark, str(tmp_path)).collect()} == {min(nodes)}
+    assert {r.component: (r.size, r.edges) for r in calls["gr_10_cycles"](spark, str(tmp_path)).collect()} == {c: (n, inside[c]) for c, n in sizes.items()}
+    assert {r.component for r in calls["gr_15_components"](spark, str(tmp_path)).collect()} == {min(nodes)}
 
 
 def test_a_path_may_be_longer_than_twenty_hops(spark):

@@ -16,6 +16,6 @@ def test_every_file_is_diffed(spark, sf_dir):
 
 
 def test_sequences_of_every_user(spark, sf_dir):
-    got = {r[0] for r in catalog.queries()["sq_02_tool_sequences_whole"](spark, sf_dir).select("identity_name").distinct().collect()}
+    got = {r[0] for r in catalog.queries()["sq_02_tool_sequences"](spark, sf_dir).select("identity_name").distinct().collect()}
     own = {r[0] for r in edges(spark, sf_dir).groupBy("identity_name").count().where("count >= 8").select("identity_name").collect()}
     assert own <= got and len(got) > 3
