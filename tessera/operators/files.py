@@ -103,7 +103,7 @@ def smells(files: DataFrame, degrees: DataFrame, churn: DataFrame, cycles: DataF
     return rows.withColumn("severity", F.least(F.lit(10), severity)).where(F.col("severity") >= least).select("file_path", "severity")
 
 
-#: Weights of the parts of a file's risk.
+#: Weights of the parts of a file's risk.
 RISK = {"hazards": 0.28, "fan_in": 0.20, "fan_out": 0.12, "churn": 0.18, "breaking": 0.10, "loc": 0.07, "stale": 0.05}
 
 

@@ -59,10 +59,12 @@ def ag_05_pattern_counts(spark, sf_dir):
     return P.pattern_counts(files(spark, sf_dir))
 
 
+_LINKS = "links AS (SELECT DISTINCT id AS src, (id * 7 + 3) % 50 AS dst FROM files UNION SELECT DISTINCT id % 20, id FROM files)"
 _DEGREES = """deg AS (SELECT file_path, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i + o) AS BIGINT) AS coupling FROM (
     SELECT a.file_path, 0 AS i, 1 AS o FROM links JOIN files a ON a.id = src UNION ALL SELECT b.file_path, 1, 0 FROM links JOIN files b ON b.id = dst) GROUP BY 1),
-  links AS (SELECT DISTINCT id AS src, (id * 7 + 3) % 50 AS dst FROM files UNION SELECT DISTINCT id % 20, id FROM files),
-  churned AS (SELECT file_path, (id % 13) AS churn, (id % 4) AS breaking FROM files)"""
+  churned AS (SELECT f.file_path, count(*) AS churn, count(*) FILTER (breaking_changes) AS breaking FROM changelog c JOIN files f ON f.id = CAST(regexp_extract(c.file_path, '/f([0-9]+)', 1) AS BIGINT) GROUP BY 1)"""
+_CYCLES = """reach AS (WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM links UNION SELECT r.a, l.dst FROM r JOIN links l ON l.src = r.b) SELECT a, b FROM r),
+  cycles AS (SELECT p.a AS id, count(DISTINCT p.b) AS cycle_size FROM reach p JOIN reach q ON p.a = q.b AND p.b = q.a GROUP BY 1)"""
 
 
 def _links(own):
@@ -74,32 +76,44 @@ def _degrees(own):
     return own.select("id", "file_path").join(d.withColumnRenamed("node", "id"), "id").select("file_path", "fan_in", "fan_out", "coupling")
 
 
-def _churned(own):
-    return own.select("file_path", (F.col("id") % 13).alias("churn"), (F.col("id") % 4).alias("breaking"))
+def _churned(spark, sf_dir, own):
+    """Changes and breaking changes of each file in the changelog."""
+    entries = changelog(spark, sf_dir).select(F.regexp_extract("file_path", "/f([0-9]+)", 1).cast("long").alias("id"), "breaking_changes")
+    return entries.join(own.select("id", "file_path"), "id").groupBy("file_path").agg(F.count("*").alias("churn"), F.count_if("breaking_changes").alias("breaking"))
 
 
 @query(
     """SELECT file_path, severity FROM (SELECT f.file_path, least(10, (CASE WHEN loc > 500 THEN 2 ELSE 0 END) + (CASE WHEN loc > 1000 THEN 2 ELSE 0 END) + (CASE WHEN coupling > 20 THEN 3 ELSE 0 END)
-      + (CASE WHEN coupling > 40 THEN 1 ELSE 0 END) + (CASE WHEN id % 6 > 1 THEN 3 ELSE 0 END) + (CASE WHEN id % 6 > 4 THEN 1 ELSE 0 END) + (CASE WHEN churn > 5 THEN 2 ELSE 0 END) + (CASE WHEN churn > 10 THEN 1 ELSE 0 END)
+      + (CASE WHEN coupling > 40 THEN 1 ELSE 0 END) + (CASE WHEN cycle_size > 1 THEN 3 ELSE 0 END) + (CASE WHEN cycle_size > 4 THEN 1 ELSE 0 END) + (CASE WHEN churn > 5 THEN 2 ELSE 0 END) + (CASE WHEN churn > 10 THEN 1 ELSE 0 END)
       + (CASE WHEN len(hazards) > 3 THEN 2 ELSE 0 END) + (CASE WHEN len(hazards) > 6 THEN 1 ELSE 0 END)) AS severity
-      FROM files f LEFT JOIN deg USING (file_path) LEFT JOIN churned USING (file_path)) WHERE severity >= 3""",
-    FILES_SQL, _DEGREES.split(",\n  links")[1].replace(" AS (SELECT DISTINCT id", "links AS (SELECT DISTINCT id", 1).split(",\n  churned")[0], _DEGREES.split(",\n  links")[0], "churned" + _DEGREES.split(",\n  churned")[1],
+      FROM files f LEFT JOIN deg USING (file_path) LEFT JOIN churned USING (file_path) LEFT JOIN cycles USING (id)) WHERE severity >= 3""",
+    FILES_SQL, CHANGELOG_SQL, _LINKS, _DEGREES, _CYCLES,
 )
 def ag_15_smells(spark, sf_dir):
     own = files(spark, sf_dir)
-    cycles = own.select("file_path", (F.col("id") % 6).alias("cycle_size"))
-    return P.smells(own, _degrees(own).select("file_path", "coupling"), _churned(own).select("file_path", "churn"), cycles)
+    parts = G.strong_components(_links(own))
+    sizes = parts.join(parts.groupBy("component").agg(F.count("*").alias("cycle_size")), "component").select(F.col("node").alias("id"), "cycle_size")
+    cycles = sizes.join(own.select("id", "file_path"), "id").select("file_path", "cycle_size")
+    return P.smells(own, _degrees(own).select("file_path", "coupling"), _churned(spark, sf_dir, own).select("file_path", "churn"), cycles)
+
+
+_PARTS = {
+    "hazards": "0.28 * least(len(hazards) / 5.0, 1)", "fan_in": "0.20 * least(fan_in / greatest(max(fan_in) OVER (), 1), 1)", "fan_out": "0.12 * least(fan_out / greatest(max(fan_out) OVER (), 1), 1)",
+    "churn": "0.18 * least(churn / greatest(max(churn) OVER (), 1), 1)", "breaking": "0.10 * least(breaking / 3.0, 1)", "loc": "0.07 * least(loc / 800.0, 1)", "stale": "0.05 * least((id % 45) / 30.0, 1)",
+}
 
 
 @query(
-    """SELECT file_path, round(0.28 * least(len(hazards) / 5.0, 1) + 0.20 * least(coalesce(fan_in, 0) / greatest(max(fan_in) OVER (), 1), 1) + 0.12 * least(coalesce(fan_out, 0) / greatest(max(fan_out) OVER (), 1), 1)
-      + 0.18 * least(churn / greatest(max(churn) OVER (), 1), 1) + 0.10 * least(breaking / 3.0, 1) + 0.07 * least(loc / 800.0, 1) + 0.05 * least((id % 45) / 30.0, 1), 6) AS risk
-      FROM files f LEFT JOIN deg USING (file_path) LEFT JOIN churned USING (file_path) ORDER BY risk DESC, file_path LIMIT 20""",
-    FILES_SQL, _DEGREES.split(",\n  links")[1].replace(" AS (SELECT DISTINCT id", "links AS (SELECT DISTINCT id", 1).split(",\n  churned")[0], _DEGREES.split(",\n  links")[0], "churned" + _DEGREES.split(",\n  churned")[1],
+    f"""SELECT file_path, round({" + ".join(f"p_{n}" for n in _PARTS)}, 6) AS risk,
+      array_to_string(list_transform(list_filter(list_sort([{", ".join(f"{{'o': -round(p_{n}, 9), 'name': '{n}'}}" for n in _PARTS)}]), lambda r: r.o < 0)[1:3], lambda r: r.name), ',') AS reasons
+      FROM (SELECT file_path, {", ".join(f"CAST({v} AS DOUBLE) AS p_{n}" for n, v in _PARTS.items())} FROM (
+        SELECT f.id, file_path, loc, hazards, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(churn, 0) AS churn, coalesce(breaking, 0) AS breaking FROM files f LEFT JOIN deg USING (file_path) LEFT JOIN churned USING (file_path)))
+      ORDER BY risk DESC, file_path LIMIT 20""",
+    FILES_SQL, CHANGELOG_SQL, _LINKS, _DEGREES,
 )
 def ag_16_hotspots(spark, sf_dir):
     own = files(spark, sf_dir).withColumn("stale_days", F.col("id") % 45)
-    return P.hotspots(own, _degrees(own).select("file_path", "fan_in", "fan_out"), _churned(own)).drop("reasons")
+    return P.hotspots(own, _degrees(own).select("file_path", "fan_in", "fan_out"), _churned(spark, sf_dir, own))
 
 
 _FILLED = """filled AS (SELECT id, loc, list_filter([CASE WHEN trim(purpose) <> '' THEN 'purpose' END, CASE WHEN trim(blurb) <> '' THEN 'blurb' END, CASE WHEN len(tags) > 0 THEN 'tags' END,
@@ -219,10 +233,15 @@ def ca_01_links(spark, sf_dir):
     return pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), 1))).alias("href"))
 
 
-@query("SELECT s.symbol, s.id AS file_path, u.id AS used_in, u.n AS matches FROM (SELECT id, unnest(list_distinct(regexp_extract_all(blurb, '([A-Za-z_$][A-Za-z0-9_$]*)', 1))) AS symbol FROM files WHERE id % 50 = 0) s JOIN (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS w FROM files) GROUP BY ALL) u ON u.w = s.symbol AND u.id <> s.id", FILES_SQL)
+@query(
+    """SELECT u.w AS symbol, s.id AS file_path, u.id AS used_in, u.n AS matches FROM (SELECT w, min(id) AS id FROM said WHERE length(w) >= 12 GROUP BY 1) s JOIN said u ON u.w = s.w AND u.id <> s.id""",
+    FILES_SQL, "said AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS w FROM files) GROUP BY ALL)",
+)
 def ca_06_symbol_usages(spark, sf_dir):
-    own = files(spark, sf_dir).withColumn("file_path", F.col("id"))
-    symbols = own.where("id % 50 = 0").select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("blurb", F.lit(r"([A-Za-z_$][\w$]*)"), 1))).alias("name"))
+    """Names of twelve characters and more belong to the first file that says them; where all others use them."""
+    own = files(spark, sf_dir).select(F.col("id").alias("file_path"), "content")
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_$][\w$]*)"), 1))
+    symbols = own.select("file_path", F.explode(F.filter(words, lambda w: F.length(w) >= 12)).alias("name")).groupBy("name").agg(F.min("file_path").alias("file_path"))
     return P.symbol_usages(own, symbols)
 
 
@@ -246,8 +265,12 @@ def df_02_diff_stats(spark, sf_dir):
     return P.diff_stats(files(spark, sf_dir).select("id", F.col("content").alias("old"), F.regexp_replace("content", "the", "THE").alias("new")))
 
 
-@query("SELECT file_path, 'h' AS label, 1 + id % 3 AS start_line, 3 + id % 3 AS end_line, CAST(3 AS BIGINT) AS lines FROM files", FILES_SQL)
+@query(
+    """SELECT file_path, 'h' AS label, 1 + id % 3 AS start_line, 3 + id % 3 AS end_line, CAST(least(3 + id % 3, n) - id % 3 AS BIGINT) AS lines
+    FROM (SELECT id, file_path, len(string_split(content, chr(10))) AS n FROM files) WHERE n > id % 3""",
+    FILES_SQL,
+)
 def df_03_highlight_overlap(spark, sf_dir):
     own = files(spark, sf_dir)
     highlights = own.select("file_path", F.lit("h").alias("label"), (1 + F.col("id") % 3).alias("start_line"), (3 + F.col("id") % 3).alias("end_line"))
-    return P.highlight_overlap(highlights, own.select("file_path", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line")))
+    return P.highlight_overlap(highlights, own.select("file_path", F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")))).alias("line")))

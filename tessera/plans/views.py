@@ -92,11 +92,10 @@ def gr_18_stale_dependents(spark, sf_dir):
     return V.stale_dependents(own, own.where("id % 10 = 3").select(F.col("id").alias("node")), _links(own))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 AND length(blurb) > length(substr(purpose, 1, 50)) THEN blurb ELSE substr(purpose, 1, 50) END AS purpose FROM files", FILES_SQL)
+@query("SELECT id, CASE WHEN id % 2 = 0 AND length(purpose) > length(blurb) THEN purpose ELSE blurb END AS blurb FROM files", FILES_SQL)
 def jn_13_update_from_richer(spark, sf_dir):
     own = files(spark, sf_dir)
-    target = own.select("id", F.substring("purpose", 1, 50).alias("purpose"))
-    return V.update_richer(target, own.where("id % 2 = 0").select("id", F.col("blurb").alias("purpose")), "id", "purpose")
+    return V.update_richer(own.select("id", "blurb"), own.where("id % 2 = 0").select("id", F.col("purpose").alias("blurb")), "id", "blurb")
 
 
 @query("SELECT chunk_id, role FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE turn_index = 2)", CHUNKS_SQL)
