@@ -32,6 +32,67 @@ def exports(files: DataFrame, *, content: str = "content") -> DataFrame:
     return files.select("file_path", F.explode(F.concat(*named, default)).alias("e")).select("file_path", "e.name", "e.type")
 
 
+#: The forms of an exported symbol, the first that names it counts; names in braces come last.
+SYMBOLS = {
+    "function": r"\bexport\s+(?:async\s+)?function\s+([A-Za-z_$][\w$]*)",
+    "class": r"\bexport\s+class\s+([A-Za-z_$][\w$]*)",
+    "interface": r"\bexport\s+interface\s+([A-Za-z_$][\w$]*)",
+    "type": r"\bexport\s+type\s+([A-Za-z_$][\w$]*)",
+    "enum": r"\bexport\s+enum\s+([A-Za-z_$][\w$]*)",
+    "value": r"\bexport\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)",
+    "namespace": r"\bexport\s+namespace\s+([A-Za-z_$][\w$]*)",
+}
+
+
+def exported_symbols(files: DataFrame, *, content: str = "content") -> DataFrame:
+    """(file_path, name, type): each exported name once, under the name it is known by outside."""
+    typed = lambda kind: lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type"))
+    named = [F.transform(F.regexp_extract_all(content, F.lit(pattern), 1), typed(kind)) for kind, pattern in SYMBOLS.items()]
+    inside = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(r"\bexport\s*\{([^}]+)\}"), 1), lambda b: F.split(b, ",")))
+    outer = F.transform(inside, lambda e: F.trim(F.regexp_replace(e, r"(?is)^.*\s+as\s+", "")))
+    rows = files.select("file_path", F.posexplode(F.concat(*named, F.transform(outer, typed("re-export")))).alias("place", "e"))
+    first = rows.where("trim(e.name) not in ('', 'default')").groupBy("file_path", F.trim("e.name").alias("name")).agg(F.min_by("e.type", "place").alias("type"))
+    return first
+
+
+def reference_edge(usage: Column) -> Column:
+    """The kind of edge that a described usage makes."""
+    plain = F.lower(F.trim(usage))
+    has = lambda word: F.contains(plain, F.lit(word))
+    return F.when(has("type"), "type_ref").when(has("re-export") | has("reexport"), "reexport").when(has("config"), "config_ref").otherwise("runtime_call")
+
+
+def replaced_references(kept: DataFrame, refs: DataFrame) -> DataFrame:
+    """The references after those of some files were written anew.
+
+    ``kept`` is (source_file, name, target_file, edge_type, usage_count, confidence, provenance); ``refs`` is (file_path,
+    model, sites array<struct<name, file, count double, usage_type>>). Of the files in ``refs`` only references from the
+    syntax tree stay; each call site with a file becomes one.
+    """
+    stay = kept.join(refs.select(F.col("file_path").alias("source_file")).distinct(), "source_file", "left_semi").where("provenance = 'ast'")
+    other = kept.join(refs.select(F.col("file_path").alias("source_file")).distinct(), "source_file", "left_anti")
+    llm = F.coalesce(F.col("model") != "heuristic", F.lit(False)) & (F.coalesce("model", F.lit("")) != "")
+    rows = refs.select("file_path", llm.alias("llm"), F.explode("sites").alias("s")).where("trim(s.file) <> '' and trim(s.name) <> ''")
+    new = rows.select(
+        F.col("file_path").alias("source_file"), F.trim("s.name").alias("name"), F.trim("s.file").alias("target_file"), reference_edge(F.coalesce("s.usage_type", F.lit(""))).alias("edge_type"),
+        F.greatest(F.lit(1).cast("long"), F.coalesce(F.floor("s.count"), F.lit(1).cast("long"))).alias("usage_count"), F.when(F.col("llm"), 0.8).otherwise(0.6).alias("confidence"), F.when(F.col("llm"), "llm").otherwise("inferred").alias("provenance"),
+    )
+    return other.unionByName(stay).unionByName(new)
+
+
+def healed_highlights(files: DataFrame, column: str = "source_highlights") -> DataFrame:
+    """(file_path, highlights, removed): JSON highlights without the entries that say nothing or have no place, numbered anew if any went.
+
+    What is no array at all becomes an empty one and counts as one entry removed.
+    """
+    entries = F.from_json(column, "array<struct<id:double,label:string,startLine:double,endLine:double,content:string>>")
+    fine = lambda h: F.coalesce((F.trim(h["content"]) != "") & (h["startLine"] >= 1) & (h["endLine"] >= 1) & (h["id"] >= 1), F.lit(False))
+    rows = files.select("file_path", F.coalesce(entries, F.array().cast("array<struct<id:double,label:string,startLine:double,endLine:double,content:string>>")).alias("all"), F.startswith(F.ltrim(column), F.lit("[")).alias("array"))
+    rows = rows.withColumn("valid", F.filter("all", fine)).withColumn("removed", F.when(F.col("array"), F.size("all") - F.size("valid")).otherwise(1))
+    numbered = F.transform("valid", lambda h, i: h.withField("id", (i + 1).cast("double")))
+    return rows.select("file_path", F.when(F.col("removed") > 0, numbered).otherwise(F.col("all")).alias("highlights"), "removed")
+
+
 def usage_type(symbol: Column, lines: Column) -> Column:
     """How the lines use the symbol; the first form that holds counts."""
     quoted = F.concat(F.lit(r"\Q"), symbol, F.lit(r"\E"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -259,15 +259,67 @@ def chunk_lines(files: DataFrame, *, lines: int = 80, chars: int = 2400, least:
     return files.select("id", "content").mapInPandas(cut, "id long, start_line int, end_line int, content string")
 
 
+#: Lines that a diff looks ahead, the one it stands at included. Fixed value.
+LOOKAHEAD = 20
+
+
+def _edits(old: list[str], new: list[str]) -> Iterator[str]:
+    """The lines of both texts in order, marked: a line that the other text has shortly after counts as moved past, the nearer one first."""
+
+    def ahead(lines: list[str], at: int, line: str) -> int:
+        """How far on the line is, 0 if it isn't near."""
+        try:
+            return lines.index(line, at + 1, at + LOOKAHEAD) - at
+        except ValueError:
+            return 0
+
+    i = j = 0
+    while i < len(old) and j < len(new):
+        if old[i] == new[j]:
+            yield " " + old[i]
+            i, j = i + 1, j + 1
+            continue
+        added, removed = ahead(new, j, old[i]), ahead(old, i, new[j])
+        if not added and not removed:
+            added = removed = 1
+        elif added and removed:
+            added, removed = (added, 0) if added <= removed else (0, removed)
+        yield from ("-" + line for line in old[i : i + removed])
+        yield from ("+" + line for line in new[j : j + added])
+        i, j = i + removed, j + added
+    yield from ("-" + line for line in old[i:])
+    yield from ("+" + line for line in new[j:])
+
+
+def greedy_diff(old: list[str], new: list[str], context: int = 3) -> tuple[str, int, int]:
+    """(unified hunks, insertions, deletions). Changes more than twice the context apart are hunks of their own.
+
+    A hunk that another follows shows one line less after its last change than before its first.
+    """
+    lines = list(_edits(old, new))
+    changes = [k for k, line in enumerate(lines) if line[0] != " "]
+    if not changes:
+        return "", 0, 0
+    breaks = [k for k in range(1, len(changes)) if changes[k] - changes[k - 1] > 2 * context]
+    seen_old, seen_new = ([0, *itertools.accumulate(line[0] != other for line in lines)] for other in "+-")
+    out = []
+    for first, end in zip([0, *breaks], [*breaks, len(changes)], strict=True):
+        start = max(0, changes[first] - context)
+        stop = min(len(lines), changes[end - 1] + context + (end == len(changes)))
+        out.append(f"@@ -{seen_old[start] + 1},{seen_old[stop] - seen_old[start]} +{seen_new[start] + 1},{seen_new[stop] - seen_new[start]} @@")
+        out += lines[start:stop]
+    added = sum(lines[k][0] == "+" for k in changes)
+    return "\n".join(out), added, len(changes) - added
+
+
 def unified_diffs(pairs: DataFrame, *, context: int = 3) -> DataFrame:
-    """(id, diff, insertions, deletions) of text pairs (id, old, new)."""
+    """(id, diff, insertions, deletions) of text pairs (id, old, new): a greedy walk with a bounded look ahead, in time linear in the lines."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for key, old, new in zip(frame["id"], frame["old"], frame["new"], strict=True):
-                d = list(difflib.unified_diff((old or "").split("\n"), (new or "").split("\n"), "a", "b", n=context, lineterm=""))
-                out.append((key, "\n".join(d), sum(x[0] == "+" for x in d[2:] if x), sum(x[0] == "-" for x in d[2:] if x)))
+                out.append((key, *greedy_diff((old or "").split("\n"), (new or "").split("\n"), context)))
             yield pd.DataFrame(out, columns=["id", "diff", "insertions", "deletions"])
 
     return pairs.select("id", "old", "new").mapInPandas(compare, "id long, diff string, insertions long, deletions long")

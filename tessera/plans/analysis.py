@@ -263,3 +263,33 @@ def sc_11_previews(spark, sf_dir):
 def sc_05_json(spark, sf_dir):
     """Parsed with a fallback: rows that don't parse would have -1."""
     return read(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json(F.to_json(F.from_json("props", "k int")), "k int")["k"], F.lit(-1)).alias("k"))
+
+
+@query("SELECT file_path, 'n' || id AS name, 'function' AS type FROM files UNION ALL SELECT file_path, 'v' || id, 'value' FROM files UNION ALL SELECT file_path, 'b', 're-export' FROM files UNION ALL SELECT file_path, 'c', 're-export' FROM files", FILES_SQL)
+def ca_05_exported_symbols(spark, sf_dir):
+    i = F.col("id")
+    source = F.concat(F.lit("export function n"), i, F.lit("() {}\nexport let v"), i, F.lit(" = 1\nexport { a as b, c, n"), i, F.lit(", d as default }\n"), "content")
+    return A.exported_symbols(files(spark, sf_dir).withColumn("content", source))
+
+
+@query(
+    """SELECT file_path AS source_file, 'old' AS name, 't' AS target_file, 'x' AS edge_type, CAST(1 AS BIGINT) AS usage_count, 0.5 AS confidence, CASE WHEN id % 2 = 0 THEN 'ast' ELSE 'inferred' END AS provenance FROM files WHERE id % 3 <> 0 OR id % 2 = 0
+    UNION ALL SELECT file_path, 'a', 'f' || id, CASE id % 4 WHEN 0 THEN 'type_ref' WHEN 1 THEN 'reexport' WHEN 2 THEN 'config_ref' ELSE 'runtime_call' END, greatest(1, id % 5), CASE WHEN id % 6 = 0 THEN 0.8 ELSE 0.6 END, CASE WHEN id % 6 = 0 THEN 'llm' ELSE 'inferred' END FROM files WHERE id % 3 = 0""",
+    FILES_SQL,
+)
+def snk_04_replace_references(spark, sf_dir):
+    own, i = files(spark, sf_dir), F.col("id")
+    kept = own.select(F.col("file_path").alias("source_file"), F.lit("old").alias("name"), F.lit("t").alias("target_file"), F.lit("x").alias("edge_type"), F.lit(1).cast("long").alias("usage_count"), F.lit(0.5).alias("confidence"), F.when(i % 2 == 0, "ast").otherwise("inferred").alias("provenance"))
+    usage = F.when(i % 4 == 0, " Type-reference").when(i % 4 == 1, "re-export").when(i % 4 == 2, "CONFIG").otherwise("call")
+    site = lambda file: F.struct(F.lit(" a ").alias("name"), file.alias("file"), (i % 5 + 0.5).alias("count"), usage.alias("usage_type"))
+    refs = own.where("id % 3 = 0").select("file_path", F.when(i % 6 == 0, "some-model").otherwise("heuristic").alias("model"), F.array(site(F.concat(F.lit("f"), i)), site(F.lit("  "))).alias("sites"))
+    return A.replaced_references(kept, refs).withColumn("confidence", F.col("confidence").cast("decimal(2,1)"))
+
+
+@query("SELECT file_path, CAST(CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS removed, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '1:x' ELSE '7:x' END AS labels FROM files", FILES_SQL)
+def ca_14_healed_highlights(spark, sf_dir):
+    n = F.col("id") % 3
+    good = '{"id":7,"label":"x","startLine":1,"endLine":2,"content":"c"}'
+    raw = F.when(n == 0, "corrupt").when(n == 1, f'[{{"id":1,"label":"e","startLine":1,"endLine":2,"content":" "}},{good},{{"id":3,"label":"z","startLine":0,"endLine":2,"content":"c"}}]').otherwise(f"[{good}]")
+    healed = A.healed_highlights(files(spark, sf_dir).withColumn("source_highlights", raw))
+    return healed.select("file_path", "removed", F.array_join(F.transform("highlights", lambda h: F.concat(h["id"].cast("int").cast("string"), F.lit(":"), h["label"])), ",").alias("labels"))
