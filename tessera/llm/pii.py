@@ -203,16 +203,23 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, text).mapInArrow(scan, f"`{key}` {key_kind}, found {_FOUND_SQL}")
 
 
-def reliabilities(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """EM for labelers of unknown reliability: (posterior of each vote pattern, P(vote | truth) as labeler x truth x vote)."""
-    support = (votes == 1).sum(1) - (votes == 0).sum(1)
-    truth = 1 / (1 + np.exp(-2.0 * support))
+#: What a vote counts for at first, as log odds, by labeler: a word beside the span says more than that its form is possible.
+TRUST = (0.7, 1.0, 2.5, 0.7)
+
+
+def reliabilities(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, rounds: int = 60, trust: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """EM for labelers of unknown reliability: (posterior of each vote pattern, P(vote | truth, it votes) as labeler x truth x vote).
+
+    A labeler that doesn't vote says nothing. ``trust`` is where EM starts from, 2 for each labeler by default.
+    """
+    sign = np.where(votes < 0, 0, 2 * votes - 1)
+    truth = 1 / (1 + np.exp(-sign @ np.array(trust or [2.0] * votes.shape[1])))
     for _ in range(rounds):
         by_truth = np.stack([1 - truth, truth]) * counts
-        chance = np.ones((votes.shape[1], 2, 3))  # one pseudo-count each
+        chance = np.ones((votes.shape[1], 2, 2))  # one pseudo-count each
         for labeler in range(votes.shape[1]):
-            for vote in (-1, 0, 1):
-                chance[labeler, :, vote + 1] += by_truth[:, votes[:, labeler] == vote].sum(1)
+            for vote in (0, 1):
+                chance[labeler, :, vote] += by_truth[:, votes[:, labeler] == vote].sum(1)
         chance /= chance.sum(2, keepdims=True)
         log = np.zeros((2, len(counts)))
         for one in np.unique(kinds):
@@ -220,7 +227,8 @@ def reliabilities(votes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, roun
             share = (by_truth[:, own].sum(1) + 1) / (counts[own].sum() + 2)
             log[:, own] = np.log(share)[:, None]
         for labeler in range(votes.shape[1]):
-            log += np.log(chance[labeler][:, votes[:, labeler] + 1])
+            given = votes[:, labeler] >= 0
+            log[:, given] += np.log(chance[labeler][:, votes[given, labeler]])
         truth = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return truth, chance
 
@@ -250,7 +258,7 @@ def train(found: DataFrame, *, threshold: float = 0.5) -> Classifier:
     if not patterns:
         return Classifier(None, threshold)
     counts = np.array([p["count"] for p in patterns], float)
-    truth, _ = reliabilities(np.array([[int(v) for v in p["votes"].split(",")] for p in patterns]), np.array([KINDS.index(p["kind"]) for p in patterns]), counts)
+    truth, _ = reliabilities(np.array([[int(v) for v in p["votes"].split(",")] for p in patterns]), np.array([KINDS.index(p["kind"]) for p in patterns]), counts, trust=TRUST)
     of = {(p["kind"], p["votes"]): (t, min(n, MOST_OF_ONE) / n) for p, t, n in zip(patterns, truth, counts, strict=True)}
 
     def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
