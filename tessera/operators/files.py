@@ -124,7 +124,7 @@ def hotspots(files: DataFrame, degrees: DataFrame, churn: DataFrame, *, limit: i
     given = F.array(*(F.struct((-F.round(weights[n] * v, 9)).alias("o"), F.lit(n).alias("name")) for n, v in parts.items()))
     reasons = F.transform(F.slice(F.filter(F.array_sort(given), lambda r: r["o"] < 0), 1, 3), lambda r: r["name"])
     total = sum((weights[n] * v for n, v in parts.items()), F.lit(0.0))
-    return rows.select("file_path", F.round(total, 6).alias("risk"), F.array_join(reasons, ",").alias("reasons")).orderBy(F.desc("risk"), "file_path").limit(limit)
+    return rows.select("file_path", F.round(total, 9).alias("risk"), F.array_join(reasons, ",").alias("reasons")).orderBy(F.desc("risk"), "file_path").limit(limit)
 
 
 def missing_fields(files: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def three_way(bm25: DataFrame, chunks: DataFrame, files: DataFrame, *, limit: in
     vector = vector.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "file_path"))).select("file_path", "rank")
     both = fuse([(bm25, "text", 1.0), (vector, "vector", 1.0)], "file_path", k=RRF).orderBy(F.desc("score"), "file_path").limit(limit)
     top = both.agg(F.max("score").alias("top"))  # one row
-    scored = both.join(F.broadcast(top)).select("file_path", F.round(F.col("score") / F.col("top"), 6).alias("score"))
+    scored = both.join(F.broadcast(top)).select("file_path", F.round(F.col("score") / F.col("top"), 4).alias("score"))
     return scored.join(own.select("file_path", "chunk"), "file_path", "left")
 
 

@@ -104,7 +104,7 @@ _PARTS = {
 
 
 @query(
-    f"""SELECT file_path, round({" + ".join(f"p_{n}" for n in _PARTS)}, 6) AS risk,
+    f"""SELECT file_path, round({" + ".join(f"p_{n}" for n in _PARTS)}, 9) AS risk,
       array_to_string(list_transform(list_filter(list_sort([{", ".join(f"{{'o': -round(p_{n}, 9), 'name': '{n}'}}" for n in _PARTS)}]), lambda r: r.o < 0)[1:3], lambda r: r.name), ',') AS reasons
       FROM (SELECT file_path, {", ".join(f"CAST({v} AS DOUBLE) AS p_{n}" for n, v in _PARTS.items())} FROM (
         SELECT f.id, file_path, loc, hazards, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(churn, 0) AS churn, coalesce(breaking, 0) AS breaking FROM files f LEFT JOIN deg USING (file_path) LEFT JOIN churned USING (file_path)))

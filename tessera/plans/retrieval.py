@@ -84,7 +84,7 @@ _THREE = """vec AS (SELECT file_path, row_number() OVER (ORDER BY score DESC, fi
   three AS (SELECT file_path, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM bm UNION ALL SELECT * FROM vec) GROUP BY 1 ORDER BY score DESC, file_path LIMIT 15)"""
 
 
-@query("SELECT file_path, round(score / (SELECT max(score) FROM three), 6) AS score, chunk FROM three LEFT JOIN (SELECT file_path, chunk FROM parts) USING (file_path)", FILES_SQL, _FILE_LISTS, _THREE)
+@query("SELECT file_path, round(score / (SELECT max(score) FROM three), 4) AS score, chunk FROM three LEFT JOIN (SELECT file_path, chunk FROM parts) USING (file_path)", FILES_SQL, _FILE_LISTS, _THREE)
 def rf_07_three_way(spark, sf_dir):
     bm, chunk, near = _file_lists(spark, sf_dir)
     return R.three_way(bm, chunk, near, limit=15)
