@@ -69,6 +69,32 @@ def first_line(text: Column, length: int = 100) -> Column:
     return F.when(F.length(line) <= length, line).otherwise(F.concat(F.substring(line, 1, length - 3), F.lit("...")))
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """At most so many bytes of UTF-8 of a text, cut between characters, and how many bytes are left out."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda n: F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
+    end = F.lit(most)
+    for back in (3, 2, 1, 0):
+        end = F.when(~inside(most - back), most - back).otherwise(end)
+    start = F.decode(F.substring(raw, F.lit(1), end), "UTF-8")
+    cut = F.concat(start, F.lit("\n… [truncated, "), (F.octet_length(raw) - end).cast("string"), F.lit(" more bytes]"))
+    return F.when(F.octet_length(raw) <= most, text).otherwise(cut)
+
+
+def cut_lines(text: Column, most: int) -> Column:
+    """The first lines of a text, and how many are left out."""
+    lines = F.split(text, "\n")
+    more = F.size(lines) - most
+    cut = F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit("\n… [+"), more.cast("string"), F.when(more == 1, " line").otherwise(" lines"), F.lit(" elided]"))
+    return F.when(more <= 0, text).otherwise(cut)
+
+
+def clamped_line(text: Column, length: int) -> Column:
+    """The text on one line, cut with three dots."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(plain) <= length, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, length - 3)), F.lit("...")))
+
+
 def dirname(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
 
