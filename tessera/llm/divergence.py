@@ -26,8 +26,8 @@ from tessera.llm.common import checkpointed, slices
 
 #: A-Z lower-cased, other ASCII letters and all bytes of other characters as they are, the rest a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Distinct terms of one group that a task holds before it sends them on.
-HELD = 100_000
+#: Distinct terms, each counted for each group, that a task holds before it sends them on.
+HELD = 400_000
 #: Up to so many (group, source) rows are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -42,30 +42,33 @@ def term_counts(docs: DataFrame, *, group: str = "lang", source: str = "source",
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        held = 0
 
-        def flush(name: tuple[str, str]) -> pa.RecordBatch:
-            n, held = found.pop(name)
-            words = list(n)
-            return pa.record_batch(
-                [pa.array([name[0]] * len(words), pa.string()), pa.array([name[1]] * len(words), pa.string()), pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(n.values(), pa.int64()), pa.array([held[w] for w in words], pa.int64())],
-                ["lang", "source", "term", "n", "docs"],
-            )
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for (lang, src), (n, in_docs) in found.items():
+                words = list(n)
+                yield pa.record_batch(
+                    [pa.array([lang] * len(words), pa.string()), pa.array([src] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array(map(in_docs.__getitem__, words), pa.int64())],
+                    ["lang", "source", "term", "n", "docs"],
+                )
+            found.clear()
 
         for batch in slices(batches, "text"):
             for lang, src, value in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                n, held = found[lang, src]
-                once = Counter(terms(value))
-                n.update(once)
-                held.update(once.keys())
-                if len(n) >= HELD:
-                    yield flush((lang, src))
-            if len(found) > 50 and sum(len(n) for n, _ in found.values()) >= 2 * HELD:
-                yield from map(flush, list(found))
-        yield from map(flush, list(found))
+                n, in_docs = found[lang, src]
+                before, words = len(n), terms(value)
+                n.update(words)
+                in_docs.update(set(words))
+                held += len(n) - before
+            if held >= HELD:
+                yield from flushed()
+                held = 0
+        yield from flushed()
 
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in (("lang", group), ("source", source), ("text", text))))
-    flushed = read.mapInArrow(tally, "lang string, source string, term string, n long, docs long")
-    return flushed.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = read.mapInArrow(tally, "lang string, source string, term string, n long, docs long")
+    # dealt by term, so that what looks at all sources of a term needs no other shuffle
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, scale: int) -> Column:
@@ -87,47 +90,43 @@ def audit(docs: DataFrame, *, group: str = "lang", source: str = "source", text:
     Part ``term`` has the ``top`` terms that the source holds more of than its group does, by the same measure.
     """
     named = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
-    whole = Window.partitionBy("lang", "term")
-    counts = term_counts(docs, group=group, source=source, text=text)
-    counts = counts.withColumns({"total": F.sum("n").over(whole), "in_docs": F.sum("docs").over(whole), "first": F.row_number().over(whole.orderBy("source"))})
-    kept = checkpointed(counts.where(F.col("in_docs") >= least_docs).select("lang", "source", "term", "n", "total", (F.col("first") == 1).alias("first")))
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count_if("first").alias("v"))
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("own_n"), F.count("*").alias("terms"))
+    # a term with its sources, at most as many as there are pairs of each in the result
+    listed = term_counts(docs, group=group, source=source, text=text).groupBy("lang", "term")
+    listed = listed.agg(F.sum("n").alias("total"), F.sum("docs").alias("in_docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("cells"))
+    kept = checkpointed(listed.where(F.col("in_docs") >= least_docs).select("lang", "term", "total", "cells"))
+    langs = kept.groupBy("lang").agg(F.sum("total").alias("lang_n"), F.count("*").alias("v"))
+    own = checkpointed(kept.select("lang", F.explode("cells").alias("c")).groupBy("lang", "c.source", "c.n").agg(F.count("*").alias("m")))
+    sums = own.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("own_n"), F.sum("m").alias("terms"))
     none = F.lit(0).cast("long")
     sized = docs.select(named(group, "lang"), named(source, "source")).distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     sized = checkpointed(sized.select("lang", "source", *(F.coalesce(c, none).alias(c) for c in ("own_n", "terms", "lang_n", "v"))))
     few = sized.count() <= BROADCAST_GROUPS
     groups = F.broadcast(sized) if few else sized
 
-    # joint histograms of the terms that both have; each pair of sources once, then from both sides
-    ours, theirs = kept.select("lang", "term", F.col("source").alias("a"), F.col("n").alias("na")), kept.select("lang", "term", F.col("source").alias("b"), F.col("n").alias("nb"))
-    joint = ours.join(theirs, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b", "na", "nb").agg(F.count("*").alias("m"))
+    # joint histograms of the terms that both have: each two sources once, then seen from both sides
+    first = kept.select("lang", F.posexplode("cells").alias("at", "x"), "cells")
+    two = first.select("lang", "x", F.explode(F.slice("cells", F.col("at") + 2, F.size("cells"))).alias("y"))
+    tallied = two.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("m"))
     sides = F.array(F.struct("a", "b", "na", "nb"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
-    joint = joint.select("lang", F.explode(sides).alias("s"), "m").select("lang", "s.*", "m")
-    # what a cell of the joint histogram takes from the cells with a zero that the sources' own histograms imply
-    gives = F.array(*(F.struct(a.alias("na"), b.alias("nb"), m.alias("m")) for a, b, m in (
-        (F.col("na"), F.col("nb"), F.col("m")), (F.col("na"), none, -F.col("m")), (none, F.col("nb"), -F.col("m")), (none, none, F.col("m"))
-    )))
-    both = joint.select("lang", "a", "b", F.explode(gives).alias("g")).select("lang", "a", "b", "g.*")
-    own = kept.groupBy("lang", F.col("source").alias("a"), F.col("n").alias("na")).agg(F.count("*").alias("m"))
-    others = groups.select("lang", F.col("source").alias("b"))
-    alone = own.join(others, "lang").where("a <> b")
-    cells = F.array(*(F.struct(c.alias("a"), d.alias("b"), x.alias("na"), y.alias("nb"), F.col("m")) for c, d, x, y in (
-        (F.col("a"), F.col("b"), F.col("na"), none), (F.col("b"), F.col("a"), none, F.col("na"))
-    )))
+    joint = checkpointed(tallied).select("lang", F.explode(sides).alias("s"), "m").select("lang", "s.*", "m")
+    # the implied cells: terms that one source has, or none, less those of them that both have
+    zeros = F.array(*(F.struct(a.alias("na"), b.alias("nb"), m.alias("m")) for a, b, m in ((F.col("na"), none, -F.col("m")), (none, F.col("nb"), -F.col("m")), (none, none, F.col("m")))))
+    both = joint.select("lang", "a", "b", F.explode(zeros).alias("g")).select("lang", "a", "b", "g.*")
+    alone = own.select("lang", F.col("source").alias("a"), "n", "m").join(groups.select("lang", F.col("source").alias("b")), "lang").where("a <> b")
+    cells = F.array(*(F.struct(c.alias("a"), d.alias("b"), x.alias("na"), y.alias("nb"), F.col("m")) for c, d, x, y in ((F.col("a"), F.col("b"), F.col("n"), none), (F.col("b"), F.col("a"), none, F.col("n")))))
     alone = alone.select("lang", F.explode(cells).alias("s")).select("lang", "s.*")
-    # terms that neither has: V, less those of each
     pairs = sized.select("lang", F.col("source").alias("a"), F.col("terms").alias("ta"), "v").join(groups.select("lang", F.col("source").alias("b"), F.col("terms").alias("tb")), "lang").where("a <> b")
     neither = pairs.select("lang", "a", "b", none.alias("na"), none.alias("nb"), (F.col("v") - F.col("ta") - F.col("tb")).alias("m"))
-    combinations = both.unionByName(alone).unionByName(neither).groupBy("lang", "a", "b", "na", "nb").agg(F.sum("m").alias("m"))
+    implied = both.unionByName(alone).unionByName(neither).groupBy("lang", "a", "b", "na", "nb").agg(F.sum("m").alias("m"))
 
     of = lambda x: groups.select("lang", F.col("source").alias(x), (F.col("own_n") + F.col("v")).alias(f"all_{x}"))
-    shares = combinations.join(of("a"), ["lang", "a"]).join(of("b"), ["lang", "b"])
+    shares = joint.unionByName(implied).join(of("a"), ["lang", "a"]).join(of("b"), ["lang", "b"])
     once = F.when(F.col("m") > 0, apart(share(F.col("na"), F.col("all_a"), scale), share(F.col("nb"), F.col("all_b"), scale))).otherwise(none)
     values = shares.groupBy("lang", "a", "b").agg(F.sum(once.cast("decimal(19,0)") * F.col("m").cast("decimal(18,0)")).cast("long").alias("value"))
     pair = values.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
 
-    shown = kept.join(groups.select("lang", "source", (F.col("own_n") + F.col("v")).alias("own"), (F.col("lang_n") + F.col("v")).alias("all")), ["lang", "source"])
+    shown = kept.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "term", "total", "c.*")
+    shown = shown.join(groups.select("lang", "source", (F.col("own_n") + F.col("v")).alias("own"), (F.col("lang_n") + F.col("v")).alias("all")), ["lang", "source"])
     shown = shown.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), share(F.col("n"), F.col("own"), scale).alias("p"), share(F.col("total"), F.col("all"), scale).alias("q"))
     term = shown.where("p > q").select("lang", "source", "part", "item", apart(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
