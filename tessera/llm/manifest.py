@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import checkpointed, partitions
 
+#: Ranges that leaves are dealt to, at most: Spark samples a few hundred sort keys for each on the driver.
+MOST_RANGES = 2_048
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -98,7 +100,7 @@ def proofs(docs: DataFrame, carry: Mapping[str, Column], *, fields: Sequence[str
     ``path`` is an array of (left, right) from the leaf to the root: the digests beside the node in its run, after each
     other. ``fold`` gives the root that a leaf and a path lead to; ``siblings`` all digests of the path.
     """
-    spread = spread or 4 * partitions(docs.sparkSession)
+    spread = spread or min(MOST_RANGES, partitions(docs.sparkSession))
     named = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("+"), F.col(group).cast("string")))  # null first
     made = docs.select(named.alias("group"), F.struct(F.col(key).alias("key")).alias("order"), leaf([F.col(f) for f in fields]).alias("digest"), F.struct(*(c.alias(name) for name, c in carry.items())).alias("payload"))
     rows = checkpointed(made.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())))  # texts are read once
