@@ -217,13 +217,23 @@ def extract_exports(files: DataFrame, *, content: str = "content") -> DataFrame:
     return rows.select("file_path", F.regexp_extract("e", r"^(\w+)", 1).alias("kind"), F.regexp_extract("e", r"([A-Za-z_$][\w$]*)$", 1).alias("name"))
 
 
+def resolved_path(folder: Column, specifier: Column) -> Column:
+    """A relative path from a folder, by a fold over its parts; null where it climbs above the root."""
+    parts = F.filter(F.split(F.concat(folder, specifier), "/"), lambda p: (p != "") & (p != "."))
+    up = lambda held: F.when(F.size(held) > 0, F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda held, part: F.when(part == "..", up(held)).otherwise(F.concat(held, F.array(part))))
+    return F.array_join(folded, "/")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(source_file, target_file): relative specifiers against the files there are; the first candidate that exists wins."""
-    base = F.concat(F.regexp_replace("file_path", "[^/]*$", ""), F.col("specifier"))
-    plain = F.regexp_replace(F.regexp_replace(base, r"(^|/)\./", "$1"), r"[^/]+/\.\./", "")
-    stem = F.regexp_replace(plain, r"\.jsx?$", "")
-    candidates = F.array(F.concat(stem, F.lit(".tsx")), F.concat(stem, F.lit(".ts")), plain, F.concat(plain, F.lit(".ts")), F.concat(plain, F.lit(".tsx")), F.concat(plain, F.lit("/index.ts")), F.concat(plain, F.lit("/index.tsx")))
-    rows = imports.select(F.col("file_path").alias("source_file"), "specifier", F.posexplode(candidates).alias("pos", "target_file"))
+    """(source_file, specifier, target_file): relative specifiers against the files there are; the first candidate that exists wins."""
+    plain = resolved_path(F.regexp_replace("file_path", "[^/]*$", ""), F.col("specifier"))
+    rows = imports.select(F.col("file_path").alias("source_file"), "specifier", plain.alias("plain")).where("plain is not null").distinct()
+    plain, stem = F.col("plain"), F.regexp_replace("plain", r"\.js$", "")
+    ends = [plain, *(F.concat(plain, F.lit(end)) for end in (".ts", ".tsx", "/index.ts", "/index.tsx"))]
+    scripts = [F.concat(stem, F.lit(end)) for end in (".tsx", ".ts")]
+    candidates = F.when(plain.endswith(".js"), F.array(*scripts, *ends)).otherwise(F.array(*ends))
+    rows = rows.select("source_file", "specifier", F.posexplode(candidates).alias("pos", "target_file"))
     known = rows.join(files.select(F.col("file_path").alias("target_file")).distinct(), "target_file")
     return known.groupBy("source_file", "specifier").agg(F.min_by("target_file", "pos").alias("target_file"))
 

@@ -6,7 +6,7 @@ import importlib
 
 from tessera.plans.registry import CALLS, SQL, Query
 
-MODULES = ("events", "changelog", "search", "graphs", "files", "transcripts", "code", "views", "streams", "retrieval", "analysis", "sessions")
+MODULES = ("events", "changelog", "search", "graphs", "files", "transcripts", "code", "views", "streams", "retrieval", "analysis", "sessions", "structure")
 
 
 def _load() -> None:
