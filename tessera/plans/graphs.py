@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import communities as C
 from tessera.operators import graph as G
 from tessera.operators import views as V
 from tessera.plans.registry import query
-from tessera.sources.tables import FOLLOW_GRAPH_SQL, IMPORTS_SQL, follow_graph, imports, read
+from tessera.sources.tables import FILES_SQL, files, FOLLOW_GRAPH_SQL, IMPORTS_SQL, follow_graph, imports, read
 
 _BOTH = "both_ways AS (SELECT src, dst FROM imports UNION SELECT dst, src FROM imports)"
 
@@ -25,7 +26,25 @@ def gr_01_neighbors(spark, sf_dir):
 
 @query()
 def gr_13_communities(spark, sf_dir):
-    return G.communities(follow_graph(spark, sf_dir))
+    return C.communities(follow_graph(spark, sf_dir))
+
+
+@query(
+    """SELECT community, CASE WHEN again = 1 THEN base ELSE base || '-' || again END AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY number, child) AS again FROM (
+      SELECT community, number, child, CASE WHEN children = 1 THEN parent ELSE parent || '/' || CASE WHEN said = parent OR starts_with(said, parent || '/') THEN 'cluster-' || child ELSE said END END AS base
+      FROM (SELECT c.community, r.number, r.children, row_number() OVER (PARTITION BY c.component ORDER BY least) AS child, regexp_replace(r.directory, '^src/', '') AS parent, regexp_replace(c.directory, '^src/', '') AS said
+        FROM (SELECT community, any_value(component) AS component, min(file_path) AS least, (SELECT directory FROM placed q WHERE q.community = p.community GROUP BY directory ORDER BY count(*) DESC, directory LIMIT 1) AS directory FROM placed p GROUP BY community) c
+        JOIN (SELECT component, row_number() OVER (ORDER BY min(file_path)) AS number, count(DISTINCT community) AS children,
+              (SELECT directory FROM placed q WHERE q.component = p.component GROUP BY directory ORDER BY count(*) DESC, directory LIMIT 1) AS directory FROM placed p GROUP BY component) r USING (component))))""",
+    FILES_SQL, "placed AS (SELECT id % 37 AS component, id % 37 * 4 + id // 37 % (1 + id % 37 % 4) AS community, file_path, regexp_replace(file_path, '/[^/]*$', '') AS directory FROM files)",
+)
+def gr_16_two_level_names(spark, sf_dir):
+    """Files that import the one 37 numbers on: 37 components, in one to four communities each."""
+    own = files(spark, sf_dir).select("id", "file_path")
+    kin = F.col("id") % 37
+    members = own.select((kin * 4 + F.floor(F.col("id") / 37) % (1 + kin % 4)).alias("community"), "file_path")
+    links = own.select(F.col("file_path").alias("src"), (F.col("id") + 37).alias("id")).join(own.select("id", F.col("file_path").alias("dst")), "id").select("src", "dst")
+    return C.cluster_names(members, links)
 
 
 @query("SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i + o) AS BIGINT) AS coupling FROM (SELECT src AS node, 0 AS i, 1 AS o FROM imports UNION ALL SELECT dst, 1, 0 FROM imports) GROUP BY node", IMPORTS_SQL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,26 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Frames that a loop writes to the shared folder and reads again; they go when it ends.
+
+    What is read again knows nothing of where it comes from: after many rounds of checkpoints, planning drags along the
+    constraints of all rounds before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.written = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path, self.written = f"{self.folder}/{self.written}", self.written + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
