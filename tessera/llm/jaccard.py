@@ -348,9 +348,12 @@ def one_of_each(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     Rows are told apart by an id of their own, not by their key, so keys may repeat or be null; a null key
     comes after all others. Of repeated rows one is kept.
     """
-    rows = stored(docs.withColumn("_row_id", F.monotonically_increasing_id()))
-    groups = jaccard_components(rows, words=words, similarity=similarity, key="_row_id", text=text)
-    named = groups.where("n_shingles > 0").join(rows.select("_row_id", F.col(key).alias("key")), "_row_id")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "_row_id")).alias("first"))
-    keep = first.select("first._row_id").unionByName(groups.where("n_shingles = 0").select("_row_id"))
-    return rows.join(keep, "_row_id", "left_semi").select(*docs.columns)
+    own = "_row_id"
+    while own in map(str.lower, docs.columns):
+        own += "_"
+    rows = stored(docs.withColumn(own, F.monotonically_increasing_id()))
+    groups = jaccard_components(rows, words=words, similarity=similarity, key=own, text=text)
+    named = groups.where("n_shingles > 0").join(rows.select(own, F.col(key).alias("key")), own)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", own)).alias("first"))
+    keep = first.select(f"first.{own}").unionByName(groups.where("n_shingles = 0").select(own))
+    return rows.join(keep, own, "left_semi").select(*docs.columns)
