@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Fits on at most ``labelled`` labelled documents (those of least hash) and exchanges labels over all others."""
     once = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     some = once.orderBy(F.xxhash64(key, F.lit(9))).limit(labelled)
-    found = _features(docs.join(F.broadcast(some), key), ["y"], text).toPandas()
+    found = _features(docs.select(key, text, "lang", "source", "n_chars").join(F.broadcast(some), key), ["y"], text).toPandas()
     if found.empty:
         return Model(None, None, None, 1.0)
     content, metadata = np.stack(found["content"].to_numpy()), np.stack(found["metadata"].to_numpy())
