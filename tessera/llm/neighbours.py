@@ -37,7 +37,13 @@ AT_ONCE, BLOCK = 1_024, 50_000
 COSINE_NOISE, DISTANCE_NOISE = 1e-12, 1e-7
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The rows by a power of two each, which rounds nothing, so that no square overflows and the largest doesn't vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -47,6 +53,7 @@ def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; the same for the same two vectors wherever they stand."""
+    x, y = _scaled(x), _scaled(y)
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
