@@ -1,7 +1,7 @@
 """Canonical exact digests of documents: equal after Unicode, case and white-space folding.
 
 Everything is DataFrame and SQL expressions. The canonical text is the NFKC form (ICU, which Spark
-ships for its collations) with case folded by ``lower(upper())`` and runs of white space made one
+ships for its collations) with case folded by ``lower(upper())``, normalised again, and runs of white space made one
 space. Two seeded xxhash64 values give a 128-bit bucket; where a bucket holds more than one text,
 the canonical bytes are compared, and texts that differ in one bucket are told apart by their SHA-256.
 
@@ -24,8 +24,8 @@ BROADCAST_KEYS = 500_000
 
 
 def canonical(text: Column) -> Column:
-    normal = F.expr("true")
-    folded = F.lower(F.upper(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), normal)))
+    normal = lambda t: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.expr("true"))
+    folded = normal(F.lower(F.upper(normal(F.coalesce(text, F.lit(""))))))  # folding may take letters apart that have a form of their own
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 

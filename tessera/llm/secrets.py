@@ -5,6 +5,8 @@ from base64 or hex, it parses: as a DER key whose nested lengths fill each other
 private key with such a body or an OpenSSH one (pem), as a signed token whose header names an algorithm (jwt),
 or as an OpenSSH key with length-prefixed fields (ssh).
 
+Elements nested more than twelve deep, which no key format has, count as no key.
+
 Defined results: a null or empty text has no spans and the digest of no spans; repeated rows keep a row
 each; an empty table gives an empty result; extra columns are not touched. Positions are code points, ends
 exclusive.
