@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import search as S
+from tessera.operators import stored_index
 from tessera.plans.registry import query
+from tessera.sources.shared import shared_folder
 from tessera.sources.tables import CHANGELOG_SQL, CHUNKS_SQL, FILES_SQL, changelog, chunks, files, read
 
 TERMS = ["the", "inst", "thand"]
@@ -53,6 +57,15 @@ def ft_07_bm25_documents(spark, sf_dir):
     return S.bm25(read(spark, sf_dir, "documents"), TERMS, key="doc_id", text="text").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+@query(_bm25("documents", "doc_id", "text", TERMS) + " ORDER BY score DESC, doc_id LIMIT 50")
+def ft_07_stored_bm25(spark, sf_dir):
+    """The index of all documents, written in two batches; the search reads its postings alone."""
+    docs, path = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    for batch in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0")):
+        stored_index.append(batch, path, key="doc_id", text="text")
+    return stored_index.search(spark, path, TERMS, k=50).withColumnRenamed("key", "doc_id")
+
+
 @query(_bm25("changelog", "id", "summary", ["urgent", "w7"]) + " ORDER BY score DESC, id DESC LIMIT 50", CHANGELOG_SQL)
 def ft_08_bm25_changelog(spark, sf_dir):
     return S.bm25(changelog(spark, sf_dir), ["urgent", "w7"], key="id", text="summary").orderBy(F.desc("score"), F.desc("id")).limit(50)
