@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import analysis as A
+from tessera.operators.commits import admit
 from tessera.plans.registry import query
 from tessera.sources.tables import CHANGELOG_SQL, CHUNKS_SQL, FILES_SQL, changelog, chunks, files, read
 
@@ -293,3 +294,15 @@ def ca_14_healed_highlights(spark, sf_dir):
     raw = F.when(n == 0, "corrupt").when(n == 1, f'[{{"id":1,"label":"e","startLine":1,"endLine":2,"content":" "}},{good},{{"id":3,"label":"z","startLine":0,"endLine":2,"content":"c"}}]').otherwise(f"[{good}]")
     healed = A.healed_highlights(files(spark, sf_dir).withColumn("source_highlights", raw))
     return healed.select("file_path", "removed", F.array_join(F.transform("highlights", lambda h: F.concat(h["id"].cast("int").cast("string"), F.lit(":"), h["label"])), ",").alias("labels"))
+
+
+def commit_requests(spark, sf_dir):
+    """A request of every changelog entry, seven seconds apart, on fifty files; one in nine is never released."""
+    i = F.col("id")
+    own = changelog(spark, sf_dir).select("id", F.lit("w").alias("workspace"), F.concat(F.lit("f"), F.floor(i / 8) % 50).alias("file_path"), F.col("author_instance_id").alias("holder"), F.concat(F.lit("s"), i % 3).alias("summary"), F.when(i % 4 != 0, "h").alias("file_hash"), (i * 7000).alias("ts"))
+    return own.withColumn("released_at", F.when(i % 9 != 0, F.col("ts") + 5000 * (i % 9)))
+
+
+@query()
+def snk_28_admitted_commits(spark, sf_dir):
+    return admit(commit_requests(spark, sf_dir))
