@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import query
 from tessera.sources.shared import shared_folder
 from tessera.sources.tables import EDGES_SQL, edges, read
+from tessera.streaming import freshness as R
 from tessera.streaming import streams as T
 
 
@@ -50,3 +51,25 @@ def st_05_witness_state(spark, sf_dir):
 def st_01_last_change_per_path(spark, sf_dir):
     stream, folder = _source(spark, sf_dir)
     return T.collected(T.last_per_path(stream), "complete", spark, folder)
+
+
+@query(
+    """SELECT workspace, file_path, epoch_ms(max(ts) + 3600000) AS due_at, count(*) AS changes, max_by(id, (ts, id)) AS id, max_by(kind, (ts, id)) AS kind FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY workspace, file_path ORDER BY ts, id) AS run FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY workspace, file_path ORDER BY ts, id) <= 3600000 THEN 0 ELSE 1 END AS fresh FROM edges))
+    GROUP BY workspace, file_path, run HAVING max(ts) + 3600000 <= (SELECT max(ts) - 600000 FROM edges)""",
+    EDGES_SQL,
+)
+def st_01_quiet_changes(spark, sf_dir):
+    """Files left alone for an hour; those still warm at the end are not due yet."""
+    stream, folder = _source(spark, sf_dir)
+    quiet = R.quiet_changes(stream, quiet="1 hour")
+    return T.collected(quiet, "append", spark, folder).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
+
+
+@query()
+def st_02_refresh_batches(spark, sf_dir):
+    """The log's changes are minutes apart: quiet for 15 minutes and two and a half hours between batches."""
+    stream, folder = _source(spark, sf_dir)
+    with R.state_in_rocksdb(spark):
+        return T.collected(R.refresh_batches(stream, debounce_ms=900_000, cooldown_ms=9_000_000), "append", spark, folder)
