@@ -5,13 +5,14 @@ Frontiers, labels and parents stay distributed; the driver sees only whether a r
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.sources.shared import cut
+from tessera.sources.shared import Scratch, cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -59,30 +60,44 @@ def impact(edges: DataFrame, node, *, depth: int = 3, limit: int = 50) -> DataFr
 
 
 def shortest_path(edges: DataFrame, start, end, *, weight: str | None = None, back: float | None = None, max_hops: int | None = 20) -> DataFrame:
-    """(position, node) along the cheapest path: fewest hops, or least total weight; of equal ones the least by nodes.
+    """(position, node, cost) along the cheapest path: least total weight, then fewest hops, then least by its nodes in turn.
 
-    ``back`` makes every edge passable against its direction at that many times its weight. Each node keeps
-    its best (cost, path); a round relaxes all edges out of the nodes that got better. Without ``max_hops`` it
-    goes on until none does.
+    Weights are not negative; ``back`` makes every edge passable against its direction at that many times its weight.
+    Rounds go from the end backwards and give each node that got nearer its cost to the end and its next node; of equal
+    next ones the least, which makes the whole path least. What costs no less than the start does already is left out.
+    Each round's nodes are kept as they were, so a path is read by following (node, hops) in doubled steps. Without
+    ``max_hops`` it goes on until no node gets nearer.
     """
+    spark = edges.sparkSession
     cost = F.col(weight).cast("double") if weight else F.lit(1.0)
     ways = edges.select("src", "dst", cost.alias("w"))
     if back is not None:
         ways = ways.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (cost * back).alias("w")))
-    ways = cut(ways.groupBy("src", "dst").agg(F.min("w").alias("w")))
     kind = edges.schema["src"].dataType.simpleString()
-    best = cut(edges.sparkSession.createDataFrame([(start, 0.0, [start])], f"node {kind}, cost double, path array<{kind}>"))
-    frontier = best
-    for _ in itertools.count() if max_hops is None else range(max_hops):
-        step = ways.join(frontier.withColumnRenamed("node", "src"), "src").where(~F.array_contains("path", F.col("dst")))
-        step = step.select(F.col("dst").alias("node"), F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        both = step.withColumn("new", F.lit(1)).unionByName(best.withColumn("new", F.lit(0)))
-        chosen = both.groupBy("node").agg(F.min(F.struct("cost", F.size("path").alias("hops"), "path", "new")).alias("b"))
-        chosen = cut(chosen.select("node", "b.cost", "b.path", "b.new"))
-        frontier, best = chosen.where("new = 1").drop("new"), chosen.drop("new")
-        if frontier.isEmpty():
-            break
-    return best.where(F.col("node") == F.lit(end)).select(F.posexplode("path").alias("position", "node"), "cost")
+    with Scratch(spark) as scratch:
+        ways = scratch.cut(ways.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")))
+        best = frontier = spark.createDataFrame([(end, 0.0, 0, None)], f"node {kind}, cost double, hops int, next {kind}")
+        rounds = [frontier]
+        for hops in itertools.count(1):
+            if max_hops is not None and hops > max_hops:
+                break
+            found = best.where(F.col("node") == F.lit(start)).agg(F.min("cost").alias("enough"))
+            step = ways.join(frontier.select(F.col("node").alias("dst"), "cost"), "dst")
+            step = step.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.lit(hops).alias("hops"), F.col("dst").alias("next"))).alias("b"))
+            step = step.select("node", "b.*").join(F.broadcast(found)).where("enough is null or cost < enough").drop("enough")
+            # hops grow from round to round, so only less cost is nearer
+            frontier = scratch.cut(step.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old is null or cost < old").drop("old"))
+            if frontier.isEmpty():
+                break
+            rounds.append(frontier)
+            best = scratch.cut(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
+        length = best.where(F.col("node") == F.lit(start)).select("cost", "hops").first()
+        if length is None:
+            return spark.createDataFrame([], f"position int, node {kind}, cost double")
+        steps = functools.reduce(DataFrame.unionByName, rounds).where("next is not null")
+        links = steps.select(F.struct("node", "hops").alias("node"), F.struct(F.col("next").alias("node"), (F.col("hops") - 1).alias("hops")).alias("parent"))
+        path = chain(links, (start, length["hops"]), limit=length["hops"] + 1)
+        return cut(path.select(F.col("depth").alias("position"), "node.node", F.lit(length["cost"]).alias("cost")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,17 +227,27 @@ def communities(edges: DataFrame, *, rounds: int = 12) -> DataFrame:
 
 
 def chain(links: DataFrame, start, *, limit: int = 20) -> DataFrame:
-    """(depth, node) back along (node, parent) from a node, at most ``limit`` of them, stopping at a repeat."""
-    kind = links.schema["node"].dataType.simpleString()
-    spark = links.sparkSession
-    found, node = [], start
-    for depth in range(limit):  # one lookup each: at most ``limit`` rows ever reach the driver
-        if node is None or node in found:
-            break
-        found.append(node)
-        row = links.where(F.col("node") == F.lit(node)).agg(F.min("parent").alias("parent")).first()
-        node = row["parent"]
-    return spark.createDataFrame(list(enumerate(found)), f"depth int, node {kind}")
+    """(depth, node) back along (node, parent) from a node, at most ``limit`` of them, stopping at a repeat.
+
+    ``start`` is a value or a frame of one row with the column node; a null one has no chain. Of several parents the least
+    counts. Steps double: a round joins what points 1, 2, 4, ... nodes back, and what is found, with those pointers once.
+    """
+    spark, kind = links.sparkSession, links.schema["node"].dataType.simpleString()
+    begin = start if isinstance(start, DataFrame) else spark.createDataFrame([(start,)], f"node {kind}")
+    found = begin.where("node is not null").select(F.lit(0).alias("depth"), "node")
+    with Scratch(spark) as scratch:
+        pointers = scratch.cut(links.where("node is not null").groupBy("node").agg(F.min("parent").alias("to")).where("to is not null"))
+        span = 1
+        while span < limit:
+            walkers = found.select("depth", F.lit(None).cast(kind).alias("from"), F.col("node").alias("at"))
+            if 2 * span < limit:  # a last round moves only what is found
+                walkers = walkers.unionByName(pointers.select(F.lit(None).cast("int").alias("depth"), F.col("node").alias("from"), F.col("to").alias("at")))
+            moved = scratch.cut(walkers.join(pointers, F.col("at") == F.col("node")).select(F.col("depth") + span, "from", "to").toDF("depth", "from", "to"))
+            found = found.unionByName(moved.where("depth is not null").select("depth", F.col("to").alias("node")))
+            pointers = moved.where("depth is null").select(F.col("from").alias("node"), "to")
+            span *= 2
+        # a node has one parent, so from the first repeat on all are repeats
+        return cut(found.where(F.col("depth") < limit).groupBy("node").agg(F.min("depth").alias("depth")).select("depth", "node"))
 
 
 def clamp(value: Column) -> Column:

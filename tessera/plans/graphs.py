@@ -69,7 +69,7 @@ def gr_17_session_chain(spark, sf_dir):
     """Each conversation continues the one two before it; the chain of the latest one."""
     sessions = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("node")).distinct()
     links = sessions.withColumn("parent", F.when(F.col("node") > 2, F.col("node") - 2))
-    return G.chain(links, sessions.agg(F.max("node")).first()[0])
+    return G.chain(links, sessions.agg(F.max("node").alias("node")))
 
 
 @query()
