@@ -14,22 +14,37 @@ from tessera.sources.shared import cut
 K1, B = 1.2, 0.75
 SILOS = ("transcripts", "atlas_files", "atlas_changelog", "source_highlights")
 
-#: For each scope: the silos it searches and whether it is bound to the identity, session and project.
+# For each scope, the silos it searches and whether it is bound to the identity, the session and the project.
 SCOPES = {
-    "self": (SILOS, True, False, False),
+    "self": (("transcripts",), True, False, False),
     "session": (("transcripts",), False, True, False),
-    "project": (SILOS, False, False, True),
+    "workspace": (SILOS, False, False, True),
+    "identity": (SILOS, True, False, False),
+    "atlas": (("atlas_files", "atlas_changelog", "source_highlights"), False, False, False),
     "transcripts": (("transcripts",), False, False, False),
-    "atlas": (("atlas_files", "atlas_changelog", "source_highlights"), False, False, True),
-    "changelog": (("atlas_changelog",), False, False, True),
     "all": (SILOS, False, False, False),
 }
 
 
 def resolve_scope(scope: str, silos: Sequence[str] | None = None) -> tuple[list[str], bool, bool, bool]:
-    """(silos in their order, by identity, by session, by project); ``silos`` narrows the first."""
+    """(silos in their order, by identity, by session, by project); ``silos`` narrows the first, and none narrows nothing."""
     own, *flags = SCOPES[scope]
-    return [s for s in own if silos is None or s in silos], *flags
+    return [s for s in own if not silos or s in silos], *flags
+
+
+def in_scope(scope: str, *, identity=None, session=None, project=None, workspace=None, silos: Sequence[str] | None = None) -> Column:
+    """Whether a row (silo, identity_name, session_id, project, workspace) is searched in a scope.
+
+    Transcripts are bound by the scope's flags, the other silos by the workspace alone; what isn't given (None) binds nothing.
+    A null in a column that binds is outside.
+    """
+    own, *flags = resolve_scope(scope, silos)
+    inside = F.lit(True)
+    for column, value, bound in zip(("identity_name", "session_id", "project"), (identity, session, project), flags):
+        if bound and value is not None:
+            inside &= F.col(column).eqNullSafe(value)
+    there = F.lit(True) if workspace is None else F.col("workspace").eqNullSafe(workspace)
+    return F.coalesce(F.col("silo").isin(*own), F.lit(False)) & F.when(F.col("silo") == "transcripts", inside).otherwise(there) if own else F.lit(False)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -306,3 +306,19 @@ def commit_requests(spark, sf_dir):
 @query()
 def snk_28_admitted_commits(spark, sf_dir):
     return admit(commit_requests(spark, sf_dir))
+
+
+@query(
+    r"""SELECT page_id, regexp_replace(lower(url), '[^a-z0-9_-]', '-', 'g') AS workspace, replace(url, '/', '-') AS folder, name <> '' AND length(name) <= 128 AND name NOT LIKE '-%' AND name NOT IN ('.', '..') AND NOT regexp_matches(name, '[/\\\s]') AS valid,
+      CASE WHEN length(url) > 40 THEN true WHEN length(url) > 20 THEN false END AS flag, CASE WHEN regexp_matches(name, '^[0-9]{1,15}(\.0+)?$') THEN CAST(floor(CAST(name AS DOUBLE)) AS BIGINT) END AS number,
+      CASE WHEN trim(name) = '' THEN 'unknown' ELSE regexp_replace(lower(trim(name)), '[\s-]+', '_', 'g') END AS edge
+    FROM (SELECT *, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS name FROM pages)"""
+)
+def sc_09_page_names(spark, sf_dir):
+    """Slugs of whole URLs; their last names as identities, numbers and kinds of edges."""
+    name, size = F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1), F.length("url")
+    flag = F.when(size > 40, " TRUE").when(size > 20, "False ").otherwise("neither")
+    return read(spark, sf_dir, "pages").select(
+        "page_id", X.workspace_slug(F.col("url")).alias("workspace"), X.folder_slug(F.col("url")).alias("folder"), X.valid_identity(name).alias("valid"),
+        X.coerced_boolean(flag).alias("flag"), X.coerced_integer(name).alias("number"), X.edge_type(name).alias("edge"),
+    )

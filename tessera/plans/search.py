@@ -200,3 +200,28 @@ def ag_24_silo_breakdown(spark, sf_dir):
 @query("SELECT language AS value, n, total FROM (SELECT language, count(*) AS n, sum(count(*)) OVER () AS total FROM files GROUP BY 1) WHERE n >= greatest(2, ceil(0.6 * total)) ORDER BY n DESC, language LIMIT 1", FILES_SQL)
 def ag_21_concentration(spark, sf_dir):
     return S.concentration(files(spark, sf_dir), "language")
+
+
+_CORPUS = """corpus AS (SELECT 'transcripts' AS silo, chunk_id AS id, role AS identity_name, session_id % 5 AS session_id, session_id % 3 AS project, CAST(NULL AS VARCHAR) AS workspace FROM chunks
+  UNION ALL SELECT 'atlas_files', CAST(id AS VARCHAR), NULL, NULL, NULL, 'ws' || (id % 4) FROM files
+  UNION ALL SELECT 'atlas_changelog', CAST(id AS VARCHAR), author_name, NULL, NULL, 'ws' || (id % 4) FROM changelog)"""
+
+
+@query(
+    """SELECT scope, silo, count(*) AS n, min(id) AS first, max(id) AS last FROM corpus JOIN (SELECT unnest(['self', 'session', 'workspace', 'identity', 'atlas', 'transcripts', 'all']) AS scope) ON CASE
+      WHEN silo = 'transcripts' THEN CASE WHEN scope IN ('self', 'identity') THEN identity_name = 'user' WHEN scope = 'session' THEN session_id = 2 WHEN scope = 'workspace' THEN project = 1 ELSE scope <> 'atlas' END
+      ELSE scope IN ('workspace', 'identity', 'atlas', 'all') AND workspace = 'ws1' END GROUP BY 1, 2""",
+    CHUNKS_SQL, FILES_SQL, CHANGELOG_SQL, _CORPUS,
+)
+def flt_11_scopes(spark, sf_dir):
+    """What each scope searches, of all silos read once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    said = chunks(spark, sf_dir).select(F.lit("transcripts").alias("silo"), F.col("chunk_id").alias("id"), F.col("role").alias("identity_name"), (F.col("session_id") % 5).alias("session_id"), (F.col("session_id") % 3).alias("project"), none("string").alias("workspace"))
+    where = F.concat(F.lit("ws"), F.col("id") % 4).alias("workspace")
+    records = [
+        of.select(F.lit(silo).alias("silo"), F.col("id").cast("string").alias("id"), who.alias("identity_name"), none("long").alias("session_id"), none("long").alias("project"), where)
+        for silo, of, who in (("atlas_files", files(spark, sf_dir), none("string")), ("atlas_changelog", changelog(spark, sf_dir), F.col("author_name")))
+    ]
+    scopes = F.array_compact(F.array(*(F.when(S.in_scope(s, identity="user", session=2, project=1, workspace="ws1"), s) for s in S.SCOPES)))
+    found = said.unionByName(records[0]).unionByName(records[1]).select("silo", "id", F.explode(scopes).alias("scope"))
+    return found.groupBy("scope", "silo").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))

@@ -146,3 +146,47 @@ def sc_08_paths_and_keys(spark, sf_dir):
 def sc_03_age(spark, sf_dir):
     span = F.col("ts") % 100000000
     return edges(spark, sf_dir).select(span.alias("span"), X.age(span).alias("age"))
+
+
+@query(
+    """SELECT session_id, path, CAST(n AS INTEGER) AS n FROM (SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY max(ts) DESC, path) AS n
+      FROM (SELECT session_id, ts, '/' || workspace || '/' || file_path AS path FROM edges) GROUP BY 1, 2) WHERE n <= 30""",
+    EDGES_SQL,
+)
+def tr_05_newest_paths(spark, sf_dir):
+    rows = edges(spark, sf_dir).select("session_id", "ts", F.concat(F.lit("opened /"), "workspace", F.lit("/"), "file_path", F.lit(" ("), "kind", F.lit(")")).alias("text"))
+    return R.path_mentions(rows)
+
+
+def _lines(spark, sf_dir):
+    """Conversations as transcript lines: an assistant's turn calls a tool after its text; the next user's turn answers it, then speaks."""
+    t, text = F.col("turn"), F.col("text")
+    block = lambda kind, text, ident, name, used, content: F.struct(F.lit(kind).alias("type"), text.alias("text"), ident.alias("id"), name.alias("name"), used.alias("tool_use_id"), content.alias("content"))
+    null = F.lit(None).cast("string")
+    said = block("text", text, null, null, null, null)
+    call = block("tool_use", null, F.concat(F.lit("t"), t), F.lit("Read"), null, null)
+    answer = block("tool_result", null, null, null, F.concat(F.lit("t"), t - 1), F.concat(F.lit("of "), text))
+    content = F.when(F.col("role") == "assistant", F.to_json(F.array(said, call))).when((F.col("role") == "user") & (t > 0), F.to_json(F.array(answer, said))).otherwise(text)
+    rows = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant') and text is not null")
+    return rows.select(F.col("conv_id").alias("source_path"), t.alias("line"), F.col("role").alias("type"), F.struct("role", content.alias("content")).alias("message"), F.lit(False).alias("isMeta"), F.lit("").alias("timestamp"))
+
+
+_EVENTS = """blocks AS (SELECT conv_id, turn, unnest(CASE WHEN role = 'assistant' THEN [role || '_text', 'tool_use'] WHEN turn > 0 THEN ['tool_result', 'user_text'] ELSE ['user_text'] END) AS kind,
+    unnest(CASE WHEN role = 'assistant' THEN [text, NULL] WHEN turn > 0 THEN ['of ' || text, text] ELSE [trim(text)] END) AS text,
+    unnest(CASE WHEN role = 'assistant' THEN [1, 2] WHEN turn > 0 THEN [1, 2] ELSE [1] END) AS pos
+    FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL),
+  happened AS (SELECT conv_id AS source_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS ordinal, kind, text, turn FROM blocks)"""
+
+
+@query("SELECT source_path, CAST(ordinal AS INTEGER) AS ordinal, kind, text FROM happened", _EVENTS)
+def tr_01_events(spark, sf_dir):
+    return R.reduce_lines(_lines(spark, sf_dir)).select("source_path", "ordinal", "kind", "text")
+
+
+@query(
+    """SELECT a.source_path, CAST(a.ordinal AS INTEGER) AS ordinal, 't' || a.turn AS tool_id, b.text AS result FROM happened a
+    LEFT JOIN happened b ON b.source_path = a.source_path AND b.kind = 'tool_result' AND b.turn = a.turn + 1 WHERE a.kind = 'tool_use'""",
+    _EVENTS,
+)
+def jn_15_tool_results(spark, sf_dir):
+    return R.pair_tools(R.reduce_lines(_lines(spark, sf_dir))).select("source_path", "ordinal", "tool_id", "result")

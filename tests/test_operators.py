@@ -82,6 +82,21 @@ def test_fusion(spark):
 
 def test_scopes():
     assert S.resolve_scope("all", ["atlas_changelog", "transcripts"]) == (["transcripts", "atlas_changelog"], False, False, False)
+    every, atlas = ["transcripts", "atlas_files", "atlas_changelog", "source_highlights"], ["atlas_files", "atlas_changelog", "source_highlights"]
+    assert {s: S.resolve_scope(s) for s in S.SCOPES} == {
+        "self": (["transcripts"], True, False, False), "session": (["transcripts"], False, True, False), "workspace": (every, False, False, True), "identity": (every, True, False, False),
+        "atlas": (atlas, False, False, False), "transcripts": (["transcripts"], False, False, False), "all": (every, False, False, False),
+    }
+    assert S.resolve_scope("self", ["atlas_files"])[0] == [] and S.resolve_scope("self", [])[0] == ["transcripts"]
+
+
+def test_rows_in_scope(spark):
+    rows = spark.createDataFrame([(1, "transcripts", "a", "s", "p", None), (2, "transcripts", "b", "s", None, None), (3, "transcripts", None, "t", "p", "w"), (4, "atlas_files", None, None, None, "w"), (5, "atlas_changelog", "a", "t", "q", "v"), (6, None, "a", "s", "p", "w")], "id int, silo string, identity_name string, session_id string, project string, workspace string")
+    here = {"identity": "a", "session": "s", "project": "p", "workspace": "w"}
+    got = {s: [r.id for r in rows.where(S.in_scope(s, **here)).orderBy("id").collect()] for s in S.SCOPES}
+    assert got == {"self": [1], "session": [1, 2], "workspace": [1, 3, 4], "identity": [1, 4], "atlas": [4], "transcripts": [1, 2, 3], "all": [1, 2, 3, 4]}
+    assert [r.id for r in rows.where(S.in_scope("all", silos=["atlas_changelog"])).collect()] == [5]
+    assert rows.where(S.in_scope("self", silos=["atlas_files"], **here)).count() == 0 and rows.where(S.in_scope("self")).count() == 3
 
 
 @pytest.mark.parametrize("loc, tier", [(0.0, "small"), (1.0, "tiny"), (50.0, "tiny"), (51.0, "small"), (200.0, "small"), (201.0, "medium"), (600.0, "medium"), (601.0, "large"), (1500.0, "large"), (1501.0, "huge"), (float("nan"), "small"), (float("inf"), "small"), (-1.0, "small")])
