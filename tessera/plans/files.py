@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import files as P
 from tessera.operators import graph as G
 from tessera.operators import changelog as C
 from tessera.plans.registry import query
+from tessera.sources.live import IGNORED_SEGMENTS, live_files
+from tessera.sources.shared import shared_folder
 from tessera.sources.tables import CHANGELOG_SQL, FILES_SQL, changelog, files, read
 
 
@@ -274,3 +278,13 @@ def df_03_highlight_overlap(spark, sf_dir):
     own = files(spark, sf_dir)
     highlights = own.select("file_path", F.lit("h").alias("label"), (1 + F.col("id") % 3).alias("start_line"), (3 + F.col("id") % 3).alias("end_line"))
     return P.highlight_overlap(highlights, own.select("file_path", F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")))).alias("line")))
+
+
+@query("SELECT 'source=' || coalesce(source, 'none') || '/lang=' || coalesce(lang, 'none') AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents WHERE source IS DISTINCT FROM 'src2' GROUP BY ALL")
+def src_09_live_tree(spark, sf_dir):
+    """Texts written as a tree of folders, which is then listed; one folder is ignored, and so is what Spark writes beside the texts."""
+    folder = f"{shared_folder(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    texts = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
+    texts.write.partitionBy("source", "lang").text(folder)
+    found = live_files(spark, folder, segments=(*IGNORED_SEGMENTS, "source=src2")).where("file_path like '%.txt'")
+    return found.groupBy(F.regexp_extract("file_path", "^(.*)/", 1).alias("folder")).agg(F.sum("bytes").alias("bytes"))
