@@ -149,6 +149,8 @@ def test_odd_texts(spark):
     assert S.parse("x.md", SCRIPT) == S.Found() and S.parse("x.ts", None) == S.Found()
     deep = S.parse("x.ts", "function f() {" + "if (a(b)) {" * 20_000 + "}" * 20_001)
     assert deep.symbols == [("function", "f", False, 1, 1)] and len(deep.edges) == 20_000
+    less = S.parse("x.ts", "function f(p) { g(p); return " + "a<" * 100_000 + "b }")
+    assert less.edges == [("CALLS", "f", "g", 1)]
     files = spark.createDataFrame([("a.ts", None), (None, SCRIPT), ("b.txt", SCRIPT)], "file_path string, content string")
     assert S.structure(files).collect() == []
 
