@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,16 +162,29 @@ def resolve_endpoints(asked: DataFrame, changelog: DataFrame, snapshots: DataFra
     (file_path, id, at), at the changelog's ids. A snapshot of the entry itself is exact, else the last one before it is
     nearest; without any, the source is null and the caller turns to version control.
     """
-    entries = changelog.select("file_path", F.col("id").alias("changelog_id"), "at").join(asked.select("file_path").distinct(), "file_path", "left_semi")
-    entries = entries.withColumn("back", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("at"), F.desc("changelog_id"))))
-    number, time = F.col("endpoint").try_cast("long"), F.col("endpoint").try_cast("timestamp_ntz")
-    fits = F.when(F.col("endpoint") == "latest", F.col("back") == 1).when(F.col("endpoint") == "prev", F.col("back") == 2).when(number.isNotNull(), F.col("changelog_id") == number).otherwise(F.col("at") <= time)
-    chosen = asked.join(entries, "file_path").where(fits).groupBy("request", "file_path").agg(F.max(F.struct("at", "changelog_id")).alias("c"))
-    chosen = chosen.select("request", "file_path", "c.changelog_id", F.col("c.at").alias("until"))
-    held = chosen.join(snapshots.select("file_path", F.col("id").alias("snapshot_id"), "at"), "file_path").where("at <= until")
-    best = held.groupBy("request").agg(F.max(F.struct((F.col("snapshot_id") == F.col("changelog_id")).alias("exact"), "at", "snapshot_id")).alias("s"))
+    number, place = F.col("endpoint").try_cast("long"), F.when(F.col("endpoint") == "latest", 1).when(F.col("endpoint") == "prev", 2)
+    requests = asked.select("request", "file_path", place.alias("back"), F.when(place.isNull(), number).alias("changelog_id"), F.when(place.isNull() & number.isNull(), F.col("endpoint").try_cast("timestamp_ntz")).alias("until"))
+    entries = changelog.select("file_path", F.col("id").alias("changelog_id"), "at", F.struct("at", F.col("id").alias("id")).alias("c")).join(asked.select("file_path").distinct(), "file_path", "left_semi")
+    back = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("at"), F.desc("changelog_id")))
+    by_place = requests.join(entries.withColumn("back", back).where("back <= 2").select("file_path", "back", "c"), ["file_path", "back"])
+    by_number = requests.join(entries.groupBy("file_path", "changelog_id").agg(F.max("c").alias("c")), ["file_path", "changelog_id"])
+    by_time = _last_until(requests, entries.withColumn("found", F.col("c"))).withColumn("c", F.col("found"))
+    chosen = reduce(DataFrame.unionByName, (x.select("request", "file_path", "c") for x in (by_place, by_number, by_time)))
+    chosen = chosen.groupBy("request", "file_path").agg(F.max("c").alias("c")).select("request", "file_path", F.col("c.id").alias("changelog_id"), F.col("c.at").alias("until"))
+    held = snapshots.select("file_path", F.col("id").alias("changelog_id"), "at", F.struct("at", F.col("id").alias("id")).alias("found"))
+    exact = chosen.join(held.withColumnRenamed("at", "taken"), ["file_path", "changelog_id"]).where("taken <= until").select("request", "file_path", F.lit(True).alias("exact"), "found")
+    near = _last_until(chosen, held).select("request", "file_path", F.lit(False).alias("exact"), "found")
+    best = exact.unionByName(near).groupBy("request", "file_path").agg(F.max(F.struct("exact", "found")).alias("s"))
     source = F.when(F.col("s.exact"), "exact_snapshot").when(F.col("s").isNotNull(), "nearest_snapshot")
-    return chosen.join(best, "request", "left").select("request", "changelog_id", "s.snapshot_id", source.alias("source"))
+    return chosen.join(best, ["request", "file_path"], "left").select("request", "changelog_id", F.col("s.found.id").alias("snapshot_id"), source.alias("source"))
+
+
+def _last_until(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(request, file_path, found): for each (request, file_path, until) the greatest ``found`` of the file's last rows (at, found), by one sorted union; none without."""
+    sides = rows.where("at is not null").select("file_path", "at", F.lit(None).cast("string").alias("request"), "found")
+    sides = sides.unionByName(asked.where("until is not null and request is not null").select("file_path", F.col("until").alias("at"), F.col("request").cast("string").alias("request")), allowMissingColumns=True)
+    before = Window.partitionBy("file_path").orderBy("at", F.col("request").isNotNull(), "found").rowsBetween(Window.unboundedPreceding, 0)
+    return sides.withColumn("found", F.last("found", ignorenulls=True).over(before)).where("request is not null and found is not null").select("request", "file_path", "found")
 
 
 @F.pandas_udf(T.StringType())

@@ -107,12 +107,13 @@ def pending(entries: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def verify_last(entries: DataFrame, file_path: str, n: int, status: str) -> DataFrame:
-    """The table after the last n (1 to 50) entries of a file got a status."""
+    """The table after the last n (1 to 50) entries of a file got a status; only that file's entries are sorted."""
     if status not in ("verified", "needs_review", "pending"):
         raise ValueError(status)
-    order = Window.partitionBy("file_path").orderBy(F.desc("created_at"), F.desc("id"))
-    hit = (F.col("file_path") == file_path) & (F.row_number().over(order) <= max(1, min(n, 50)))
-    return entries.withColumn("verification_status", F.when(hit, status).otherwise(F.col("verification_status")))
+    own = entries.where(F.col("file_path") == file_path).orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(n, 50)))
+    hit = own.select("file_path", "id").distinct().withColumn("hit", F.lit(True))
+    out = entries.join(F.broadcast(hit), ["file_path", "id"], "left")  # at most 50 rows
+    return out.withColumn("verification_status", F.when(F.col("hit"), status).otherwise(F.col("verification_status"))).select(*entries.columns)
 
 
 def stamp(entries: DataFrame, ids: DataFrame, sha: str) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import clamp_text
+from tessera.sources.shared import cut
+
+#: Names that are broadcast at most, each at most a word long.
+BROADCAST_NAMES = 100_000
 
 REQUIRED = {
     "tiny": ("purpose", "blurb"),
@@ -239,10 +243,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def symbol_usages(files: DataFrame, symbols: DataFrame, *, content: str = "content") -> DataFrame:
-    """(symbol, file_path, matches): whole-word occurrences of symbols (name, file_path) in other files, in one pass over the texts."""
+    """(symbol, file_path, used_in, matches): whole-word occurrences of symbols (name, file_path) in other files, in one pass over the texts.
+
+    Words that name no symbol are dropped before anything is shuffled where the names are at most ``BROADCAST_NAMES``, else by a join before they are counted.
+    """
     words = F.regexp_extract_all(content, F.lit(r"([A-Za-z_$][\w$]*)"), 1)
-    counts = files.select(F.col("file_path").alias("used_in"), F.explode(words).alias("name")).groupBy("name", "used_in").agg(F.count("*").alias("matches"))
-    names = symbols.select("name", "file_path").distinct()
+    names = symbols.where("name is not null").select("name", "file_path").distinct()
+    asked = cut(names.select("name").distinct())
+    said = files.select(F.col("file_path").alias("used_in"), F.explode(words).alias("name"))
+    said = said.join(F.broadcast(asked) if asked.count() <= BROADCAST_NAMES else asked, "name", "left_semi")
+    counts = said.groupBy("name", "used_in").agg(F.count("*").alias("matches"))
     return counts.join(names, "name").where("used_in <> file_path").select(F.col("name").alias("symbol"), "file_path", "used_in", "matches")
 
 
