@@ -1,13 +1,15 @@
-"""Endpoints of diffs, marked entries and usages of symbols against plain versions on small tables."""
+"""Endpoints of diffs, marked entries, usages of symbols and what is loaded in vain, against plain versions on small tables."""
 
 from __future__ import annotations
 
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import analysis as A
 from tessera.operators import changelog as C
+from tessera.operators import code as K
 from tessera.operators import files as P
 
 DAY = [datetime.datetime(2024, 1, d) for d in range(1, 29)]
@@ -59,3 +61,28 @@ def test_usages_with_names_broadcast_or_not(spark, monkeypatch, most):
     files = spark.createDataFrame([("a", "foo foo bar foobar"), ("b", "foo $x foo.bar"), ("c", None), ("d", "")], "file_path string, content string")
     names = spark.createDataFrame([("foo", "a"), ("foo", "a"), ("$x", "a"), ("bar", "b"), (None, "a"), ("gone", "c")], "name string, file_path string")
     assert sorted(map(tuple, P.symbol_usages(files, names).collect())) == [("$x", "a", "b", 1), ("bar", "b", "a", 1), ("foo", "a", "b", 2)]
+
+
+def test_loaded_symbols(spark):
+    flows = [
+        ("a", 0, "loads `x1` then LOADED UserRow, fetches rows, derives fooBar, load a, fetch `z`"), ("a", 1, "see `other` and `x1`; derived the Used"), ("a", 2, "loads `other`"),
+        ("a", 3, "loads MAX_SIZE, loaded Foo_bar, preload Thing, loads $abc"), ("b", 0, None), ("b", 1, ""), (None, 0, "loads `y2`"),
+    ]
+    got = K.loaded_symbols(spark.createDataFrame(flows, "file_path string, position int, flow string")).collect()
+    names = {r["name"]: r["flow"] for r in got if r["file_path"]}
+    assert set(names) == {"x1", "UserRow", "fooBar", "other", "MAX_SIZE", "Foo_bar"}
+    assert names["other"] == "loads `other`" and names["x1"] == flows[0][2] and len(got) == 7
+
+
+def test_loaded_but_used_nowhere_downstream(spark):
+    links = [(f"f{i}", f"f{i + 1}") for i in range(9)] + [("f9", "f7"), ("f5", "f5"), (None, "f1"), ("f1", None), ("x", "f3")]
+    loaded = [(f"f{i}", name) for i in range(10) for name in ("A", "B", "C")] + [("lone", "A"), (None, "A")]
+    used = [("f3", "A"), ("f8", "B"), ("x", "C"), ("f0", "other"), (None, "A")]
+    reach, grown = {u for u in used if u[0]}, True
+    while grown:
+        more = {(t, n) for f, n in reach for s, t in links if s == f and t} - reach
+        reach, grown = reach | more, bool(more)
+    frames = spark.createDataFrame(loaded, "file_path string, name string").withColumn("flow", F.lit("loads")), spark.createDataFrame(used, "file_path string, name string"), spark.createDataFrame(links, "source_file string, target_file string")
+    got = {(r["file_path"], r["name"]) for r in K.loaded_not_used(*frames).collect()}
+    assert got == {x for x in loaded if x not in reach}
+    assert K.loaded_not_used(frames[0].where("false"), *frames[1:]).count() == 0
