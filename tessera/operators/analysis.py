@@ -60,6 +60,7 @@ def reference_edge(usage: Column) -> Column:
     """The kind of edge that a described usage makes."""
     plain = F.lower(F.trim(usage))
     has = lambda word: F.contains(plain, F.lit(word))
+    # The words that tell a kind, and their order.
     return F.when(has("type"), "type_ref").when(has("re-export") | has("reexport"), "reexport").when(has("config"), "config_ref").otherwise("runtime_call")
 
 
@@ -98,6 +99,7 @@ def usage_type(symbol: Column, lines: Column) -> Column:
     """How the lines use the symbol; the first form that holds counts."""
     quoted = F.concat(F.lit(r"\Q"), symbol, F.lit(r"\E"))
     holds = lambda before, after: F.regexp_like(lines, F.concat(F.lit(before), quoted, F.lit(after)))
+    # The forms of a use and their order.
     return (
         F.when(lines.rlike(r"\bfrom\s+['\"][^'\"]*['\"]") & F.contains(lines, symbol), "import")
         .when(holds(r"\bexport\s*\{[^}]*\b", r"\b[^}]*\}"), "re-export")

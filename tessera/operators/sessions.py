@@ -185,6 +185,7 @@ def commit_candidates(files: DataFrame, *, content: str = "content", most: int =
     """
     path = F.replace("file_path", F.lit("\\"), F.lit("/"))
     mark = lambda where, tag: F.when(where, tag)
+    # The tags and their order, how many are kept, and the form of an exported definition.
     tags = [
         F.element_at(F.split(path, "/"), 1), mark(path.contains("/tools/"), "mcp-tool"), mark(path.contains("/migrations/"), "migration"), mark(path.contains("/tests/") | path.rlike(r"\.test\.[cm]?tsx?$"), "test"),
         mark(path.rlike(r"types?\.[cm]?ts$"), "types"), F.element_at(F.filter(F.split("cluster", "[/:]"), lambda p: p != ""), -1), F.col("language"),
