@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,10 +103,15 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, however often ``use`` names it and within whatever lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalized(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    scaled = lambda s: F.transform(s["v"], lambda x: F.when(s["norm"] > 0, x.cast("double") / s["norm"]).otherwise(x.cast("double")))
+    return held(v, lambda v: held(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm")), scaled))
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], *, key: str, vector: str, k: int, where: Column | None = None, prefilter: bool = True, oversample: int = 1) -> DataFrame:
@@ -166,9 +171,11 @@ def concentration(hits: DataFrame, column: str) -> DataFrame:
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed term counts in hashed slots, at length 1."""
     words = tokens(normalize(text))
-    slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("slot"), F.when(F.pmod(F.crc32(w.cast("binary")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    value = lambda i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"])
-    return normalized(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value))
+    signs = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int") * 2 + F.pmod(F.crc32(w.cast("binary")), F.lit(2)).cast("int"))
+    # what is left without a slot's terms of one sign says how many there are
+    left = lambda s, code: F.size(F.array_remove(s, code))
+    slots = lambda s: F.array(*(left(s, 2 * i + 1) - left(s, 2 * i) for i in range(size)))
+    return held(held(signs, slots), lambda v: normalized(v.cast("array<double>")))
 
 
 def embedding_text(parts: Sequence[Column]) -> Column:

@@ -43,6 +43,16 @@ def _tables(spark):
     return calls, symbols, spark.createDataFrame(LINKS, "src string, dst string")
 
 
+@pytest.mark.parametrize("text", ["one two two three", "", "x " * 3000, None])
+def test_hashed_embedding_reads_its_words_once(spark, text):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(text,)], "text string").select(S.hashed_embedding(F.col("text"), 16).alias("v"))
+    v = rows.first()["v"]
+    assert v == [None] * 16 if text is None else len(v) == 16 and abs(sum(x * x for x in v) - (1.0 if text else 0.0)) < 1e-9
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+
+
 def test_components_of_long_chains(spark):
     """A path in an order that has nothing to do with its names; what is given must not carry the rounds before, which took the driver's memory."""
     nodes = [f"{i * 7919 % 500:04d}" for i in range(500)]
