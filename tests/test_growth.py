@@ -43,6 +43,13 @@ def _tables(spark):
     return calls, symbols, spark.createDataFrame(LINKS, "src string, dst string")
 
 
+def test_calls_do_not_meet_all_symbols_of_their_name(spark):
+    found = K.resolve_calls(*_tables(spark))
+    got = {r["id"]: (r["symbol_id"], r["confidence"]) for r in found.collect()}
+    assert got == {i: (i // 2, 1.0) if i % 2 == 0 else (7, 0.9 if i == 1 else 0.7) for i in range(300)}
+    assert rows_joined(found) <= 2 * len(CALLS)
+
+
 @pytest.mark.parametrize("text", ["one two two three", "", "x " * 3000, None])
 def test_hashed_embedding_reads_its_words_once(spark, text):
     from pyspark.sql import functions as F
