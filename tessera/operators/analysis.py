@@ -137,11 +137,19 @@ def gaps(exported: DataFrame, imported: DataFrame, words: DataFrame) -> DataFram
 
 
 def resolve_flow_calls(calls: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, target, confidence): of the symbols with the call's name, one of the same file, else of an imported file, else the first exported, else the first."""
-    found = calls.join(symbols.select("name", F.col("id").alias("target"), F.col("file_path").alias("at"), "exported"), "name")
-    imported = links.select(F.col("src").alias("file_path"), F.col("dst").alias("at"), F.lit(True).alias("imports")).distinct()
-    rank = F.when(F.col("file_path") == F.col("at"), 0).when(F.col("imports"), 1).when(F.col("exported"), 2).otherwise(3)
-    best = found.join(imported, ["file_path", "at"], "left").groupBy("id").agg(F.min_by("target", F.struct(rank, F.col("target"))).alias("target"))
+    """(id, target, confidence): of the symbols with the call's name, one of the same file, else of an imported file, else the first exported, else the first.
+
+    Symbols are reduced to one for each (name, file), and one for each name, before they meet calls.
+    """
+    named = symbols.select("name", F.col("id").alias("target"), F.col("file_path").alias("at"), "exported")
+    in_file = named.groupBy("name", "at").agg(F.min("target").alias("own"))
+    rank = F.when(F.col("exported"), 2).otherwise(3)
+    anywhere = named.groupBy("name").agg(F.min(F.struct(rank.alias("rank"), "target"))["target"].alias("any"))
+    imported = links.select(F.col("src").alias("file_path"), F.col("dst").alias("at")).distinct()
+    near = calls.select("file_path", "name").distinct().join(imported, "file_path").join(in_file, ["name", "at"]).groupBy("file_path", "name").agg(F.min("own").alias("near"))
+    every = calls.select("id", "file_path", "name").join(anywhere, "name").join(in_file.withColumnRenamed("at", "file_path"), ["file_path", "name"], "left").join(near, ["file_path", "name"], "left")
+    rank = F.when(F.col("own").isNotNull(), 0).when(F.col("near").isNotNull(), 1).otherwise(2)
+    best = every.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), F.coalesce("own", "near", "any").alias("target")))["target"].alias("target"))
     return best.withColumn("confidence", F.lit(0.8))
 
 

@@ -50,6 +50,12 @@ def test_calls_do_not_meet_all_symbols_of_their_name(spark):
     assert rows_joined(found) <= 2 * len(CALLS)
 
 
+def test_flow_calls_do_not_meet_all_symbols_of_their_name(spark):
+    found = A.resolve_flow_calls(*_tables(spark))
+    assert {r["id"]: r["target"] for r in found.collect()} == {i: i // 2 if i % 2 == 0 else 1 if i == 1 else 7 for i in range(300)}
+    assert rows_joined(found) <= 2 * len(CALLS)
+
+
 @pytest.mark.parametrize("text", ["one two two three", "", "x " * 3000, None])
 def test_hashed_embedding_reads_its_words_once(spark, text):
     from pyspark.sql import functions as F
