@@ -56,6 +56,16 @@ def test_flow_calls_do_not_meet_all_symbols_of_their_name(spark):
     assert rows_joined(found) <= 2 * len(CALLS)
 
 
+def test_event_edges_are_not_shuffled(spark):
+    own = [("e", i % 40) for i in range(80)] + [("other", 1)]
+    emitters = spark.createDataFrame(own, "event string, symbol long")
+    found = K.event_triggers(emitters, emitters)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == 40 * 39 and set(got) == {("e", a, b) for a in range(40) for b in range(40) if a != b}
+    plan = plan_of(found)
+    assert plan.index("Join") < plan.index("HashAggregate")  # nothing is made distinct above the join
+
+
 @pytest.mark.parametrize("text", ["one two two three", "", "x " * 3000, None])
 def test_hashed_embedding_reads_its_words_once(spark, text):
     from pyspark.sql import functions as F
