@@ -8,6 +8,7 @@ from tessera.operators import analysis as A
 from tessera.operators import code as K
 from tessera.operators import graph as G
 from tessera.operators import search as S
+from tessera.operators.structure import parse
 
 
 def plan_of(df):
@@ -83,3 +84,15 @@ def test_components_of_long_chains(spark):
     found = G.components(spark.createDataFrame(edges, "src string, dst string"))
     assert {r["node"]: r["component"] for r in found.collect()} == {n: "0000" for n in nodes} | {"alone": "alone", "x": "x", "y": "x"}
     assert len(found._jdf.queryExecution().analyzed().constraints().mkString(",")) < 1000
+
+
+def test_python_calls_do_not_split_the_text_anew(monkeypatch):
+    import ast
+
+    text = "class A(b.C):\n    def m(self):\n" + "".join(f"        é{i}.f(1); self.g(\n{i})[0].h()\n" for i in range(200))
+    asked = []
+    monkeypatch.setattr(ast, "get_source_segment", lambda *a, **k: asked.append(1))
+    edges = parse("a.py", text).edges
+    assert not asked and ("EXTENDS", "A", "b.C", 1) in edges
+    calls = [(target, line) for kind, _, target, line in edges if kind == "CALLS"]
+    assert len(calls) == 600 and {("é7.f", 17), ("g", 17), ("self.g(\n7)[0].h", 17)} <= set(calls)
