@@ -33,26 +33,34 @@ def sessions(stream: DataFrame, *, at: str = "at", by: str = "identity_name", ga
     return out.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def witnesses(stream: DataFrame, *, most: int = 8) -> DataFrame:
+def witnesses(stream: DataFrame, *, most: int = 8, buckets: int = 4_096) -> DataFrame:
     """Running state for each (identity_name, file_path): events so far, confidence up to 100, the newest kinds.
 
-    The state keeps (ts, id, kind) of the newest, so that frames and batches may come in any order.
+    Keys share the state of a bucket, so that Python is entered once for each bucket and not for each key; a batch reads and writes the buckets it
+    touches whole. The state keeps (ts, id, kind) of each key's newest, so that frames and batches may come in any order.
     """
+    number = lambda v: None if v is None else int(v)
+    newer = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, recent = state.get if state.exists else (0, "[]")
-        newest = [tuple(r) for r in json.loads(recent)]
+        held = {(who, file): (total, recent) for who, file, total, recent in json.loads(state.get[0])} if state.exists else {}
+        touched: dict[tuple, list] = {}
         for frame in frames:
-            total += len(frame)
-            own = frame[["ts", "id", "kind"]].astype(object).where(frame[["ts", "id", "kind"]].notna(), None)
-            newest += [(None if t is None else int(t), None if i is None else int(i), k) for t, i, k in own.itertuples(index=False)]
-            newest = sorted(newest, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0), reverse=True)[:most]
-        state.update((total, json.dumps(newest)))
-        evidence = ",".join(k for _, _, k in newest if k is not None)
-        yield pd.DataFrame({"identity_name": [key[0]], "file_path": [key[1]], "total": [total], "confidence": [min(100, total * 10)], "evidence": [evidence]})
-
-    return stream.groupBy("identity_name", "file_path").applyInPandasWithState(
-        update, "identity_name string, file_path string, total long, confidence long, evidence string", "total long, recent string", "update", GroupStateTimeout.NoTimeout
+            own = (frame[c].astype(object).where(frame[c].notna(), None) for c in ("identity_name", "file_path", "ts", "id", "kind"))
+            for who, file, ts, i, kind in zip(*own, strict=True):
+                total, recent = held.get((who, file), (0, []))
+                recent = [*recent, (number(ts), number(i), kind)]
+                if len(recent) > most:
+                    recent = sorted(recent, key=newer, reverse=True)[:most]
+                held[who, file] = touched[who, file] = (total + 1, recent)
+        state.update((json.dumps([(*k, *v) for k, v in held.items()]),))
+        rows = [(*k, total, min(100, total * 10), ",".join(kind for _, _, kind in sorted(recent, key=newer, reverse=True) if kind is not None)) for k, (total, recent) in touched.items()]
+        yield pd.DataFrame(rows, columns=["identity_name", "file_path", "total", "confidence", "evidence"])
+
+    # numbers beside nulls would come as floats
+    own = stream.select("identity_name", "file_path", F.col("ts").cast("string"), F.col("id").cast("string"), "kind", F.pmod(F.xxhash64("identity_name", "file_path"), F.lit(buckets)).alias("bucket"))
+    return own.groupBy("bucket").applyInPandasWithState(
+        update, "identity_name string, file_path string, total long, confidence long, evidence string", "held string", "update", GroupStateTimeout.NoTimeout
     )
 
 

@@ -9,6 +9,7 @@ from tessera.operators import code as K
 from tessera.operators import graph as G
 from tessera.operators import search as S
 from tessera.operators.structure import parse
+from tessera.streaming import streams as T
 
 
 def plan_of(df):
@@ -96,3 +97,18 @@ def test_python_calls_do_not_split_the_text_anew(monkeypatch):
     assert not asked and ("EXTENDS", "A", "b.C", 1) in edges
     calls = [(target, line) for kind, _, target, line in edges if kind == "CALLS"]
     assert len(calls) == 600 and {("é7.f", 17), ("g", 17), ("self.g(\n7)[0].h", 17)} <= set(calls)
+
+
+def test_witnesses_share_the_state_of_a_bucket(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else f"u{i % 3}", None if i % 7 == 0 else f"f{i % 50}", None if i % 4 == 0 else f"k{i}", None if i % 11 == 0 else 2**60 + i) for i in range(400)]
+    for n in range(3):
+        own = [r for r in rows if r[0] % 3 == n]
+        spark.createDataFrame(own, "id long, identity_name string, file_path string, kind string, ts long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = T.open_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    found = T.witnesses(stream, buckets=2)
+    assert "bucket" in found._jdf.queryExecution().analyzed().toString()
+    got = {(r.identity_name, r.file_path): (r.total, r.confidence, r.evidence) for r in T.collected(found, "update", spark, str(tmp_path), keys=["identity_name", "file_path"]).collect()}
+    want = {}
+    for i, who, file, kind, ts in sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0, r[0]), reverse=True):
+        want.setdefault((who, file), []).append(kind)
+    assert got == {k: (len(v), min(100, 10 * len(v)), ",".join(x for x in v[:8] if x is not None)) for k, v in want.items()}
