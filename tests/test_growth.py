@@ -9,6 +9,7 @@ from tessera.operators import code as K
 from tessera.operators import graph as G
 from tessera.operators import search as S
 from tessera.operators.structure import parse
+from tessera.plans import catalog
 from tessera.streaming import streams as T
 
 
@@ -99,6 +100,16 @@ def test_python_calls_do_not_split_the_text_anew(monkeypatch):
     assert len(calls) == 600 and {("é7.f", 17), ("g", 17), ("self.g(\n7)[0].h", 17)} <= set(calls)
 
 
+def test_sequences_are_dealt_out_once(spark, sf_dir):
+    queries = catalog.queries()
+    for name, most in {"sq_03_skip_hashes": 2}.items():
+        df = queries[name](spark, sf_dir)
+        plan = plan_of(df)
+        assert plan.count("Exchange") == most and "sha2" not in plan[plan.rindex("Exchange hashpartitioning(signature") :]
+    pairs = queries["sq_03_skip_hashes"](spark, sf_dir)
+    assert pairs.count() == pairs.distinct().count() > 0
+
+
 def test_witnesses_share_the_state_of_a_bucket(spark, tmp_path):
     rows = [(i, None if i % 5 == 0 else f"u{i % 3}", None if i % 7 == 0 else f"f{i % 50}", None if i % 4 == 0 else f"k{i}", None if i % 11 == 0 else 2**60 + i) for i in range(400)]
     for n in range(3):
