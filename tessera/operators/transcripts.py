@@ -145,9 +145,15 @@ def sequences(steps: DataFrame, key: str, order: list[str], *, least: int = 3, m
     return kept.select(key, F.size("run").alias("length"), signature.alias("signature"), F.sha2(signature, 256).alias("hash"))
 
 
-def candidates(found: DataFrame, session: str, *, least: int = 2) -> DataFrame:
-    """Signatures by the number of sessions they occur in."""
-    return found.groupBy("hash", "signature", "length").agg(F.countDistinct(session).alias("occurrences")).where(F.col("occurrences") >= least)
+def candidates(found: DataFrame, session: str, *, least: int = 2, parts: int | None = None) -> DataFrame:
+    """Signatures by the number of sessions they occur in.
+
+    Signatures are dealt out once, to ``parts`` tasks where that is given, and counted there; hashes are computed of what is left.
+    """
+    by = [F.col("signature")]
+    dealt = found.select("signature", "length", session).repartition(*([parts] if parts else []), *by)
+    counted = dealt.groupBy("signature", "length", session).agg(F.lit(1).alias("n")).groupBy("signature", "length").agg(F.count(session).alias("occurrences"))
+    return counted.where(F.col("occurrences") >= least).select(F.sha2("signature", 256).alias("hash"), "signature", "length", "occurrences")
 
 
 def skip_hashes(found: DataFrame) -> DataFrame:

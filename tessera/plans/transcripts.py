@@ -122,7 +122,7 @@ def sq_02_tool_sequences(spark, sf_dir):
 
 @query("SELECT sha256(signature) AS hash, signature, CAST(length AS INTEGER) AS length, count(DISTINCT identity_name) AS occurrences FROM found GROUP BY ALL", EDGES_SQL, _SEQ)
 def sq_04_candidates(spark, sf_dir):
-    return R.candidates(_found(spark, sf_dir), "identity_name", least=1)
+    return R.candidates(_found(spark, sf_dir), "identity_name", least=1, parts=_parts(spark, sf_dir))
 
 
 @query("""SELECT DISTINCT hash, sha256(s) AS skip FROM (SELECT sha256(signature) AS hash, unnest(list_concat([signature], list_transform(generate_series(1, length), lambda i: array_to_string(list_concat(p[1:i - 1], p[i + 1:length]), '|')))) AS s

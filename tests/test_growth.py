@@ -102,7 +102,7 @@ def test_python_calls_do_not_split_the_text_anew(monkeypatch):
 
 def test_sequences_are_dealt_out_once(spark, sf_dir):
     queries = catalog.queries()
-    for name, most in {"sq_03_skip_hashes": 2}.items():
+    for name, most in {"sq_03_skip_hashes": 2, "sq_04_candidates": 2}.items():
         df = queries[name](spark, sf_dir)
         plan = plan_of(df)
         assert plan.count("Exchange") == most and "sha2" not in plan[plan.rindex("Exchange hashpartitioning(signature") :]
