@@ -6,8 +6,10 @@ import pytest
 
 from tessera.operators import analysis as A
 from tessera.operators import code as K
+from tessera.operators import flow as W
 from tessera.operators import graph as G
 from tessera.operators import search as S
+from tessera.operators import structure as ST
 from tessera.operators.structure import parse
 from tessera.plans import catalog
 from tessera.streaming import streams as T
@@ -123,3 +125,33 @@ def test_witnesses_share_the_state_of_a_bucket(spark, tmp_path):
     for i, who, file, kind, ts in sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0, r[0]), reverse=True):
         want.setdefault((who, file), []).append(kind)
     assert got == {k: (len(v), min(100, 10 * len(v)), ",".join(x for x in v[:8] if x is not None)) for k, v in want.items()}
+
+
+SCRIPT = "export function f(a) {\n  /* ( */ const u = g(a); bus.on('x', h); [a].map(b => lost(b));\n  return k(u) / 2; }\nconst r = /[(/]+/g, s = 4 / 2 / 1;\nclass C { m(p) { return g(p); } }\n"
+
+
+def test_scripts_are_parsed_once_for_flow_and_symbols(spark):
+    rows = [(f"src/f{i}.ts", SCRIPT.replace("f(", f"f{i}(")) for i in range(30)] + [("a.py", "def f():\n    g()\n"), ("b.ts", None), ("c.txt", "x")]
+    files = spark.createDataFrame(rows, "file_path string, content string")
+    both = W.flow_and_symbols(files)
+    assert sorted(W.flow_of(both).collect()) == sorted(W.flow(files).collect())
+    assert sorted(ST.symbols_of(both).collect()) == sorted(ST.symbols_of(ST.structure(files)).collect())
+    assert {r["name"] for r in ST.symbols_of(both).where("file_path = 'src/f7.ts'").collect()} == {"f7", "r", "s", "C", "C.m"}
+
+
+def test_tokens_are_not_matched_one_by_one(monkeypatch):
+    want = [(t, k, n) for t in (ST.Tokens(SCRIPT, "script"),) for t, k, n in zip(t.text, t.kind, t.line)]
+    assert ("/[(/]+/g", "text", 4) in want and ("/", "mark", 4) in want and ("=>", "mark", 2) in want and ("'x'", "text", 2) in want
+    plain = "a\xa0b = c(\n'd', \"e\n`f\n` 7x é ' @"
+
+    class Never:
+        def match(self, *_):
+            raise AssertionError
+
+        finditer = match
+
+    monkeypatch.setattr(ST, "TOKEN", Never())
+    t = ST.Tokens(plain, "script")
+    assert list(zip(t.text, t.kind, t.line)) == [
+        ("a\xa0b", "name", 1), ("=", "mark", 1), ("c", "name", 1), ("(", "mark", 1), ("'d'", "text", 2), (",", "mark", 2), ('"e', "text", 2), ("`f\n`", "text", 3), ("7x", "number", 4), ("é", "name", 4), ("'", "mark", 4), ("@", "mark", 4),
+    ]
