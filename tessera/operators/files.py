@@ -5,13 +5,13 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import clamp_text
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, slices
 
 #: Names that are broadcast at most, each at most a word long.
 BROADCAST_NAMES = 100_000
@@ -259,24 +259,27 @@ def symbol_usages(files: DataFrame, symbols: DataFrame, *, content: str = "conte
 def chunk_lines(files: DataFrame, *, lines: int = 80, chars: int = 2400, least: int = 20, overlap: int = 12, step: int = 5) -> DataFrame:
     """(id, start_line, end_line, content): overlapping windows of lines, shrunk while they hold too many characters."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, text in zip(frame["id"], frame["content"], strict=True):
-                own, at = (text or "").split("\n"), 0
-                while at < len(own):
-                    size = min(lines, len(own) - at)
-                    while size > least and sum(map(len, own[at : at + size])) + size - 1 > chars:
-                        size = max(least, size - step)
-                    body = "\n".join(own[at : at + size])
-                    if body.strip():
-                        out.append((key, at + 1, at + size, body))
-                    if at + size >= len(own):
-                        break
-                    at += max(1, size - overlap)
-            yield pd.DataFrame(out, columns=["id", "start_line", "end_line", "content"])
-
-    return files.select("id", "content").mapInPandas(cut, "id long, start_line int, end_line int, content string")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = dict(id=pa.int64(), start_line=pa.int32(), end_line=pa.int32(), content=pa.string())
+        for batch in batches:
+            for start, end in slices(batch.columns[1:]):
+                out = []
+                for key, text in zip(*(c.slice(start, end - start).to_pylist() for c in batch.columns)):
+                    own, at = (text or "").split("\n"), 0
+                    while at < len(own):
+                        size = min(lines, len(own) - at)
+                        while size > least and sum(map(len, own[at : at + size])) + size - 1 > chars:
+                            size = max(least, size - step)
+                        body = "\n".join(own[at : at + size])
+                        if body.strip():
+                            out.append((key, at + 1, at + size, body))
+                        if at + size >= len(own):
+                            break
+                        at += max(1, size - overlap)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds.values())], names=list(kinds))
+
+    return files.select(F.col("id").cast("long"), "content").mapInArrow(cut, "id long, start_line int, end_line int, content string")
 
 
 #: Lines that a diff looks ahead, the one it stands at included. Fixed value.
@@ -333,16 +336,20 @@ def greedy_diff(old: list[str], new: list[str], context: int = 3) -> tuple[str,
 
 
 def unified_diffs(pairs: DataFrame, *, context: int = 3) -> DataFrame:
-    """(id, diff, insertions, deletions) of text pairs (id, old, new): a greedy walk with a bounded look ahead, in time linear in the lines."""
+    """(id, diff, insertions, deletions) of text pairs (id, old, new): a greedy walk with a bounded look ahead, in time linear in the lines.
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, old, new in zip(frame["id"], frame["old"], frame["new"], strict=True):
-                out.append((key, *greedy_diff((old or "").split("\n"), (new or "").split("\n"), context)))
-            yield pd.DataFrame(out, columns=["id", "diff", "insertions", "deletions"])
+    Texts leave a batch in slices by bytes, so the lines and diffs of one slice are all that a task holds besides it.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = dict(id=pa.int64(), diff=pa.string(), insertions=pa.int64(), deletions=pa.int64())
+        for batch in batches:
+            for start, end in slices(batch.columns[1:]):
+                key, *texts = batch.slice(start, end - start).columns
+                found = [greedy_diff(*((t.as_py() or "").split("\n") for t in pair), context) for pair in zip(*texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(c, kind) for c, kind in zip(zip(*found), [*kinds.values()][1:]))], names=list(kinds))
 
-    return pairs.select("id", "old", "new").mapInPandas(compare, "id long, diff string, insertions long, deletions long")
+    return pairs.select(F.col("id").cast("long"), "old", "new").mapInArrow(compare, "id long, diff string, insertions long, deletions long")
 
 
 def diff_stats(pairs: DataFrame) -> DataFrame:

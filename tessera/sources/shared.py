@@ -4,9 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of text that Python works on at a time; a longer text is taken alone.
+SLICE_BYTES = 1_000_000
+
+
+def slices(texts: list[pa.Array], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of rows that hold about ``limit`` bytes of the columns, so that what is made of them at a time is small."""
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64) for c in texts)
+    ends, start = np.cumsum(sizes + 64), 0
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield start, end
+        start = end
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The context's checkpoint folder, else the session's ``spark.checkpoint.dir``; a temporary one only where Spark is one process."""
