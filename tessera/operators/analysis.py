@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import base64
 import gzip
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.text import slug
+from tessera.sources.shared import slices
 
 #: The forms of an export and the kind of each.
 EXPORTS = {
@@ -197,23 +199,29 @@ def _last_until(asked: DataFrame, rows: DataFrame) -> DataFrame:
     return sides.withColumn("found", F.last("found", ignorenulls=True).over(before)).where("request is not null and found is not null").select("request", "file_path", "found")
 
 
-@F.pandas_udf(T.StringType())
-def packed(texts: pd.Series) -> pd.Series:
+def _each(texts: pa.Array, make: Callable[[str], str | None]) -> pa.Array:
+    """``make`` of each text, in slices by bytes: only one slice's texts are Python's at a time."""
+    parts = [pa.array([None if t is None else make(t) for t in texts.slice(start, end - start).to_pylist()], pa.string()) for start, end in slices([texts])]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def packed(texts: pa.Array) -> pa.Array:
     """Gzip, then base64; the same bytes for the same text."""
-    return texts.map(lambda t: None if t is None else base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())
+    return _each(texts, lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())
 
 
-@F.pandas_udf(T.StringType())
-def unpacked(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def unpacked(texts: pa.Array) -> pa.Array:
     """The text of a packed snapshot; what isn't packed is returned as it is."""
 
-    def one(value: str | None) -> str | None:
+    def one(value: str) -> str:
         try:
-            return None if value is None else gzip.decompress(base64.b64decode(value, validate=True)).decode()
+            return gzip.decompress(base64.b64decode(value, validate=True)).decode()
         except (ValueError, OSError, EOFError):
             return value
 
-    return texts.map(one)
+    return _each(texts, one)
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:

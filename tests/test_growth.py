@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import analysis as A
 from tessera.operators import code as K
+from tessera.operators import files as P
 from tessera.operators import flow as W
 from tessera.operators import graph as G
 from tessera.operators import search as S
 from tessera.operators import structure as ST
 from tessera.operators.structure import parse
 from tessera.plans import catalog
+from tessera.sources.shared import slices
 from tessera.streaming import streams as T
 
 
@@ -155,3 +158,25 @@ def test_tokens_are_not_matched_one_by_one(monkeypatch):
     assert list(zip(t.text, t.kind, t.line)) == [
         ("a\xa0b", "name", 1), ("=", "mark", 1), ("c", "name", 1), ("(", "mark", 1), ("'d'", "text", 2), (",", "mark", 2), ('"e', "text", 2), ("`f\n`", "text", 3), ("7x", "number", 4), ("é", "name", 4), ("'", "mark", 4), ("@", "mark", 4),
     ]
+
+
+def test_diffs_are_made_in_slices(spark, monkeypatch):
+    """Long texts of one batch aren't all split into lines, nor their diffs all held, at a time."""
+    text = "\n".join(f"line {i} the" for i in range(30_000))
+    rows = [(i, text, text.replace("the", "THE")) for i in range(6)] + [(6, None, "a"), (7, "s", "s"), (8, None, None)]
+    found = P.unified_diffs(spark.createDataFrame(rows, "id long, old string, new string").coalesce(1))
+    got = {r["id"]: (r["insertions"], r["deletions"]) for r in found.collect()}
+    assert got == {**{i: (30_000, 30_000) for i in range(6)}, 6: (1, 1), 7: (0, 0), 8: (0, 0)}
+    sizes = found.select("id").mapInArrow(lambda batches: (b.append_column("n", pa.array([len(b)] * len(b))) for b in batches), "id long, n long")
+    assert plan_of(sizes).count("MapInArrow") == 2
+    assert list(slices([pa.array(["x" * 10] * 7), pa.array([None] * 6 + ["y" * 5000], pa.string())], 200)) == [(0, 2), (2, 4), (4, 6), (6, 7)]
+
+
+def test_snapshots_are_unpacked_in_slices():
+    """What is made of a batch's texts isn't held for all of them at once; nulls, empty and plain texts stay."""
+    texts = pa.array(["é" * 400_000, "", None, "plain"] * 5)
+    packed = A.packed.func(texts)
+    assert A.unpacked.func(packed).equals(texts) and A.unpacked.func(texts).equals(texts) and A.packed.func(texts[:0]).equals(texts[:0])
+    parts = []
+    A._each(texts, lambda t: parts.append(len(t)) or t)
+    assert len(list(slices([texts]))) >= 5 and len(parts) == 15
