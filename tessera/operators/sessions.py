@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as X
 from tessera.operators.files import unified_diffs
+from tessera.operators.search import held
 from tessera.operators.transcripts import zones
 
 #: Kinds of old events that keep a line of their own.
@@ -192,13 +193,16 @@ def commit_candidates(files: DataFrame, *, content: str = "content", most: int =
     ]
     kept = F.slice(F.array_distinct(F.filter(F.array(*tags), lambda t: t.isNotNull() & (t != ""))), 1, 7)
     subject = F.array_join(F.filter(F.transform(F.split(F.regexp_replace("file_path", r"\.[^.]+$", ""), r"[/?#\\._-]+"), lambda w: F.trim(w)), lambda w: w != ""), " ")
-    lines = F.split(content, r"\r?\n")
     name = lambda line: F.regexp_extract(line, r"^\s*export\s+(?:async\s+)?(?:function|class|interface|type|const)\s+([A-Za-z0-9_$]+)", 1)
     spot = lambda label, first, last: F.struct(label.alias("label"), first.cast("int").alias("first"), last.cast("int").alias("last"))
-    end = F.size(lines)
-    marks = F.transform(lines, lambda line, i: spot(name(line), i + 1, F.least(end, i + 1 + span)))
-    marks = F.slice(F.filter(marks, lambda m: m["label"] != ""), 1, most)
-    marks = F.transform(marks, lambda m: spot(F.concat(F.lit("Export "), m["label"]), m["first"], m["last"]))
-    opening = F.array(spot(F.lit("File opening"), F.lit(1), F.least(end, F.lit(span))))
-    found = F.when(F.coalesce(F.col(content), F.lit("")) == "", F.lit(None)).when(F.size(marks) > 0, marks).otherwise(opening)
+
+    def highlights(lines: Column) -> Column:
+        end = F.size(lines)
+        named = F.filter(F.transform(lines, lambda line, i: F.struct(name(line).alias("name"), (i + 1).alias("at"))), lambda m: m["name"] != "")
+        marks = F.transform(F.slice(named, 1, most), lambda m: spot(F.concat(F.lit("Export "), m["name"]), m["at"], F.least(end, m["at"] + span)))
+        opening = F.array(spot(F.lit("File opening"), F.lit(1), F.least(end, F.lit(span))))
+        return held(marks, lambda m: F.when(F.size(m) > 0, m).otherwise(opening))
+
+    # the text is split once, not once for each of its lines
+    found = F.when(F.coalesce(F.col(content), F.lit("")) != "", held(F.split(content, r"\r?\n"), highlights))
     return files.select("file_path", F.when(subject == "", F.col("file_path")).otherwise(subject).alias("subject"), kept.alias("tags"), found.alias("highlights"))

@@ -11,6 +11,7 @@ from tessera.operators import files as P
 from tessera.operators import flow as W
 from tessera.operators import graph as G
 from tessera.operators import search as S
+from tessera.operators import sessions as SE
 from tessera.operators import structure as ST
 from tessera.operators.structure import parse
 from tessera.plans import catalog
@@ -180,3 +181,16 @@ def test_snapshots_are_unpacked_in_slices():
     parts = []
     A._each(texts, lambda t: parts.append(len(t)) or t)
     assert len(list(slices([texts]))) >= 5 and len(parts) == 15
+
+
+def test_candidates_split_a_text_once(spark):
+    """The text was split into lines anew for each of its lines."""
+    text = "\n".join("const x = 1" for _ in range(20_000)) + "\nexport const K = 1\r\n export async function go() {}"
+    rows = [("src/a.ts", text), ("src/b.ts", "x\ny"), ("src/c.ts", ""), ("src/d.ts", None)]
+    files = spark.createDataFrame(rows, "file_path string, content string").selectExpr("*", "'c/d' as cluster", "'typescript' as language")
+    found = SE.commit_candidates(files)
+    assert {r["file_path"]: r["highlights"] and [tuple(h) for h in r["highlights"]] for r in found.collect()} == {
+        "src/a.ts": [("Export K", 20_001, 20_002), ("Export go", 20_002, 20_002)], "src/b.ts": [("File opening", 1, 2)], "src/c.ts": None, "src/d.ts": None,
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(content") == 1
