@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +18,9 @@ from tessera.sources.tables import SOURCE_EXTENSIONS
 # Folders whose changes are not watched.
 UNWATCHED = (".brain", ".atlas", ".git", "dist", "node_modules", ".next", ".turbo", ".cache", "coverage", "build", "out", ".vercel")
 
+#: Changes in one value of the state, at most.
+BLOCK = 50_000
+
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -35,21 +41,49 @@ def quiet_changes(changes: DataFrame, *, keys: tuple[str, ...] = ("workspace", "
     return out.select(*keys, F.col("w.end").alias("due_at"), "changes", "last.*")
 
 
+def _block(ms: np.ndarray, paths: pa.Array) -> bytes:
+    """Changes as one value of the state; each path is held once."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), paths.dictionary_encode()], names=["ms", "file_path"])
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _in_order(blocks: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The times of all changes of the blocks and the numbers of their paths, by time and path, and the paths by number."""
+    tables = [pa.ipc.open_stream(b).read_all() for b in blocks]
+    if not tables:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    every = pa.concat_tables(tables).unify_dictionaries().combine_chunks()
+    ms, paths = every.column(0).to_numpy(), every.column(1).chunk(0)
+    names = paths.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    number = rank[paths.indices.to_numpy()]
+    by = np.lexsort((number, ms))
+    return ms[by], number[by], [names[i] for i in order]
+
+
 class _Refresher(StatefulProcessor):
-    """Of one workspace: changes that the watermark has not passed, files that wait, and when the timer is due."""
+    """Of one workspace: changes that the watermark has not passed, files that wait, and when the timer is due.
+
+    Changes are kept in blocks of up to BLOCK, as each value of the state costs a call to it.
+    """
 
     def __init__(self, debounce: int, cooldown: int, most: int):
         self.debounce, self.cooldown, self.most = debounce, cooldown, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.coming = handle.getListState("coming", "at long, file_path string")
+        self.coming = handle.getListState("coming", "changes binary")
         self.pending = handle.getMapState("pending", "file_path string", "place long")
         self.clock = handle.getValueState("clock", "due long, started long, batches long, places long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            self.coming.appendList([(int(t), p) for t, p in zip(frame["ms"], frame["file_path"])])
+            if len(frame):
+                self.coming.appendValue((_block(frame["ms"].to_numpy(np.int64), pa.array(frame["file_path"], pa.string())),))
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -58,12 +92,13 @@ class _Refresher(StatefulProcessor):
     def _advance(self, key, until: int) -> Iterator[pd.DataFrame]:
         """Plays what lies before the watermark, in order of time and path, and sets the timer to what comes next."""
         due, started, batches, places = self.clock.get() if self.clock.exists() else (None, None, 0, 0)
-        coming = sorted(self.coming.get())
-        ready = [c for c in coming if c[0] < until]
+        ms, number, names = _in_order(bytes(b) for (b,) in self.coming.get())
+        ready = int(np.searchsorted(ms, until))
         waits = {path: place for (path,), (place,) in self.pending.iterator()}
-        before, given = set(waits), []
-        for now, path in [*ready, (until, None)]:
-            while due is not None and (due <= now if path is not None else due < now):
+        before, given = dict(waits), []
+        played = (zip(ms[i : min(i + BLOCK, ready)].tolist(), number[i : min(i + BLOCK, ready)].tolist()) for i in range(0, ready, BLOCK))
+        for now, n in chain(chain.from_iterable(played), [(until, None)]):
+            while due is not None and (due <= now if n is not None else due < now):
                 if started is not None and due - started < self.cooldown:
                     due = started + self.cooldown
                     continue
@@ -73,19 +108,22 @@ class _Refresher(StatefulProcessor):
                     del waits[f]
                 started, batches = due, batches + 1
                 due = due + self.cooldown if waits else None
-            if path is not None:
+            if n is not None:
+                path = names[n]
                 if path not in waits:
                     waits[path], places = places, places + 1
                 due = now + self.debounce
-        for path in before - set(waits):
+        for path in before.keys() - waits.keys():
             self.pending.removeKey((path,))
         for path, place in waits.items():
-            self.pending.updateValue((path,), (place,))
+            if before.get(path) != place:
+                self.pending.updateValue((path,), (place,))
         self.clock.update((due, started, batches, places))
-        left = coming[len(ready) :]
         if ready:
-            self.coming.put(left) if left else self.coming.clear()
-        self._arm(min([t for t, _ in left[:1]] + [due] * (due is not None), default=None))
+            self.coming.clear()
+            for i in range(ready, len(ms), BLOCK):
+                self.coming.appendValue((_block(ms[i : i + BLOCK], pa.array(names, pa.string()).take(pa.array(number[i : i + BLOCK]))),))
+        self._arm(min(ms[ready : ready + 1].tolist() + [due] * (due is not None), default=None))
         if given:
             numbers, times, files = zip(*given)
             yield pd.DataFrame({"workspace": [key[0]] * len(given), "batch": numbers, "started_at": pd.to_datetime(times, unit="ms"), "files": files})
@@ -111,8 +149,8 @@ def refresh_batches(changes: DataFrame, *, at: str = "at", debounce_ms: int = 1_
     A timer due at the time of a change runs first; changes at one time are taken by path. Reading again takes no event time.
 
     Time is event time: a batch is given once the watermark has passed its start, so it doesn't depend on how changes fall into
-    micro-batches, and changes later than the watermark are left out. State, kept in RocksDB, is a row for each change that
-    the watermark has not passed and for each file that waits. Changes without a time or a workspace are left out.
+    micro-batches, and changes later than the watermark are left out. State, kept in RocksDB, is blocks of the changes that
+    the watermark has not passed and a row for each file that waits. Changes without a time or a workspace are left out.
     """
     own = watched(changes).where(F.col(at).isNotNull() & F.col("workspace").isNotNull()).select("workspace", "file_path", at)
     # the watermark has whole milliseconds

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -16,6 +17,7 @@ from tessera.operators import structure as ST
 from tessera.operators.structure import parse
 from tessera.plans import catalog
 from tessera.sources.shared import slices
+from tessera.streaming import freshness as R
 from tessera.streaming import streams as T
 
 
@@ -194,3 +196,12 @@ def test_candidates_split_a_text_once(spark):
     }
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(content") == 1
+
+
+def test_changes_wait_in_blocks():
+    """Each change was a value of the state of its own."""
+    log = [(5, "b"), (5, "a"), (1, "é"), (1, "z"), (3, "b"), (5, "a")]
+    blocks = [R._block(np.array([t for t, _ in part]), pa.array([p for _, p in part])) for part in (log[:4], log[4:])]
+    ms, number, names = R._in_order(blocks)
+    assert [(t, names[n]) for t, n in zip(ms.tolist(), number.tolist())] == sorted(log)
+    assert [len(x) for x in R._in_order([])] == [0, 0, 0]
