@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import index_tokens
-from tessera.operators.search import K1, B
-from tessera.sources.shared import cut
+from tessera.operators.search import K1, B, held
+from tessera.sources.shared import Scratch, cut
 
 #: Documents whose postings of a term make a block, at most; folders that terms are dealt to.
 CHUNK, BUCKETS = 4_096, 64
@@ -37,8 +37,25 @@ def append(docs: DataFrame, path: str, *, key: str, text: str, chunk: int = CHUN
     batch = uuid.uuid4().hex
     read = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("words"))
     read = read.select("key", "words", F.size("words").alias("dl"), F.floor(F.monotonically_increasing_id() / chunk).alias("chunk"))
-    read.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_words"), F.lit(docs.schema[key].dataType.simpleString()).alias("kind")).write.mode("append").parquet(f"{path}/sizes")
-    counted = read.select("key", "dl", "chunk", F.explode("words").alias("term")).groupBy("term", "chunk", "key", "dl").agg(F.count("*").alias("tf"))
+    with Scratch(docs.sparkSession) as scratch:
+        # texts are read once, and a document's words are counted where it stands: no word is shuffled but as a posting
+        read = scratch.cut(read.select("key", "dl", "chunk", term_counts(F.col("words")).alias("counts")))
+        read.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_words"), F.lit(docs.schema[key].dataType.simpleString()).alias("kind")).write.mode("append").parquet(f"{path}/sizes")
+        _write_blocks(read.select("key", "dl", "chunk", F.explode("counts").alias("c")).select("key", "dl", "chunk", "c.*"), path, batch)
+
+
+def term_counts(words: Column) -> Column:
+    """(term, tf) of each distinct word of an array, by the places where runs begin in its sorted order."""
+
+    def counts(s: Column) -> Column:
+        begins = F.array_compact(F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)))
+        run = lambda b: F.transform(b, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("long").alias("tf")))
+        return held(begins, run)
+
+    return held(F.sort_array(words), counts)
+
+
+def _write_blocks(counted: DataFrame, path: str, batch: str) -> None:
     blocks = counted.groupBy("term", "chunk").agg(
         F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.collect_list(F.struct("key", "tf", "dl")).alias("postings")
     )

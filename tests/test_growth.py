@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import analysis as A
 from tessera.operators import code as K
@@ -13,6 +14,7 @@ from tessera.operators import flow as W
 from tessera.operators import graph as G
 from tessera.operators import search as S
 from tessera.operators import sessions as SE
+from tessera.operators import stored_index
 from tessera.operators import structure as ST
 from tessera.operators.structure import parse
 from tessera.plans import catalog
@@ -205,3 +207,11 @@ def test_changes_wait_in_blocks():
     ms, number, names = R._in_order(blocks)
     assert [(t, names[n]) for t, n in zip(ms.tolist(), number.tolist())] == sorted(log)
     assert [len(x) for x in R._in_order([])] == [0, 0, 0]
+
+
+def test_words_are_counted_in_their_document(spark):
+    """Words were shuffled to be counted, and counts again to be made blocks."""
+    rows = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, ["x"] * 5000 + ["y"])]
+    found = spark.createDataFrame(rows, "id long, words array<string>").select("id", stored_index.term_counts(F.col("words")).alias("c"))
+    assert {r["id"]: [tuple(c) for c in r["c"]] for r in found.collect()} == {1: [("a", 1), ("b", 3), ("é", 1)], 2: [], 3: [("x", 5000), ("y", 1)]}
+    assert "Exchange" not in plan_of(found)
