@@ -11,10 +11,13 @@ The sketch that is cut has 2**64 bits a segment and is never written out: a segm
 its shingles' 64-bit hashes. Empty segments say nothing, so there are a few segments more than the
 pigeonhole needs; a set with no more empty ones than that leaves them out.
 
-Copies are reduced to one set first. In a segment shared by many sets, each is held against a few leaders,
-not against all others: sets found to be linked already need no pair of their own, and the rest meets more
-leaders in the next round, until each pair of unlinked sets in each segment has been verified or excluded by
-size or sketch. No group is ever paired in full, and no link between different sets is lost.
+Copies are reduced to one set first. In each segment all sets are held against the first one. Sets that then still
+share a segment with others that they aren't linked to are held against those by their rarest shingles: in the order
+of how many of these sets hold a shingle, the first one that two similar sets share has at least the rest of
+their intersection behind it in both, so that sets which only have a common passage, or many changes each, seldom meet.
+Of those that share such a shingle, each is held against a few leaders, not against all others: sets found to be linked
+already need no pair of their own, leaders have met all and leave, and the rest meets more leaders in the next round, until
+each pair of unlinked sets has been verified or excluded by size, place or sketch. No link between different sets is lost.
 
 Defined results: null and empty texts, or texts without words, have the empty set and are linked with
 nothing, each other included; a key is expected to stand for one text, and rows that repeat it count as copies; an empty table gives an empty
@@ -40,7 +43,7 @@ BAND = 1.5
 #: The lowest bits of a segment's number are its band.
 BAND_BITS = 7
 #: 64-bit words of the folded sketch that goes with each segment; the whole one grows with the set and joins pairs only.
-FOLDED = 4
+FOLDED = 16
 #: Words that a worker remembers with their hash.
 MEMO = 100_000
 #: Shingles of the sets that are verified against one leader in one task.
@@ -196,6 +199,32 @@ def _segments(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int,
     return rows.mapInArrow(run, "id long, segments array<long>").select("id", F.explode("segments").alias("segment"))
 
 
+def _rare_shingles(docs: DataFrame, ids: DataFrame, sets: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
+    """(segment, id, place): shingles that at least two of the documents whose key is an id hold, in all bands of the set, marked with the band like segments.
+
+    The place counts from the rarest shingle of the set; places that no similar set can have for its first common shingle are left out.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    chosen = ids.select(F.col("id").alias(key))
+    rows = docs.select(key, text).join(F.broadcast(chosen) if few else chosen, key, "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(value.as_py() or "", words).view(np.int64) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "size", "shingles"]
+            )
+
+    held = rows.mapInArrow(run, "id long, size int, shingles array<long>").select("id", "size", F.explode("shingles").alias("shingle"))
+    held = held.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1")
+    # counted from the end, as shingles that no other set holds come first
+    behind = F.dense_rank().over(Window.partitionBy("id", "size").orderBy(F.desc("n"), F.desc("shingle")))
+    placed = held.withColumn("behind", behind).where(F.col("behind") * whole >= F.col("size") * part)
+    placed = placed.select("id", "size", "shingle", (F.col("size") - F.col("behind") + 1).alias("place"))
+    banded = placed.join(sets.select("id", "band", "size"), ["id", "size"])
+    return banded.select(F.shiftleft("shingle", BAND_BITS).bitwiseOR(F.col("band").cast("long")).alias("segment"), "id", "place").distinct()
+
+
 def _smallest_labels(edges: DataFrame, rows: int) -> DataFrame:
     """(id, label): the smallest id that each id of the edges (a, b) reaches.
 
@@ -288,52 +317,75 @@ def jaccard_components(
     sets = checkpointed(banded.agg(id_, *alike).where("id is not null").select("id", "band", "size", "sketch", "folded"))
     segments = _segments(docs, sets.select("id").distinct(), key, text, words, part, whole)
     one = Window.partitionBy("segment")
-    shared = segments.withColumns({"least": F.min("id").over(one), "most": F.max("id").over(one)}).where("least <> most")
-    members = checkpointed(shared.select("segment", "id"))
-    rows_left, links = members.count(), 0
-
-    edges, tested, labels, leaders = None, None, None, 1
-    while True:
-        open_ = members.withColumn("label", F.col("id"))
-        if labels is not None:
-            named = members.join(labels, "id", "left").select("segment", "id", F.coalesce("label", "id").alias("label"))
-            mixed = named.groupBy("segment").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("segment")
-            open_ = checkpointed(named.join(mixed, "segment", "left_semi"), rows_left)
-            rows_left = open_.count()
-        left = open_.groupBy("segment").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        open_ = open_.withColumn("band", F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int")).join(sets.drop("sketch"), ["id", "band"])
-        place = F.row_number().over(Window.partitionBy("segment").orderBy("id"))
-        lead = open_.withColumn("place", place).where(F.col("place") <= leaders)
-        lead = lead.select("segment", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("folded").alias("folded_a"))
-        # written, so that the join is a stage of its own and Spark may split a segment that very many sets share
-        lead = checkpointed(lead, rows_left)
-        near = lambda x, y, size_x, size_y: _apart(x, y) * (whole + part) <= (F.col(size_x) + F.col(size_y)) * (whole - part)
-        pairs = open_.join(lead, "segment").where(
-            (F.col("label") != F.col("label_a"))
-            & (F.col("a") != F.col("id"))
-            & (F.least("size", "size_a") * whole >= F.greatest("size", "size_a") * part)
-            & near("folded", "folded_a", "size", "size_a")
-        )
-        pairs = pairs.select("band", F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        of_a, of_b = (sets.select("band", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        pairs = pairs.join(of_a, ["a", "band"]).join(of_b, ["b", "band"]).where(near("sketch_a", "sketch_b", "size_a", "size_b"))
+    shared = segments.withColumns({"a": F.min("id").over(one), "n": F.count("*").over(one)}).where("a <> id")
+    shared = checkpointed(shared.select("segment", "id", "a", "n"))
+
+    edges, tested, labels, links = None, None, None, 0
+    near = lambda x, y, size_x, size_y: _apart(x, y) * (whole + part) <= (F.col(size_x) + F.col(size_y)) * (whole - part)
+    of = lambda x, sketch: sets.select("band", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col(sketch).alias(f"{sketch}_{x}"))
+    band = F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
+
+    def look(pairs: DataFrame, bound: int) -> None:
+        """Verifies those of the pairs (band, a, b) that the whole sketch doesn't exclude and that weren't verified before."""
+        nonlocal edges, tested, labels, links
+        pairs = pairs.join(of("a", "sketch"), ["a", "band"]).join(of("b", "sketch"), ["b", "band"]).where(near("sketch_a", "sketch_b", "size_a", "size_b"))
         pairs = pairs.select("a", "b", "size_b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs, rows_left * leaders)
+        pairs = checkpointed(pairs, bound)
         count = pairs.count()
-        if count:
-            found = _verified(docs, pairs, count, key, text, words, part, whole)
-            tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-            more = found.count()
-            if more:
-                edges, links = found if edges is None else edges.union(found), links + more
-                labels = _smallest_labels(edges, links)
-        del open_, lead, pairs
-        release(docs.sparkSession)
-        if left <= leaders:  # every pair of unlinked sets in every segment has been looked at
+        if not count:
+            return
+        found = _verified(docs, pairs, count, key, text, words, part, whole)
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        more = found.count()
+        if more:
+            edges, links = found if edges is None else edges.union(found), links + more
+            labels = _smallest_labels(edges, links)
+
+    def unlinked(rows: DataFrame) -> DataFrame:
+        """Rows, with their labels, of segments in which not all sets are linked."""
+        if labels is None:
+            named = rows.withColumn("label", F.col("id"))
+        else:
+            named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        sides = {"_least": F.min("label").over(one), "_most": F.max("label").over(one)}
+        return named.withColumns(sides).where("_least <> _most").drop("_least", "_most")
+
+    rows_left = shared.count()
+    similar = F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part
+    pairs = shared.select(band, "a", F.col("id").alias("b")).distinct().join(of("a", "folded"), ["a", "band"]).join(of("b", "folded"), ["b", "band"])
+    look(pairs.where(similar & near("folded_a", "folded_b", "size_a", "size_b")).select("band", "a", "b"), rows_left)
+    ids = checkpointed(unlinked(shared.where("n > 2").select("segment", "id")).select("id").distinct(), rows_left)
+    del shared, pairs
+    release(docs.sparkSession)
+    leaders, left = 8, None
+    if not ids.isEmpty():
+        left = checkpointed(_rare_shingles(docs, ids, sets, key, text, words, part, whole))
+    while left is not None:  # until every pair of unlinked sets that share a rare shingle has been looked at
+        place = F.row_number().over(one.orderBy("id"))
+        open_ = unlinked(left.select("segment", "id", "place")).withColumn("band", band).join(sets.drop("sketch"), ["id", "band"])
+        # written, so that the join is a stage of its own and Spark may split a segment that very many sets share
+        open_ = checkpointed(open_.withColumn("turn", place))
+        rows_left = open_.count()
+        if not rows_left:
             break
+        lead = open_.where(F.col("turn") <= leaders).select("segment", "turn", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "label", "folded", "place")))
+        # behind its first common shingle each set has the whole intersection
+        least = (F.col("size") + F.col("size_a")) * part
+        pairs = open_.withColumnRenamed("turn", "own").join(lead, "segment").where(
+            (F.col("own") > F.col("turn"))
+            & (F.col("label") != F.col("label_a"))
+            & (F.least("size", "size_a") * whole >= F.greatest("size", "size_a") * part)
+            & ((F.col("size") - F.col("place") + 1) * (whole + part) >= least)
+            & ((F.col("size_a") - F.col("place_a") + 1) * (whole + part) >= least)
+            & near("folded", "folded_a", "size", "size_a")
+        )
+        look(pairs.select("band", F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct(), rows_left * leaders)
+        left = open_.where(F.col("turn") > leaders)
         leaders *= 8
+        del open_, lead, pairs
+        release(docs.sparkSession)
     out = base.join(classes, ["high", "low"], "left").select(F.col(key), F.col("size").alias("n_shingles"), "class_id")
     out = out.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", key)).otherwise(F.col(key)))
     if labels is None:

@@ -63,6 +63,32 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, make_docs):
     assert got == plain_components(sets_of(docs, 3), 9, 10)
 
 
+def test_jaccard_of_many_texts_that_share_a_base_but_are_not_similar(spark, make_docs, monkeypatch):
+    """Each has a fifth of its own words, so none of its rarest ones is another's: they don't wait for each other's rounds."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(90):
+        own = [f"w{j}" for j in range(120)]
+        for j in rng.choice(120, 26, replace=False):
+            own[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(own)))
+        if i % 9 == 0:
+            rows.append((100 + i, " ".join([*own[:60], f"y{i}", *own[61:]])))
+    waiting, plain = [], jaccard.checkpointed
+
+    def counted(df, n=None):
+        made = plain(df, n)
+        if {"segment", "label"} <= set(made.columns):
+            waiting.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "checkpointed", counted)
+    docs = make_docs(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, words=1, similarity=(4, 5)).collect()}
+    assert got == plain_components(sets_of(docs, 1), 4, 5) and sum(d != c for d, c in got.items()) == 10
+    assert sum(waiting) < len(rows)
+
+
 def test_jaccard_at_the_threshold(spark, make_docs):
     words = [f"a{i}" for i in range(40)]
     at = [(1, " ".join(words[:20])), (2, " ".join([*words[:18], "z"])), (3, " ".join(words[:19])), (4, "one"), (5, "ONE"), (6, "one two")]
