@@ -245,13 +245,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def symbol_usages(files: DataFrame, symbols: DataFrame, *, content: str = "content") -> DataFrame:
     """(symbol, file_path, used_in, matches): whole-word occurrences of symbols (name, file_path) in other files, in one pass over the texts.
 
-    Words that name no symbol are dropped before anything is shuffled where the names are at most ``BROADCAST_NAMES``, else by a join before they are counted.
+    Words that name no symbol are dropped before anything is shuffled where the names are at most ``BROADCAST_NAMES``, else by a join before they are counted;
+    words shorter or longer than all names never leave their text.
     """
     words = F.regexp_extract_all(content, F.lit(r"([A-Za-z_$][\w$]*)"), 1)
     names = symbols.where("name is not null").select("name", "file_path").distinct()
     asked = cut(names.select("name").distinct())
-    said = files.select(F.col("file_path").alias("used_in"), F.explode(words).alias("name"))
-    said = said.join(F.broadcast(asked) if asked.count() <= BROADCAST_NAMES else asked, "name", "left_semi")
+    number, least, most = asked.agg(F.count("*"), F.min(F.length("name")), F.max(F.length("name"))).first()
+    fits = F.filter(words, lambda w: F.length(w).between(F.lit(least), F.lit(most)))
+    said = files.select(F.col("file_path").alias("used_in"), F.explode(fits).alias("name"))
+    said = said.join(F.broadcast(asked) if number <= BROADCAST_NAMES else asked, "name", "left_semi")
     counts = said.groupBy("name", "used_in").agg(F.count("*").alias("matches"))
     return counts.join(names, "name").where("used_in <> file_path").select(F.col("name").alias("symbol"), "file_path", "used_in", "matches")
 

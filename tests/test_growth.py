@@ -215,3 +215,33 @@ def test_words_are_counted_in_their_document(spark):
     found = spark.createDataFrame(rows, "id long, words array<string>").select("id", stored_index.term_counts(F.col("words")).alias("c"))
     assert {r["id"]: [tuple(c) for c in r["c"]] for r in found.collect()} == {1: [("a", 1), ("b", 3), ("é", 1)], 2: [], 3: [("x", 5000), ("y", 1)]}
     assert "Exchange" not in plan_of(found)
+
+
+def rows_generated(df):
+    """The rows that the plan's generators gave, once it has run."""
+    df.collect()
+    waiting, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+            continue
+        if "QueryStageExec" in node.getClass().getSimpleName():
+            waiting.append(node.plan())
+        if node.getClass().getSimpleName() == "GenerateExec":
+            rows += node.metrics().apply("numOutputRows").value()
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_words_that_are_too_short_or_long_for_a_name_stay_in_their_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(P, "BROADCAST_NAMES", broadcast)
+    texts = [(f"f{i}", "if a b cc " * 50 + "longestNameOfAll " + ("handler run_all " if i % 2 else "handlers ")) for i in range(20)]
+    files = spark.createDataFrame(texts, "file_path string, content string")
+    symbols = spark.createDataFrame([("handler", "f1"), ("handlers", "f1"), (None, "f2")], "name string, file_path string")
+    found = P.symbol_usages(files, symbols)
+    want = [("handler", "f1", f"f{i}", 1) for i in range(3, 20, 2)] + [("handlers", "f1", f"f{i}", 1) for i in range(0, 20, 2)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert rows_generated(found) == 30
+    assert P.symbol_usages(files, symbols.where("name is null")).collect() == []
