@@ -12,15 +12,17 @@ their whole part; edges count in both directions and add up; an empty graph give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.graph import components
+from tessera.operators.graph import components, connected
 from tessera.sources.shared import Scratch, cut
 
 #: Gains in units of 2 / m2 ** 2 that rounding may make.
 NOISE = 1e-9
+#: Links up to which a graph's rounds take longer to plan than to run.
+FEW = 500_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -34,66 +36,84 @@ def gives(community: Column, turn: int) -> Column:
     return F.pmod(F.xxhash64(community, F.lit(turn)), F.lit(2)) == 0
 
 
-def _gains(links: DataFrame, labels: DataFrame, m2: float, gamma: float) -> DataFrame:
-    """(node, k, old, new, gain) of every move to a neighbouring community that gains."""
-    of, to = labels.select(F.col("node").alias("src"), F.col("community").alias("old"), "k"), labels.select(F.col("node").alias("dst"), F.col("community").alias("new"))
-    near = links.join(of, "src").join(to, "dst").groupBy(F.col("src").alias("node"), "k", "old", "new").agg(F.sum("w").alias("w"))
-    total = labels.groupBy("community").agg(F.sum("k").alias("all"))
-    inside = near.where("old = new").select("node", F.col("w").alias("held"))
-    moves = near.where("old <> new").join(inside, "node", "left")
-    moves = moves.join(total.select(F.col("community").alias("old"), F.col("all").alias("from_all")), "old").join(total.select(F.col("community").alias("new"), F.col("all").alias("to_all")), "new")
+def _gains(links: DataFrame, labels: DataFrame, m2: float, gamma: float, turn: int | None = None) -> DataFrame:
+    """(node, k, old, new, gain) of every move to a neighbouring community that gains; of a round, those from a community that gives to one that takes.
+
+    Links that no such move needs leave before the sums. Where links are dealt by src and labels are small, nothing else is shuffled.
+    """
+    of = labels.select(F.col("node").alias("src"), "k", F.col("community").alias("old"), F.col("all").alias("from_all"))
+    to = labels.select(F.col("node").alias("dst"), F.col("community").alias("new"), F.col("all").alias("to_all"))
+    near = links.join(of if turn is None else of.where(gives(F.col("old"), turn)), "src").join(to, "dst")
+    if turn is not None:
+        near = near.where((F.col("old") == F.col("new")) | ~gives(F.col("new"), turn))
+    near = near.groupBy(F.col("src").alias("node"), "k", "old", "from_all", "new", "to_all").agg(F.sum("w").alias("w"))
+    held = F.sum(F.when(F.col("old") == F.col("new"), F.col("w"))).over(Window.partitionBy("node"))
     gain = m2 * (F.col("w") - F.coalesce("held", F.lit(0.0))) - gamma * F.col("k") * (F.col("to_all") - F.col("from_all") + F.col("k"))
-    return moves.select("node", "k", "old", "new", gain.alias("gain")).where(F.col("gain") > NOISE * m2)
+    return near.withColumn("held", held).where("old <> new").select("node", "k", "old", "new", gain.alias("gain")).where(F.col("gain") > NOISE * m2)
 
 
 def _moved(scratch: Scratch, graph: DataFrame, m2: float, gamma: float, rounds: int) -> DataFrame | None:
     """(node, community) after local moving from single nodes; None if nothing moved."""
-    links = graph.where("src <> dst")
-    labels = scratch.cut(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
+    links = graph.where("src <> dst").repartition("src").persist()  # every round reads them by src
+    links.count()
+    labels = scratch.cut(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select("node", "k", F.col("node").alias("community"), F.col("k").alias("all")))
     moved = False
     for turn in range(rounds):
-        moves = _gains(links, labels, m2, gamma).where(gives(F.col("old"), turn) & ~gives(F.col("new"), turn))
-        best = moves.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "new", "old", "k")).alias("b"))
-        best = scratch.cut(best.select("node", "b.new", "b.old", "b.k", (-F.col("b.loss")).alias("gain")))
-        if best.isEmpty():
-            continue
-        into, out = best.groupBy("new").agg(F.sum("k").alias("into")), best.groupBy("old").agg(F.sum("k").alias("out"))
-        first = best.agg(F.min(F.struct((-F.col("gain")).alias("loss"), "node"))["node"].alias("first"))
-        safe = F.col("gain") > gamma * F.col("k") * (F.col("into") + F.col("out") - 2 * F.col("k"))
-        made = best.join(into, "new").join(out, "old").join(F.broadcast(first)).where(safe | (F.col("node") == F.col("first"))).select("node", "new")
-        labels = scratch.cut(labels.join(made, "node", "left").select("node", "k", F.coalesce("new", "community").alias("community")))
-        moved = True
+        best = _gains(links, labels, m2, gamma, turn).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "new", "old", "k")).alias("b"))
+        best = best.select("node", "b.new", "b.old", "b.k", (-F.col("b.loss")).alias("gain")).persist()
+        first = best.agg(F.min(F.struct((-F.col("gain")).alias("loss"), "node"))["node"]).first()[0]
+        if first is not None:
+            into, out = (F.sum("k").over(Window.partitionBy(c)) for c in ("new", "old"))
+            safe = F.col("gain") > gamma * F.col("k") * (F.col("into") + F.col("out") - 2 * F.col("k"))
+            made = best.withColumn("into", into).withColumn("out", out).where(safe | (F.col("node") == F.lit(first))).select("node", "new")
+            labels = labels.join(made, "node", "left").select("node", "k", F.coalesce("new", "community").alias("community"))
+            labels = scratch.cut(labels.withColumn("all", F.sum("k").over(Window.partitionBy("community"))))
+            moved = True
+        best.unpersist()
     if not moved:  # no two communities that met fell on different sides
         one = scratch.cut(_gains(links, labels, m2, gamma).orderBy(F.desc("gain"), "node", "new").limit(1).select("node", "new"))
         moved = not one.isEmpty()
         labels = labels.join(one, "node", "left").select("node", F.coalesce("new", "community").alias("community"))
+    links.unpersist()
     return labels.select("node", "community") if moved else None
 
 
-def split(graph: DataFrame, labels: DataFrame) -> DataFrame:
+def split(scratch: Scratch, graph: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, community): each community's connected parts, named by their least node."""
     of, to = labels.select(F.col("node").alias("src"), F.col("community").alias("cs")), labels.select(F.col("node").alias("dst"), F.col("community").alias("cd"))
     inside = graph.where("src <> dst").join(of, "src").join(to, "dst").where("cs = cd").select("src", "dst")
-    parts = components(inside).withColumnRenamed("component", "community")
+    parts = scratch.cut(connected(scratch, scratch.cut(inside)).select("node", F.col("component").alias("community")))
     return parts.unionByName(labels.join(parts, "node", "left_anti").select("node", F.col("node").alias("community")))
 
 
+def _steady(spark: SparkSession) -> SparkSession:
+    """A session beside this one for graphs whose rounds take longer to plan than to run: few partitions, and each plan is made once."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "4")
+    return own
+
+
 def communities(edges: DataFrame, *, gamma: float = 1.0, rounds: int = 6, levels: int = 24) -> DataFrame:
     """(node, community) of edges (src, dst, usage), each community named by its least node.
 
     ``rounds`` is the number of rounds of a level and ``levels`` bounds the levels; it ends when no node of the contracted graph gains by moving.
     """
-    with Scratch(edges.sparkSession) as scratch:
-        graph = scratch.cut(undirected(edges))
-        members = scratch.cut(graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+    with Scratch(edges.sparkSession) as whole, Scratch(_steady(edges.sparkSession)) as few:
+        scratch, graph = whole, whole.cut(undirected(edges))
+        members = graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
         m2 = graph.agg(F.sum("w")).first()[0] or 0.0
-        for _ in range(levels if m2 else 0):
+        for level in range(levels if m2 else 0):
+            if scratch is whole and graph.count() <= FEW:
+                scratch, graph = few, few.cut(graph)
             labels = _moved(scratch, graph, m2, gamma, rounds)
             if labels is None:
                 break
-            labels = scratch.cut(split(graph, labels))
+            labels = scratch.cut(split(scratch, graph, labels))
             of, to = labels.select(F.col("node").alias("src"), F.col("community").alias("cs")), labels.select(F.col("node").alias("dst"), F.col("community").alias("cd"))
-            members = scratch.cut(members.join(labels.select(F.col("node").alias("community"), F.col("community").alias("now")), "community").select("node", F.col("now").alias("community")))
+            members = members.join(labels.select(F.col("node").alias("community"), F.col("community").alias("now")), "community").select("node", F.col("now").alias("community"))
+            if level % 6 == 5:  # plans stay short
+                members = whole.cut(members)
             graph = scratch.cut(graph.join(of, "src").join(to, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
         return cut(members)
 

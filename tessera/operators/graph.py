@@ -101,30 +101,34 @@ def shortest_path(edges: DataFrame, start, end, *, weight: str | None = None, ba
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): connected components, each named by its least node.
+    """(node, component): connected components, each named by its least node."""
+    with Scratch(edges.sparkSession) as scratch:
+        return cut(connected(scratch, scratch.cut(both_ways(edges))))
+
+
+def connected(scratch: Scratch, both: DataFrame) -> DataFrame:
+    """(node, component) of written edges that are there once in each direction, to be read before ``scratch`` ends.
 
     Each round a node goes to the first of itself and its neighbours in an order that is drawn anew, and on to where those go, four steps in all; what is left is
     a smaller graph of the places reached. Rounds grow with the logarithm of the nodes, and all rounds together read a few times what the first one does.
     """
-    with Scratch(edges.sparkSession) as scratch:
-        both = scratch.cut(both_ways(edges))
-        links, moves = both.where("src <> dst"), []
-        while not links.isEmpty():
-            place = lambda c, turn=len(moves): F.struct(F.xxhash64(c, F.lit(turn)).alias("drawn"), F.col(c).alias("node"))
-            first = links.groupBy(F.col("src").alias("node")).agg(F.min(place("dst")).alias("near"))
-            move = scratch.cut(first.select("node", F.least("near", place("node"))["node"].alias("to")))
-            for _ in range(2):
-                move = move.join(move.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
-            moves.append(scratch.cut(move))
-            ends = [moves[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("src", "dst")]
-            links = links.join(ends[0], "src").join(ends[1], "dst").where("src_to <> dst_to").select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct()
-            links = scratch.cut(links)
-        label = both.select(F.col("src").alias("node")).distinct().withColumn("to", F.col("node")) if not moves else moves.pop()
-        for move in reversed(moves):
-            label = scratch.cut(move.join(label.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to")))
-        every = both.select(F.col("src").alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
-        least = every.groupBy("to").agg(F.min("node").alias("component"))
-        return cut(every.join(least, "to").select("node", "component"))
+    links, moves = both.where("src <> dst"), []
+    while not links.isEmpty():
+        place = lambda c, turn=len(moves): F.struct(F.xxhash64(c, F.lit(turn)).alias("drawn"), F.col(c).alias("node"))
+        first = links.groupBy(F.col("src").alias("node")).agg(F.min(place("dst")).alias("near"))
+        move = scratch.cut(first.select("node", F.least("near", place("node"))["node"].alias("to")))
+        for _ in range(2):
+            move = move.join(move.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        moves.append(scratch.cut(move))
+        ends = [moves[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("src", "dst")]
+        links = links.join(ends[0], "src").join(ends[1], "dst").where("src_to <> dst_to").select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct()
+        links = scratch.cut(links)
+    label = both.select(F.col("src").alias("node")).distinct().withColumn("to", F.col("node")) if not moves else moves.pop()
+    for move in reversed(moves):
+        label = scratch.cut(move.join(label.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+    every = both.select(F.col("src").alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
+    least = every.groupBy("to").agg(F.min("node").alias("component"))
+    return every.join(least, "to").select("node", "component")
 
 
 def _spread(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import struct
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import communities as C
 from tessera.operators import graph as G
+from tessera.sources.shared import Scratch
 from tessera.sources.tables import follow_graph
 
 
@@ -137,6 +139,25 @@ def test_better_than_labels(spark, sf_dir):
     assert abs(G.modularity(graph.withColumn("w", F.col("usage")), found).first()["q"] - quality(edges, ours)) < 1e-5
 
 
+def test_rounds_do_not_shuffle_links_again(spark):
+    """Every round reads the links where one shuffle put them; labels and moves are all that is shuffled besides."""
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(rng.randrange(3000), rng.randrange(3000), 1.0) for _ in range(60000)], "src long, dst long, usage double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(run):
+        before = store.executorList(True).apply(0).totalShuffleWrite()
+        run()
+        time.sleep(1)  # the store hears of a task's figures after its end
+        return store.executorList(True).apply(0).totalShuffleWrite() - before
+
+    with Scratch(spark) as scratch:
+        graph = scratch.cut(C.undirected(edges))
+        m2 = graph.agg(F.sum("w")).first()[0]
+        once = shuffled(lambda: graph.repartition("src").write.format("noop").mode("overwrite").save())
+        assert shuffled(lambda: C._moved(scratch, graph, m2, 1.0, 6).count()) < 2 * once
+
+
 def test_no_graph(spark):
     assert C.communities(spark.createDataFrame([], "src long, dst long, usage double")).collect() == []
     assert C.communities(spark.createDataFrame([(1, 1, 5.0)], "src long, dst long, usage double")).collect() == []
