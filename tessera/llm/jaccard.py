@@ -26,7 +26,7 @@ result; null keys are never chosen as a class's or group's id unless alone; extr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import checkpointed, release, slices, stored, worker_cache
 from tessera.llm.pretokens import Memo
+from tessera.operators.graph import components
 
 #: Sizes of one band differ by less than this factor.
 BAND = 1.5
@@ -48,8 +49,10 @@ FOLDED = 16
 MEMO = 100_000
 #: Shingles of the sets that are verified against one leader in one task.
 GROUP_SHINGLES = 1_000_000
-#: Up to so many rows of ids (32 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many rows of ids (32 bytes each) are broadcast; of more, a filter of bits.
+BROADCAST_IDS = 200_000
+#: Bits of that filter for each id, and the most 64-bit words it has.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 21
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,15 +183,42 @@ def _sketched(docs: DataFrame, key: str, text: str, words: int, part: int, whole
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, first boolean, size long, high long, low long, band int, sketch array<long>, folded array<long>")
 
 
+def _chosen(docs: DataFrame, ids: DataFrame, count: int, key: str, text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Rows that begin with (key, text), and what leaves of a batch of them the documents whose key is one of ``count`` ids.
+
+    Few ids are broadcast. Many would fill the driver's memory, and a shuffle join would move all texts: they reach the tasks as a filter of bits, which
+    its size bounds and which lets a few other documents through. Whoever asks must bear those, or join what it makes of them.
+    """
+    own = docs.select(key, text)
+    if count <= BROADCAST_IDS:
+        return own.join(F.broadcast(ids.select(F.col("id").alias(key))), key, "left_semi"), lambda batch: batch
+    words = min(FILTER_WORDS, 1 + count * FILTER_BITS // 64)
+
+    def place(column: str) -> list[Column]:
+        """The word of an id, and its bits there."""
+        h = f"xxhash64(cast(`{column}` as bigint))"
+        bits = " | ".join(f"shiftleft(1L, cast(shiftright({h}, {k}) & 63 as int))" for k in (0, 6, 12))
+        return [F.expr(f"cast(pmod(shiftrightunsigned({h}, 18), {words}L) as int)").alias("_word"), F.expr(bits).alias("_bits")]
+
+    found = ids.select(*place("id")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).toArrow()
+    held = np.zeros(words, np.int64)
+    held[np.asarray(found.column(0))] = np.asarray(found.column(1))
+    known = docs.sparkSession.sparkContext.broadcast(held)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.asarray(batch.column(3))
+        return batch.filter(pa.array(known.value[np.asarray(batch.column(2))] & bits == bits))
+
+    return own.where(F.col(key).isNotNull()).select(key, text, *place(key)), keep
+
+
 def _segments(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
-    """(id, segment): the segment keys, in all their bands, of the documents whose key is an id."""
-    few = ids.count() <= BROADCAST_IDS
-    chosen = ids.select(F.col("id").alias(key))
-    rows = docs.select(key, text).join(F.broadcast(chosen) if few else chosen, key, "left_semi")
+    """(id, segment): the segment keys, in all their bands, of the documents whose key is an id, and of a few of their copies."""
+    rows, keep = _chosen(docs, ids, ids.count(), key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(part, whole)
-        for batch in slices(batches):
+        for batch in map(keep, slices(batches)):
             keys = []
             for value in batch.column(1):
                 shingles = shingle_set(value.as_py() or "", words)
@@ -203,13 +233,12 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame, sets: DataFrame, key: str, t
     """(segment, id, place): shingles that at least two of the documents whose key is an id hold, in all bands of the set, marked with the band like segments.
 
     The place counts from the rarest shingle of the set; places that no similar set can have for its first common shingle are left out.
+    Documents that ``_chosen`` lets through besides count for how rare a shingle is, the same for all sets.
     """
-    few = ids.count() <= BROADCAST_IDS
-    chosen = ids.select(F.col("id").alias(key))
-    rows = docs.select(key, text).join(F.broadcast(chosen) if few else chosen, key, "left_semi")
+    rows, keep = _chosen(docs, ids, ids.count(), key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in map(keep, slices(batches)):
             found = [shingle_set(value.as_py() or "", words).view(np.int64) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "size", "shingles"]
@@ -225,26 +254,14 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame, sets: DataFrame, key: str, t
     return banded.select(F.shiftleft("shingle", BAND_BITS).bitwiseOR(F.col("band").cast("long")).alias("segment"), "id", "place").distinct()
 
 
-def _smallest_labels(edges: DataFrame, rows: int) -> DataFrame:
+def _smallest_labels(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of the edges (a, b) reaches.
 
-    Each id takes the smallest label around it and hands it to all around it; labels are then looked up
-    in each other, which shortens long chains; it ends when no label changes.
+    Rounds grow with the logarithm of the longest chain and read what they wrote. A loop over checkpoints would keep the estimated size of each round's plan, which
+    is the product of those before: a number whose digits grow exponentially with the rounds and fill the driver's memory.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct(), 2 * rows)
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")), 2 * rows)
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        better = labels.join(near, "id").select("id", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = better.select(F.col("id").alias("new"), F.col("new").alias("jump"))
-        after = better.join(jump, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("label"), F.col("old"))
-        after = checkpointed(after, 2 * rows)
-        done = after.where("label <> old").isEmpty()
-        labels = after.select("id", "label")
-        if done:
-            return labels
-        del near, better, jump, after
-        release(edges.sparkSession)
+    found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str, words: int, part: int, whole: int) -> DataFrame:
@@ -258,8 +275,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, count: int, key: str, text: str
     leaders = pairs.select(F.col("a").alias(key), "a", "part", F.lit(True).alias("leads")).distinct()
     wanted = leaders.unionByName(pairs.select(F.col("b").alias(key), "a", "part", F.lit(False).alias("leads")))
     wanted = checkpointed(wanted, 3 * count)
-    few = 3 * count <= BROADCAST_IDS
-    rows = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
+    if 3 * count <= BROADCAST_IDS:
+        rows = docs.select(key, text).join(F.broadcast(wanted), key)
+    else:  # only texts that are in a pair are shuffled
+        ids = checkpointed(wanted.select(F.col(key).cast("long").alias("id")).distinct(), 3 * count)
+        own, keep = _chosen(docs, ids, ids.count(), key, text)
+        texts = own.mapInArrow(lambda batches: (keep(batch).select([key, text]) for batch in slices(batches)), docs.select(key, text).schema)
+        rows = texts.join(wanted, key)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4):
@@ -320,14 +342,14 @@ def jaccard_components(
     shared = segments.withColumns({"a": F.min("id").over(one), "n": F.count("*").over(one)}).where("a <> id")
     shared = checkpointed(shared.select("segment", "id", "a", "n"))
 
-    edges, tested, labels, links = None, None, None, 0
+    edges, tested, labels = None, None, None
     near = lambda x, y, size_x, size_y: _apart(x, y) * (whole + part) <= (F.col(size_x) + F.col(size_y)) * (whole - part)
     of = lambda x, sketch: sets.select("band", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col(sketch).alias(f"{sketch}_{x}"))
     band = F.col("segment").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
 
     def look(pairs: DataFrame, bound: int) -> None:
         """Verifies those of the pairs (band, a, b) that the whole sketch doesn't exclude and that weren't verified before."""
-        nonlocal edges, tested, labels, links
+        nonlocal edges, tested, labels
         pairs = pairs.join(of("a", "sketch"), ["a", "band"]).join(of("b", "sketch"), ["b", "band"]).where(near("sketch_a", "sketch_b", "size_a", "size_b"))
         pairs = pairs.select("a", "b", "size_b").distinct()
         if tested is not None:
@@ -338,10 +360,9 @@ def jaccard_components(
             return
         found = _verified(docs, pairs, count, key, text, words, part, whole)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        more = found.count()
-        if more:
-            edges, links = found if edges is None else edges.union(found), links + more
-            labels = _smallest_labels(edges, links)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = _smallest_labels(edges)
 
     def unlinked(rows: DataFrame) -> DataFrame:
         """Rows, with their labels, of segments in which not all sets are linked."""

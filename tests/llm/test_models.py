@@ -89,6 +89,29 @@ def test_jaccard_of_many_texts_that_share_a_base_but_are_not_similar(spark, make
     assert sum(waiting) < len(rows)
 
 
+def test_jaccard_of_a_long_chain(spark, make_docs):
+    """The estimated size of a loop's plans was the product of all rounds before: its digits took the driver's memory."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), " ".join(f"w{j}" for j in range(k, k + 60))) for k, i in enumerate(rng.permutation(40))]
+    found = jaccard.jaccard_components(make_docs(rows), words=1, similarity=(9, 10))
+    assert {r["component_id"] for r in found.collect()} == {0}
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 1000
+
+
+def test_jaccard_of_many_ids_neither_gathers_them_nor_shuffles_texts(spark, sf_dir, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard, "FILTER_WORDS", 16)  # far too few bits: many others are let through
+    docs = table(spark, sf_dir, "documents")
+    for rows in (docs, make_docs([(i, " ".join(f"w{j}" if (i * 7 + j) % 31 else f"x{i}" for j in range(60))) for i in range(40)])):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(rows, words=3, similarity=(4, 5)).collect()}
+        assert got == plain_components(sets_of(rows, 3), 4, 5)
+    ids = spark.range(0, 200, 3)
+    found = jaccard._segments(docs, ids, "doc_id", "text", 3, 9, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r["id"] for r in found.select("id").distinct().collect()} >= {r["doc_id"] for r in docs.where("doc_id % 3 = 0 and size(split(text, ' ')) > 100").collect()}
+
+
 def test_jaccard_at_the_threshold(spark, make_docs):
     words = [f"a{i}" for i in range(40)]
     at = [(1, " ".join(words[:20])), (2, " ".join([*words[:18], "z"])), (3, " ".join(words[:19])), (4, "one"), (5, "ONE"), (6, "one two")]
