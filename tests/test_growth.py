@@ -69,6 +69,12 @@ def test_flow_calls_do_not_meet_all_symbols_of_their_name(spark):
     assert rows_joined(found) <= 2 * len(CALLS)
 
 
+def test_parsed_texts_are_kept_in_columns(spark, sf_dir):
+    """Checkpoints hold rows as they are in memory."""
+    for name in ("ca_09_resolved", "ca_10_resolved_flow"):
+        assert "ExistingRDD" not in plan_of(catalog.queries()[name](spark, sf_dir))
+
+
 def test_event_edges_are_not_shuffled(spark):
     own = [("e", i % 40) for i in range(80)] + [("other", 1)]
     emitters = spark.createDataFrame(own, "event string, symbol long")
