@@ -85,6 +85,15 @@ def test_event_edges_are_not_shuffled(spark):
     assert plan.index("Join") < plan.index("HashAggregate")  # nothing is made distinct above the join
 
 
+def test_event_edges_repeat_short_lists(spark, monkeypatch):
+    """Edges of one emitter to all listeners, one emitter after the other, took five times the disk."""
+    monkeypatch.setattr(K, "EVENT_LIST", 4)
+    own = spark.createDataFrame([("e", i) for i in range(64)] + [(None, 1)], "event string, symbol long")
+    got = [tuple(r) for r in K.event_triggers(own, own).collect()]
+    assert len(got) == 64 * 63 and set(got) == {("e", a, b) for a in range(64) for b in range(64) if a != b}
+    assert sum(x[1] != y[1] for x, y in zip(got, got[1:])) > 500
+
+
 @pytest.mark.parametrize("text", ["one two two three", "", "x " * 3000, None])
 def test_hashed_embedding_reads_its_words_once(spark, text):
     from pyspark.sql import functions as F
